@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from strandlake.llm.embedding_dedup import OP6_SQL, op6_embedding_dedup
+from strandlake.llm.packing import op8_packing
 from strandlake.llm.quality import OP1_SQL, op1_quality_rules
 from strandlake.llm.sharding import op4_sharding
+from strandlake.llm.token_counts import op10_token_counts
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_sharding": op4_sharding,
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op8_packing": op8_packing,
+    "op10_token_counts": op10_token_counts,
 }
 ORACLES = {"op1_quality_rules": OP1_SQL, "op6_embedding_dedup": OP6_SQL}
