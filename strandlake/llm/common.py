@@ -5,10 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHARED = "spark.checkpoint.dir"
+#: Most bytes of a broadcast bit table.
+FILTER_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,3 +77,24 @@ def let(value, body):
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def bit_filter(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit table of the hashes h of ids and its number of bits.
+
+    16 bits a hash up to FILTER_BYTES; with more hashes the table only gets fuller and lets more rows through, so its
+    users must still join for the exact rows.
+    """
+    bits, count = 1 << 16, ids.count()
+    while bits < 16 * count and bits < 8 * FILTER_BYTES:
+        bits *= 2
+    masks = ids.select(F.expr(f"pmod(h, {bits}) div 64").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(h, {bits}) % 64 as int))").alias("m"))
+    found = masks.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
+    table = np.zeros(bits // 64, np.int64)
+    table[found["w"].to_numpy(np.int64)] = found["m"].to_numpy(np.int64)
+    return table.view(np.uint64), bits
+
+
+def passes(table: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
+    at = np.mod(h, bits)
+    return (table[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) == 1

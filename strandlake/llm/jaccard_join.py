@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm import textkernel as tk
-from strandlake.llm.common import documents, materialise, shuffle_width
+from strandlake.llm.common import bit_filter, documents, materialise, passes, shuffle_width
 from strandlake.llm.components import connected_components
 
 WORDS = 5
@@ -38,8 +38,6 @@ SHARE = (80, 100)
 GROUP, TILE = 64, 1024
 #: Bytes of block rows one reducer holds, and rows a mapper gathers before it deals them out.
 REDUCER_BYTES, MAPPER_ROWS = 48 << 20, 1 << 20
-#: Most bytes of the broadcast filter of wanted texts.
-FILTER_BYTES = 16 << 20
 
 U = tk.U
 _BLOCK, _BAND = U(0xA24BAED4963EE407), U(0x9FB21C651E98DF25)
@@ -111,7 +109,7 @@ def empty_tokens(shingles: np.ndarray, blocks: int, band: int, wanted: int) -> l
 
 def folded_sketch(shingles: np.ndarray) -> np.ndarray:
     """The sketch folded to 16 to 32 bits per shingle: bit (hash mod bits) flips with each shingle."""
-    bits = 16 << int(len(shingles)).bit_length()
+    bits = max(64, 16 << int(len(shingles)).bit_length())
     odd = np.bincount((shingles & U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
 
@@ -251,20 +249,6 @@ def _first_blocks(shared: DataFrame, classes: DataFrame, bands: Bands) -> DataFr
     return first.unionByName(classes.select(F.explode("empties").alias("token"), "class", "size"))
 
 
-def _wanted_filter(ids: DataFrame) -> tuple[np.ndarray, int]:
-    """A bit table of the hashes h of ids: its size follows their number up to FILTER_BYTES, beyond which it only gets fuller."""
-    bits = 1 << 16
-    count = ids.count()
-    while bits < 16 * count and bits < 8 * FILTER_BYTES:
-        bits *= 2
-    at = F.pmod("h", F.lit(bits))
-    words = ids.select((at / 64).cast("long").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(h, {bits}) % 64 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
-    table = np.zeros(bits // 64, np.int64)
-    found = words.toPandas()
-    table[found["w"].to_numpy(np.int64)] = found["m"].to_numpy(np.int64)
-    return table.view(U), bits
-
-
 def class_sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """class, shingles (sorted 64-bit hashes) and folded sketch of each wanted class; wanted has class and its rep id.
 
@@ -272,15 +256,13 @@ def class_sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """
     spark = rows.sparkSession
     hashed = F.xxhash64("k")
-    table, bits = _wanted_filter(wanted.select(F.xxhash64("rep").alias("h")))
+    table, bits = bit_filter(wanted.select(F.xxhash64("rep").alias("h")))
     shared_table = spark.sparkContext.broadcast(table)
 
     def run(batches):
         bit = shared_table.value
         for batch in batches:
-            at = np.mod(batch.column("h").to_numpy(), bits)
-            hit = (bit[at // 64] >> (at % 64).astype(U)) & U(1) == 1
-            chosen = batch.filter(pa.array(hit))
+            chosen = batch.filter(pa.array(passes(bit, bits, batch.column("h").to_numpy())))
             if not chosen.num_rows:
                 continue
             for _, count, sh, row in shingled(chosen, "t", n):
