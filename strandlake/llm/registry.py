@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from strandlake.llm.embedding_dedup import OP6_SQL, op6_embedding_dedup
 from strandlake.llm.jaccard_join import OP5_SQL, op5_jaccard_join
+from strandlake.llm.line_dedup import op3_line_dedup
 from strandlake.llm.packing import op8_packing
 from strandlake.llm.quality import OP1_SQL, op1_quality_rules
 from strandlake.llm.sharding import op4_sharding
+from strandlake.llm.substring_dedup import op7_substring_dedup
 from strandlake.llm.token_counts import op10_token_counts
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_line_dedup": op3_line_dedup,
     "op4_sharding": op4_sharding,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_packing": op8_packing,
     "op10_token_counts": op10_token_counts,
 }
