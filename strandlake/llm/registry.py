@@ -10,6 +10,7 @@ from strandlake.llm.quality import OP1_SQL, op1_quality_rules
 from strandlake.llm.sharding import op4_sharding
 from strandlake.llm.substring_dedup import op7_substring_dedup
 from strandlake.llm.token_counts import op10_token_counts
+from strandlake.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_packing": op8_packing,
+    "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }
 ORACLES = {"op1_quality_rules": OP1_SQL, "op5_jaccard_join": OP5_SQL, "op6_embedding_dedup": OP6_SQL}
