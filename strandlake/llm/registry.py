@@ -6,6 +6,7 @@ from strandlake.llm.embedding_dedup import OP6_SQL, op6_embedding_dedup
 from strandlake.llm.jaccard_join import OP5_SQL, op5_jaccard_join
 from strandlake.llm.line_dedup import op3_line_dedup
 from strandlake.llm.packing import op8_packing
+from strandlake.llm.piece_codec import op2_piece_codec
 from strandlake.llm.quality import OP1_SQL, op1_quality_rules
 from strandlake.llm.sharding import op4_sharding
 from strandlake.llm.substring_dedup import op7_substring_dedup
@@ -14,6 +15,7 @@ from strandlake.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_piece_codec": op2_piece_codec,
     "op3_line_dedup": op3_line_dedup,
     "op4_sharding": op4_sharding,
     "op5_jaccard_join": op5_jaccard_join,
