@@ -1,4 +1,550 @@
-"""Registered queries and their oracles."""
+"""Registered queries, each beside its DuckDB oracle."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strandlake.functions import decisions, parsing, texts, vectors
+from strandlake.operators import enrichment, evidence, graph, jobs, models, network
+from strandlake.plans.fixtures import Inputs, oracle
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The gene that single-gene requests ask for.
+GENE = 1
+
+
+def query(sql: str | None = None, recursive: bool = False):
+    """Register a function of Inputs under its name, with its oracle."""
+
+    def add(f: Callable[[Inputs], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Inputs(spark, sf_dir))
+        if sql:
+            ORACLES[f.__name__] = oracle(sql, recursive)
+        return f
+
+    return add
+
+
+def long(*names: str) -> list:
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+# --- network -------------------------------------------------------------------------------------------------------
+
+_PARSED = """pi as (select regexp_extract(alias_a, '(?:^|\\|)uniprotkb:([^|:]*)\\(gene name\\)(?:\\||$)', 1) as ga, regexp_extract(alias_b, '(?:^|\\|)uniprotkb:([^|:]*)\\(gene name\\)(?:\\||$)', 1) as gb,
+  regexp_extract(pubs, '(?:^|\\|)pubmed:([^|:]*)', 1) as pm from {intact_raw}), oki as (select * from pi where ga <> '' and gb <> '' and pm <> '' and ga <> gb),
+bi as (select symbol_a as ga, symbol_b as gb, case when source like 'PUBMED:%' then split_part(source, ':', 2) end as pm from {biogrid_raw}), okb as (select * from bi where ga <> '' and gb <> '' and pm <> '' and ga <> gb)"""
+
+
+def _edges_sql(*sources: str) -> str:
+    rows = " union all ".join(f"select ga, gb, pm from {s} union all select gb, ga, pm from {s}" for s in sources)
+    return f"with {_PARSED}, u as ({rows}) select ga as gene, gb as partner, string_agg(distinct pm, ',' order by pm) as pmids from u group by ga, gb"
+
+
+def _joined(df: DataFrame) -> DataFrame:
+    return df.withColumn("pmids", F.array_join("pmids", ","))
+
+
+@query(_edges_sql("oki"))
+def ppi_intact_edges(i: Inputs) -> DataFrame:
+    return _joined(network.edges(network.intact_interactions(i.intact_raw)))
+
+
+@query(_edges_sql("okb"))
+def ppi_biogrid_edges(i: Inputs) -> DataFrame:
+    return _joined(network.edges(network.biogrid_interactions(i.biogrid_raw)))
+
+
+@query(_edges_sql("oki", "okb"))
+def ppi_merged(i: Inputs) -> DataFrame:
+    return _joined(network.edges(network.intact_interactions(i.intact_raw), network.biogrid_interactions(i.biogrid_raw)))
+
+
+@query(f"""with {_PARSED}, u as (select * from oki union all select * from okb),
+p as (select distinct least(ga, gb) as a, greatest(ga, gb) as b from u) select (select count(*) from p)::double as interactions, (select count(distinct pm) from u) as publications""")
+def ppi_totals(i: Inputs) -> DataFrame:
+    return network.totals(network.intact_interactions(i.intact_raw), network.biogrid_interactions(i.biogrid_raw)).select(F.col("interactions").cast("double"), "publications")
+
+
+@query("""with u as (select gene_a as g, gene_b as p, pmid from {ppi_intact} union select gene_a, gene_b, pmid from {ppi_biogrid}), b as (select * from u union all select p, g, pmid from u)
+select g as gene, count(distinct p) as n_partners, count(distinct pmid) as n_publications from b group by g""")
+def ppi_partners(i: Inputs) -> DataFrame:
+    both = network.edges(i.ppi_intact, i.ppi_biogrid)
+    counts = both.groupBy("gene").agg(F.count("*").alias("n_partners"))
+    pubs = network.both_ways(i.ppi_intact.unionByName(i.ppi_biogrid)).groupBy("gene").agg(F.count_distinct("pmid").alias("n_publications"))
+    return counts.join(pubs, "gene")
+
+
+@query("""with u as (select gene_a as g, gene_b as p, pmid from {ppi_intact} union all select gene_b, gene_a, pmid from {ppi_intact} union all select gene_a, gene_b, pmid from {ppi_biogrid} union all select gene_b, gene_a, pmid from {ppi_biogrid})
+select g as gene, p as partner, count(distinct pmid) as n_publications from u where exists (select 1 from {fi} f where f.score > 0.8 and ((f.gene_a = g and f.gene_b = p) or (f.gene_b = g and f.gene_a = p))) group by g, p""".replace("exists (select 1 from {fi} f where f.score > 0.8 and ((f.gene_a = g and f.gene_b = p) or (f.gene_b = g and f.gene_a = p)))", "(least(g, p), greatest(g, p)) in (select (gene_a, gene_b) from {fi} where score > 0.8)"))
+def ppi_score_filtered(i: Inputs) -> DataFrame:
+    kept = network.choose_source("intact_biogrid", network.edges(i.ppi_intact, i.ppi_biogrid), i.fi)
+    return kept.select("gene", "partner", F.size("pmids").cast("long").alias("n_publications"))
+
+
+@query("select gene_a as gene, gene_b as partner, score from {fi} where score > 0.8 and gene_b % 13 <> 0")
+def fi_partners(i: Inputs) -> DataFrame:
+    genes = i.fi.select(F.col("gene_b").alias("gene")).distinct()
+    index = genes.select("gene", (F.col("gene") + 1000).cast("int").alias("idx"))
+    known = index.where("gene % 13 <> 0")  # the index lacks some genes
+    return network.network_partners(network.network_documents(i.fi, index), known)
+
+
+@query(f"with {_PARSED} select ga as gene_a, gb as gene_b, count(*) as n from (select coalesce(nullif(ga, ''), '-') as ga, coalesce(nullif(gb, ''), '-') as gb from pi) group by ga, gb")
+def parse_alias(i: Inputs) -> DataFrame:
+    named = i.intact_raw.select(F.coalesce(parsing.tagged_gene("alias_a"), F.lit("-")).alias("gene_a"), F.coalesce(parsing.tagged_gene("alias_b"), F.lit("-")).alias("gene_b"))
+    return named.groupBy("gene_a", "gene_b").agg(F.count("*").alias("n"))
+
+
+@query(f"with {_PARSED}, u as (select 'intact' as kind, nullif(pm, '') as pmid from pi union all select 'biogrid', pm from bi) select kind, pmid, count(*) as n from u group by kind, pmid")
+def parse_publication(i: Inputs) -> DataFrame:
+    a = i.intact_raw.select(F.lit("intact").alias("kind"), parsing.tagged_publication("pubs").alias("pmid"))
+    return a.unionByName(i.biogrid_raw.select(F.lit("biogrid").alias("kind"), parsing.prefixed_publication("source").alias("pmid"))).groupBy("kind", "pmid").agg(F.count("*").alias("n"))
+
+
+# --- enrichment ----------------------------------------------------------------------------------------------------
+
+
+def _listed(i: Inputs) -> DataFrame:
+    """The membership through its comma-joined list form."""
+    rows = i.pathway_rows.groupBy("pathway_id", "pathway_name").agg(F.array_join(F.collect_list(F.col("gene").cast("string")), ",").alias("genes"))
+    return enrichment.gene_sets(rows).withColumn("gene", F.col("gene").cast("long"))
+
+
+def _partners(i: Inputs, gene: int | None = GENE) -> DataFrame:
+    """query_gene, partner, pmids of the merged network, of one gene or of all."""
+    rows = network.edges(i.ppi_intact, i.ppi_biogrid)
+    rows = rows if gene is None else rows.where(F.col("gene") == gene)
+    return rows.withColumnRenamed("gene", "query_gene")
+
+
+_U = "u as (select gene_a as g, gene_b as p, pmid from {ppi_intact} union select gene_b, gene_a, pmid from {ppi_intact} union select gene_a, gene_b, pmid from {ppi_biogrid} union select gene_b, gene_a, pmid from {ppi_biogrid})"
+
+
+def _enrich_sql(partners: str, sizes: str = "select pathway_id, count(*) as k from {pathway_rows} group by pathway_id", in_background: bool = True) -> str:
+    """The lgamma form of the enrichment: partners gives (q, gene)."""
+    test = "select q, count(*) as n from p" + (" where gene in (select gene from {membership})" if in_background else "") + " group by q"
+    return f"""pp as ({partners}), p as (select * from pp), sz as ({sizes}), bg as (select count(distinct gene) as n from {{membership}}),
+ov as (select q, pathway_id, count(*) as x from p join {{membership}} m using (gene) group by q, pathway_id), ts as ({test}),
+j as (select ov.q, ov.pathway_id, ov.x, ts.n, least(sz.k::double / bg.n, 1.0) as pr from ov join ts on ts.q = ov.q join sz on sz.pathway_id = ov.pathway_id, bg),
+tl as (select q, pathway_id, x, n, case when pr >= 1 then 1.0 else least(1.0, list_sum(list_transform(range(x, n + 1), lambda t: exp(lgamma(n + 1) - lgamma(t + 1) - lgamma(n - t + 1) + t * ln(pr) + (n - t) * ln(1 - pr))))) end as p from j),
+rk as (select *, row_number() over (partition by q order by p, pathway_id) as r, count(*) over (partition by q) as m from tl),
+en as (select q, pathway_id, x, n, p, least(1.0, min(p * m / r) over (partition by q order by r desc rows unbounded preceding)) as fdr from rk)"""
+
+
+_ONE = f"select g as q, p as gene from (select distinct g, p from u) where g = {GENE}"
+
+
+@query(f"with {_U}, {_enrich_sql(_ONE)} select q as query_gene, pathway_id, x as overlap_count, round(p, 8) as p_value, round(fdr, 8) as fdr from en where fdr < 0.05")
+def pathway_enrichment(i: Inputs) -> DataFrame:
+    out = enrichment.partner_enrichment(_partners(i), _listed(i))
+    return out.select("query_gene", "pathway_id", "overlap_count", F.round("p_value", 8).alias("p_value"), F.round("fdr", 8).alias("fdr"))
+
+
+@query()
+def pathway_enrichment_all_genes(i: Inputs) -> DataFrame:
+    out = enrichment.partner_enrichment(_partners(i, None), i.pathway_rows)
+    return out.select("query_gene", "pathway_id", "overlap_count", F.round("p_value", 8).alias("p_value"), F.round("fdr", 8).alias("fdr"))
+
+
+@query(f"with lst as (select p_size as q, p_partkey as gene from {{part}}), {_enrich_sql('select q, gene from lst', 'select pathway_id, count(*) as k from {membership} group by pathway_id', False)} select q::bigint as query_gene, pathway_id, x as overlap_count, round(p, 8) as p_value, round(fdr, 8) as fdr from en")
+def gene_list_enrichment(i: Inputs) -> DataFrame:
+    lists = i.part.select(F.col("p_size").cast("long").alias("query_gene"), F.col("p_partkey").alias("gene"))
+    out = enrichment.list_enrichment(lists, i.pathway_rows)
+    return out.select("query_gene", "pathway_id", "overlap_count", F.round("p_value", 8).alias("p_value"), F.round("fdr", 8).alias("fdr"))
+
+
+@query(f"with {_U}, {_enrich_sql(_ONE)} select q as query_gene, pathway_id, round(fdr, 8) as fdr from en where fdr < 0.9 and not exists (select 1 from {{membership}} m where m.pathway_id = en.pathway_id and m.gene = q)")
+def enrichment_exclude_annotated(i: Inputs) -> DataFrame:
+    annotated = i.membership.select(F.col("gene").alias("query_gene"), "pathway_id")
+    out = enrichment.without_annotated(enrichment.partner_enrichment(_partners(i), _listed(i), 0.9), annotated)
+    return out.select("query_gene", "pathway_id", F.round("fdr", 8).alias("fdr"))
+
+
+@query(f"with {_U}, {_enrich_sql(_ONE)}, t as (select q, pathway_id, row_number() over (partition by q order by round(fdr, 10), pathway_id) as rank from en) select q as query_gene, pathway_id, rank from t where rank <= 8")
+def enrichment_top8(i: Inputs) -> DataFrame:
+    found = enrichment.partner_enrichment(_partners(i), _listed(i), None).withColumn("fdr", F.round("fdr", 10))
+    return enrichment.top(found).select("query_gene", "pathway_id", "rank")
+
+
+_SWEEP = f"select c.c * 100000000 + g as q, p as gene from (select g, p, score from (select gene_a as g, gene_b as p, score from {{fi}} union select gene_b, gene_a, score from {{fi}}) where g = {GENE}) s, (values (9), (8), (7), (6), (5)) c(c) where s.score > c.c / 10.0"
+
+
+@query(f"with {_enrich_sql(_SWEEP)}, cn as (select c.c, count(en.q) as n from (values (9), (8), (7), (6), (5)) c(c) left join en on en.q // 100000000 = c.c and en.fdr < 0.05 group by c.c), ch as (select coalesce(max(c) filter (where n >= 10), min(c)) as c from cn) select {GENE}::bigint as query_gene, concat('0.', ch.c::varchar) as cutoff, n::bigint as n_pathways from ch join cn on cn.c = ch.c")
+def enrichment_cutoff_sweep(i: Inputs) -> DataFrame:
+    both = i.fi.unionByName(i.fi.select(F.col("gene_b").alias("gene_a"), F.col("gene_a").alias("gene_b"), "score"))
+    asked = both.where(F.col("gene_a") == GENE).select(F.col("gene_a").alias("query_gene"), F.col("gene_b").alias("partner"), "score")
+    return enrichment.cutoff_sweep(asked, i.pathway_rows)
+
+
+@query("select pathway_id, count(*) as n_listed, count(distinct gene) as n_genes from {pathway_rows} group by pathway_id")
+def pathway_sizes(i: Inputs) -> DataFrame:
+    return enrichment.sizes(_listed(i))
+
+
+@query("select gene, count(*) as n_pathways, min(pathway_id) as first_pathway, max(pathway_id) as last_pathway from {membership} group by gene")
+def annotated_pathways(i: Inputs) -> DataFrame:
+    return _listed(i).distinct().groupBy("gene").agg(F.count("*").alias("n_pathways"), F.min("pathway_id").alias("first_pathway"), F.max("pathway_id").alias("last_pathway"))
+
+
+@query(f"with {_U}, e as (select g, p, count(distinct pmid) as n from u where g = {GENE} group by g, p) select g as query_gene, pathway_id, count(*) as overlap_count, sum(n)::bigint as n_publications from e join {{membership}} m on m.gene = e.p group by g, pathway_id")
+def map_interactions(i: Inputs) -> DataFrame:
+    found = enrichment.hits(_partners(i), _listed(i))
+    pubs = F.aggregate("mapped", F.lit(0).cast("long"), lambda acc, m: acc + F.size(m["pmids"]))
+    return found.select("query_gene", "pathway_id", "overlap_count", pubs.alias("n_publications"))
+
+
+@query("select c_mktsegment as value, count(*) as n, row_number() over (order by count(*) desc, c_mktsegment) as rank from {customer} where c_mktsegment is not null group by c_mktsegment")
+def pathway_value_counts(i: Inputs) -> DataFrame:
+    counts = i.customer.where(F.col("c_mktsegment").isNotNull()).groupBy(F.col("c_mktsegment").alias("value")).agg(F.count("*").alias("n"))
+    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), "value")).cast("long"))
+
+
+@query("select n.n_name as top_level, c.c_custkey as pathway, coalesce(o.n, 0) as n from {customer} c join {nation} n on n.n_nationkey = c.c_nationkey left join (select o_custkey, count(*) as n from {orders} group by o_custkey) o on o.o_custkey = c.c_custkey where n.n_name <> 'FRANCE'")
+def hierarchy_left_counts(i: Inputs) -> DataFrame:
+    tree = i.customer.join(F.broadcast(i.nation), F.col("c_nationkey") == F.col("n_nationkey")).where(F.col("n_name") != "FRANCE")  # 25 nations
+    counts = i.orders.groupBy("o_custkey").agg(F.count("*").alias("n"))
+    return tree.join(counts, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("n_name").alias("top_level"), F.col("c_custkey").alias("pathway"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+# --- graph ---------------------------------------------------------------------------------------------------------
+
+_DOWN = "down(root, node) as (select src, dst from {edges} where rel = 'hasEvent' and src like 'R%' union select d.root, e.dst from down d join {edges} e on e.src = d.node and e.rel = 'hasEvent')"
+_ROLE = "roles(reaction, role, node) as (select src, case rel when 'input' then 'reactant' when 'catalystActivity' then 'catalyst' when 'regulatedBy' then 'regulator' end, dst from {edges} where src like 'X%' union select r.reaction, r.role, e.dst from roles r join {edges} e on e.src = r.node and e.rel = 'hasMember')"
+
+
+def _regions(i: Inputs) -> DataFrame:
+    return i.region.select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("root"))
+
+
+@query(f"with {_DOWN} select root, node from down", recursive=True)
+def event_topics_closure(i: Inputs) -> DataFrame:
+    return graph.descendants(_regions(i), i.edges)
+
+
+@query(f"with {_DOWN}, tp as (select d.node as event, r.r_name as topic from down d join {{region}} r on d.root = concat('R', r.r_regionkey::varchar)), ev as (select distinct dst as event from {{edges}} where rel = 'hasEvent') select ev.event, coalesce(min(topic) filter (where topic not in ('ASIA', 'EUROPE')), 'unknown') as topic from ev left join tp on tp.event = ev.event group by ev.event", recursive=True)
+def event_topic_pick(i: Inputs) -> DataFrame:
+    names = i.region.select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("root"), F.col("r_name").alias("topic"))
+    topics = graph.descendants(_regions(i), i.edges).join(F.broadcast(names), "root").select(F.col("node").alias("event"), "topic")  # five regions
+    events = i.edges.where("rel = 'hasEvent'").select(F.col("dst").alias("event")).distinct()
+    return graph.topic_pick(topics, events, ("ASIA", "EUROPE"))
+
+
+@query("select p.p_partkey as db_id, p.p_name as name, case when d.doc_id is null then p.p_name else coalesce(nullif(substr(d.text, 1, 40), ''), p.p_name) end as summary from {part} p left join {documents} d on d.doc_id = p.p_partkey")
+def event_summary_optional(i: Inputs) -> DataFrame:
+    events = i.part.select(F.col("p_partkey").alias("db_id"), F.col("p_name").alias("name"))
+    texts_ = i.documents.select(F.col("doc_id").alias("db_id"), F.substring("text", 1, 40).alias("summary"))
+    return graph.summaries(events, texts_).withColumn("summary", F.coalesce(F.nullif("summary", F.lit("")), "name"))
+
+
+@query(f"with {_ROLE}, pw as (select src as pathway, dst as reaction from {{edges}} where rel = 'hasEvent' and src like 'P%') select distinct pathway, r.reaction, role, node as gene from pw join roles r on r.reaction = pw.reaction", recursive=True)
+def reaction_roles(i: Inputs) -> DataFrame:
+    pathways = i.customer.select(F.concat(F.lit("P"), F.col("c_custkey").cast("string")).alias("pathway"))
+    return graph.reaction_roles(i.edges, pathways)
+
+
+@query(f"with {_ROLE}, pw as (select src as pathway, dst as reaction from {{edges}} where rel = 'hasEvent' and src like 'P%') select node as gene, count(distinct pathway) as n_pathways, min(pathway) as first_pathway from pw join roles r on r.reaction = pw.reaction group by node", recursive=True)
+def pathways_for_gene(i: Inputs) -> DataFrame:
+    return reaction_roles(i).groupBy("gene").agg(F.count_distinct("pathway").alias("n_pathways"), F.min("pathway").alias("first_pathway"))
+
+
+@query("select p_name as name, max(p_partkey) as db_id from {part} where p_brand in (select p_brand from {part} where p_size > 25) group by p_name")
+def name_to_id(i: Inputs) -> DataFrame:
+    nodes = i.part.select(F.col("p_name").alias("name"), F.col("p_partkey").alias("db_id"), "p_brand")
+    brands = i.part.where("p_size > 25").select("p_brand").distinct()
+    asked = nodes.join(brands, "p_brand", "left_semi").select("name")
+    return graph.name_to_id(nodes.join(brands, "p_brand", "left_semi"), asked)
+
+
+@query("with pw as (select src as pathway, dst as reaction from {edges} where rel = 'hasEvent' and src like 'P%'), r as (select distinct pathway, e.src as reaction, case e.rel when 'input' then 'reactant' when 'catalystActivity' then 'catalyst' else 'regulator' end as role, e.dst as gene from pw join {edges} e on e.src = pw.reaction) select pathway, md5(string_agg(distinct gene, ',' order by gene)) as genes_md5, md5(string_agg(concat(gene, ' in \"', reaction, '\" as ', role), '; ' order by concat(gene, ' in \"', reaction, '\" as ', role))) as roles_md5 from r group by pathway")
+def pathway_text(i: Inputs) -> DataFrame:
+    e = i.edges
+    below = e.where("rel = 'hasEvent' and src like 'P%'").select(F.col("src").alias("pathway"), F.col("dst").alias("reaction"))
+    direct = e.where(F.col("src").like("X%")).select(F.col("src").alias("reaction"), parsing.role_name("rel").alias("role"), F.col("dst").alias("gene"))
+    made = graph.role_text(below.join(direct, "reaction").distinct())
+    return made.select("pathway", F.md5("genes").alias("genes_md5"), F.md5("role_text").alias("roles_md5"))
+
+
+# --- vectors and literature ----------------------------------------------------------------------------------------
+
+
+@query("with t as (select doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') as w from {documents}), s as (select doc_id, w, unnest(range(0, greatest(len(w) - 10, 1)::bigint, 246)) as start from t) select doc_id, start, md5(list_aggregate(w[start + 1:start + 256], 'string_agg', ' ')) as chunk_md5 from s".replace("\\\\", "\\"))
+def chunk_tokens(i: Inputs) -> DataFrame:
+    cut = vectors.token_windows(i.documents.select("doc_id", "text"), "text")
+    return cut.select("doc_id", F.col("start").cast("long").alias("start"), F.md5("chunk").alias("chunk_md5"))
+
+
+_COS = "list_inner_product(list_transform(a.embedding, lambda x: x::double), list_transform(b.embedding, lambda x: x::double)) / sqrt(list_inner_product(list_transform(a.embedding, lambda x: x::double), list_transform(a.embedding, lambda x: x::double)) * list_inner_product(list_transform(b.embedding, lambda x: x::double), list_transform(b.embedding, lambda x: x::double)))"
+
+
+@query(f"select a.vec_id, b.pathway, b.vec_id as pathway_vec, round({_COS}, 6) as score from {{embeddings}} a, {{pathway_chunks}} b where {_COS} >= 0.4")
+def cosine_pairs(i: Inputs) -> DataFrame:
+    left = i.pathway_chunks.select("pathway", F.col("vec_id").alias("pathway_vec"), vectors.unit(F.col("embedding")).alias("vb"))
+    right = i.embeddings.select("vec_id", vectors.unit(F.col("embedding")).alias("va"))
+    scored = right.crossJoin(left).select("vec_id", "pathway", "pathway_vec", vectors.dot(F.col("va"), F.col("vb")).alias("score"))  # 50 pathway chunks
+    return scored.where("score >= 0.4").withColumn("score", F.round("score", 6))
+
+
+@query(f"select b.pathway, a.doc, round(avg({_COS}), 6) as score from {{abstract_chunks}} a, {{pathway_chunks}} b group by b.pathway, a.doc")
+def avg_pair_similarity(i: Inputs) -> DataFrame:
+    return evidence.pair_scores(i.pathway_chunks, i.abstract_chunks, ("pathway", "doc")).select("pathway", "doc", F.round("score", 6).alias("score"))
+
+
+@query(f"select b.pathway, a.doc, round(max({_COS}), 6) as score from {{abstract_chunks}} a, {{pathway_chunks}} b group by b.pathway, a.doc")
+def max_pair_similarity(i: Inputs) -> DataFrame:
+    return evidence.pair_scores(i.pathway_chunks, i.abstract_chunks, ("pathway", "doc"), "max").select("pathway", "doc", F.round("score", 6).alias("score"))
+
+
+_L2 = "list_sum(list_transform(list_zip(a.embedding, q.embedding), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double)))"
+
+
+def _query_vector(i: Inputs) -> list[float]:
+    return i.embeddings.orderBy("vec_id").select("embedding").first()[0]
+
+
+@query(f"select a.vec_id, round({_L2}, 6) as distance from {{embeddings}} a, (select embedding from {{embeddings}} order by vec_id limit 1) q order by {_L2}, a.vec_id limit 12")
+def knn_l2(i: Inputs) -> DataFrame:
+    return evidence.nearest(i.embeddings, _query_vector(i)).withColumn("distance", F.round("distance", 6))
+
+
+@query(f"select * from (select a.vec_id, round({_L2}, 6) as distance from {{embeddings}} a, (select embedding from {{embeddings}} order by vec_id limit 1) q order by {_L2}, a.vec_id limit 12) where distance <= 1.5")
+def knn_cutoff(i: Inputs) -> DataFrame:
+    return evidence.nearest(i.embeddings, _query_vector(i), cutoff=1.5).withColumn("distance", F.round("distance", 6))
+
+
+@query("select pmid, nullif(regexp_extract(reply, 'score:\\s*(\\d+)', 1), '')::bigint as score from {llm_replies}")
+def llm_score_extract(i: Inputs) -> DataFrame:
+    return i.llm_replies.select("pmid", parsing.reply_score("reply").cast("long").alias("score"))
+
+
+@query(f"""with c as (select b.pathway, a.doc::varchar as pmid, avg({_COS}) as cs from {{abstract_chunks}} a, {{pathway_chunks}} b group by b.pathway, a.doc),
+s as (select c.*, nullif(regexp_extract(reply, 'score:\\s*(\\d+)', 1), '')::bigint as ls from c join {{llm_replies}} r on r.pmid = c.pmid), k as (select *, row_number() over (partition by pathway order by round(cs, 9) desc, ls desc nulls last, pmid) as rank from s where round(cs, 9) >= 0.05 and (ls is null or ls >= 3))
+select pathway, pmid, ls as llm_score, rank from k where rank <= 3""")
+def evidence_rank_top3(i: Inputs) -> DataFrame:
+    cos = evidence.pair_scores(i.pathway_chunks, i.abstract_chunks, ("pathway", "doc")).select("pathway", F.col("doc").cast("string").alias("pmid"), F.round("score", 9).alias("cos_score"))
+    scored = cos.join(i.llm_replies.select("pmid", parsing.reply_score("reply").cast("long").alias("llm_score")), "pmid")
+    return evidence.rank_evidence(scored, 0.05).select("pathway", "pmid", "llm_score", "rank")
+
+
+@query("select o.o_orderkey as ref, a.pmid, length(a.abstract)::bigint as n from {orders} o join {abstracts} a on a.pmid = (o.o_custkey)::varchar")
+def abstract_join(i: Inputs) -> DataFrame:
+    wanted = i.orders.select(F.col("o_orderkey").alias("ref"), F.col("o_custkey").cast("string").alias("pmid"))
+    return wanted.join(i.abstracts, "pmid").select("ref", "pmid", F.length("abstract").cast("long").alias("n"))
+
+
+@query("select source, md5(string_agg(concat('PMID ', doc_id::varchar, ':', text, chr(10), chr(10)), '' order by doc_id)) as context_md5 from {documents} group by source")
+def context_text(i: Inputs) -> DataFrame:
+    rows = i.documents.select("source", "doc_id", F.col("doc_id").cast("string").alias("pmid"), F.col("text").alias("abstract"))
+    return texts.abstracts_context(rows, "source", "doc_id").select("source", F.md5("context").alias("context_md5"))
+
+
+@query("select c_custkey, list_aggregate(regexp_extract_all(concat('see PATHWAY_NAME:\"', c_name, '\" and PATHWAY_NAME:\"', c_mktsegment, '\"; PATHWAY_NAME:\"\"'), 'PATHWAY_NAME:\"([^\"]+)\"', 1), 'string_agg', '|') as names from {customer}")
+def cited_names(i: Inputs) -> DataFrame:
+    said = F.concat(F.lit('see PATHWAY_NAME:"'), "c_name", F.lit('" and PATHWAY_NAME:"'), "c_mktsegment", F.lit('"; PATHWAY_NAME:""'))
+    return i.customer.select("c_custkey", F.array_join(parsing.cited_names(said), "|").alias("names"))
+
+
+@query("select doc_id, md5(list_aggregate(list_transform(string_split(text, chr(10)), lambda l: trim(split_part(l, ':', 1))), 'string_agg', '|')) as names_md5 from {documents}")
+def docs_names(i: Inputs) -> DataFrame:
+    return i.documents.select("doc_id", F.md5(F.array_join(parsing.leading_names("text"), "|")).alias("names_md5"))
+
+
+@query("with x as (select l_suppkey, unnest(string_split(concat(l_orderkey::varchar, '|', l_partkey::varchar), '|')) as id from {lineitem}) select l_suppkey, count(distinct id) as n, md5(string_agg(distinct id, ',' order by id)) as ids_md5 from x group by l_suppkey")
+def pmid_flatten(i: Inputs) -> DataFrame:
+    lists = i.lineitem.groupBy("l_suppkey").agg(F.collect_list(F.concat_ws("|", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"))).alias("pmids"))
+    flat = lists.select("l_suppkey", F.array_sort(parsing.flat_publications("pmids")).alias("ids"))
+    return flat.select("l_suppkey", F.size("ids").cast("long").alias("n"), F.md5(F.array_join("ids", ",")).alias("ids_md5"))
+
+
+@query("with h as (select doc_id, (len(regexp_split_to_array(lower(text), '\\bthe\\b')) - 1)::bigint as hits from {documents}) select doc_id::varchar as pmid, hits from h where hits > 0 order by hits desc, doc_id limit 8")
+def literature_search_local(i: Inputs) -> DataFrame:
+    return evidence.search(i.abstracts, "the")
+
+
+@query("with s as (select 'x' as g) select o_custkey as gene, concat(o_custkey::varchar, ' interactions or ', o_custkey::varchar, ' reactions or ', o_custkey::varchar, ' pathways') as term, concat('(', o_custkey::varchar, ' interactions or ', o_custkey::varchar, ' reactions or ', o_custkey::varchar, ' pathways)') as grouped, case when o_custkey % 2 = 0 then concat('f/', o_custkey::varchar, '.PDF') else concat('data/papers/', o_custkey::varchar, '.pdf') end as path from (select distinct o_custkey from {orders})")
+def search_strings(i: Inputs) -> DataFrame:
+    g = F.col("gene").cast("string")
+    asked = i.orders.select(F.col("o_custkey").alias("gene")).distinct()
+    ref = F.when(F.col("gene") % 2 == 0, F.concat(F.lit("f/"), g, F.lit(".PDF"))).otherwise(g)
+    return asked.select("gene", parsing.search_string(g).alias("term"), parsing.search_string(g, True).alias("grouped"), parsing.pdf_path(ref).alias("path"))
+
+
+# --- decisions -----------------------------------------------------------------------------------------------------
+
+
+@query("""with t as (select d.doc_id, d.text, list_filter(list_distinct(regexp_split_to_array(lower(d.text), '\\s+')), lambda x: x <> '') as a, list_filter(list_distinct(regexp_split_to_array(lower(b.text), '\\s+')), lambda x: x <> '') as b from {documents} d join {benchmark} b on b.item_id = d.doc_id % 40),
+s as (select doc_id, len(list_intersect(a, b)) as o, greatest(0, least(10, len(list_intersect(a, b)) // 5 + case when len(trim(text)) > 0 then 4 else 0 end)) as sc from t)
+select doc_id, o::bigint as overlap, sc::bigint as score, case when sc >= 7 then 'high' when sc >= 5 then 'medium' else 'low' end as strength, case when sc >= 6 then 'accept' when sc >= 4 then 'review' else 'reject' end as recommendation, sc / 10.0::double as confidence from s""")
+def evidence_evaluation(i: Inputs) -> DataFrame:
+    pairs = i.documents.join(i.benchmark.select("item_id", F.col("text").alias("reference")), F.col("doc_id") % 40 == F.col("item_id"))
+    return pairs.select("doc_id", decisions.evidence(F.col("text"), F.col("reference")).alias("e")).select("doc_id", "e.*")
+
+
+@query("with e as (select batch_id, d.i - 1 as position, json_keys(json_extract(doc::json, concat('$.entities[', (d.i - 1)::varchar, ']'))) as k from {instances}, (select unnest(range(1, 2)) as i) d) select batch_id, 'entities' as part, position::bigint as position, f.f as missing from e, (values ('class'), ('displayName')) f(f) where not list_contains(k, f.f)")
+def schema_validation(i: Inputs) -> DataFrame:
+    return decisions.structural_errors(i.instances)
+
+
+@query("select batch_id, 1::bigint as entities, 0::bigint as reactions, 1::bigint as pathways, 2::bigint as instances from {instances}")
+def instance_counts(i: Inputs) -> DataFrame:
+    return decisions.instance_counts(i.instances)
+
+
+@query("with c as (select n.c_nationkey, count(*) filter (where n.c_mktsegment in (select c_mktsegment from {customer} o where o.c_nationkey = 0)) as conflicts from {customer} n where n.c_nationkey <> 0 group by n.c_nationkey) select c_nationkey::bigint as batch, conflicts, case when conflicts > 0 then 0.7 else 1.0 end::double as score from c")
+def consistency_check(i: Inputs) -> DataFrame:
+    known = i.customer.where("c_nationkey = 0").select("c_mktsegment").distinct().withColumn("known", F.lit(1))
+    new = i.customer.where("c_nationkey <> 0").join(known, "c_mktsegment", "left")
+    out = new.groupBy(F.col("c_nationkey").cast("long").alias("batch")).agg(F.count("known").alias("conflicts"))
+    return out.withColumn("score", F.when(F.col("conflicts") > 0, 0.7).otherwise(1.0))
+
+
+_CRITERIA = "select l_orderkey, l_linenumber, l_partkey, l_discount * 10 as a, l_tax * 12 as b, (l_quantity % 11) / 10 as c, 0.9 as d, l_returnflag, l_linestatus from {lineitem}"
+
+
+def _criteria(i: Inputs, names: dict[str, float]) -> DataFrame:
+    values = [F.col("l_discount") * 10, F.col("l_tax") * 12, (F.col("l_quantity") % 11) / 10, F.lit(0.9)]
+    return i.lineitem.select("l_partkey", "l_returnflag", "l_linestatus", *[v.alias(n) for v, n in zip(values, names, strict=True)])
+
+
+@query(f"with c as ({_CRITERIA}), s as (select *, round(a * 0.25 + b * 0.25 + c * 0.25 + d * 0.25, 6) as score from c) select l_partkey, score, case when score < 0.5 or l_returnflag = 'A' then 'reject' when score >= 0.7 and l_linestatus <> 'O' then 'approve' else 'revise' end as decision, count(*) as n from s group by all")
+def review_decision(i: Inputs) -> DataFrame:
+    rows = _criteria(i, decisions.REVIEW).withColumn("score", decisions.weighted(decisions.REVIEW))
+    made = rows.withColumn("decision", decisions.review_decision(F.col("score"), F.col("l_linestatus") == "O", F.col("l_returnflag") == "A"))
+    return made.groupBy("l_partkey", "score", "decision").agg(F.count("*").alias("n"))
+
+
+@query(f"with c as ({_CRITERIA}), s as (select *, round(a * 0.3 + b * 0.25 + c * 0.25 + d * 0.2, 6) as score, case l_returnflag when 'A' then 'reject' when 'N' then 'approve' else 'revise' end as expert from c) select l_partkey, score, case when score < 0.6 or l_linestatus = 'O' or expert = 'reject' then 'reject' when score >= 0.7 and expert = 'approve' then 'approve' else 'conditional' end as decision, count(*) as n from s group by all")
+def qa_decision(i: Inputs) -> DataFrame:
+    expert = F.when(F.col("l_returnflag") == "A", "reject").when(F.col("l_returnflag") == "N", "approve").otherwise("revise")
+    rows = _criteria(i, decisions.QA).withColumn("score", decisions.weighted(decisions.QA)).withColumn("expert", expert)
+    made = rows.withColumn("decision", decisions.qa_decision(F.col("score"), F.col("l_linestatus") == "O", F.col("expert")))
+    return made.groupBy("l_partkey", "score", "decision").agg(F.count("*").alias("n"))
+
+
+@query("select gene, count(*) as n_votes, count(*) filter (where decision = 'approve') as n_approve, count(*) filter (where decision = 'requires_revision') as n_revision, count(*) filter (where decision = 'reject') as n_reject, round(avg(confidence), 6) as confidence, case when count(*) filter (where decision = 'reject' and confidence >= 0.7) > 0 then 'reject' when count(*) filter (where decision = 'requires_revision') > 0 then 'requires_revision' else 'approve' end as decision from {votes} group by gene")
+def vote_consensus(i: Inputs) -> DataFrame:
+    return decisions.consensus(i.votes)
+
+
+_LOOSE = "case doc_id % 4 when 0 then 'plain words' when 1 then '{{\"decision\":\"approve\",\"confidence\":0.9}}' when 2 then '[{{\"decision\":\"reject\"}},{{\"decision\":\"approve\"}},1]' else '42' end"
+
+
+@query("select doc_id, case doc_id % 4 when 0 then 'raw_text' when 1 then 'object' when 2 then 'array' else 'unknown' end as kind, case doc_id % 4 when 2 then 3 else 1 end::bigint as records, case doc_id % 4 when 1 then 'approve' when 2 then 'reject' else 'unknown' end as decision, case doc_id % 4 when 1 then 0.9 else 0.0 end::double as confidence from {documents}")
+def lenient_parse(i: Inputs) -> DataFrame:
+    said = i.documents.select("doc_id", F.expr(_LOOSE.replace("{{", "{").replace("}}", "}")).alias("said"))
+    return said.select("doc_id", parsing.loose_records("said").alias("r"), parsing.vote_of("said").alias("v")).select("doc_id", "r.*", "v.*")
+
+
+# --- jobs ----------------------------------------------------------------------------------------------------------
+
+
+@query("select job_id, event_id, row_number() over (partition by job_id order by ts, event_id) - 1 as seq from {job_events}")
+def job_event_seq(i: Inputs) -> DataFrame:
+    return jobs.sequenced(i.job_events).select("job_id", "event_id", "seq")
+
+
+@query("with s as (select job_id, event_id, row_number() over (partition by job_id order by ts, event_id) - 1 as seq from {job_events}) select job_id, event_id, seq, 10 + count(*) over (partition by job_id) as next_since from s where seq between 10 and 29")
+def job_log_page(i: Inputs) -> DataFrame:
+    return jobs.page(jobs.sequenced(i.job_events), 10, 20).select("job_id", "event_id", "seq", "next_since")
+
+
+_LAST = "select distinct on (job_id) job_id, case status when 'error' then 'error' when 'end' then 'done' else 'running' end as status from {job_events} order by job_id, ts desc, event_id desc"
+
+
+@query(_LAST)
+def job_latest_status(i: Inputs) -> DataFrame:
+    return jobs.latest(i.job_events)
+
+
+@query(f"with l as ({_LAST}) select count(*) as total, count(*) filter (where status = 'running') as running, count(*) filter (where status = 'done') as done, count(*) filter (where status = 'error') as error from l")
+def job_status_counts(i: Inputs) -> DataFrame:
+    return jobs.status_counts(jobs.latest(i.job_events))
+
+
+@query("select event_id, case when event_type = 'error' or value > 90 then 'error' else 'end' end as outcome from {events}")
+def tool_event_status(i: Inputs) -> DataFrame:
+    calls = i.events.select("event_id", (F.col("event_type") == "error").alias("raised"), F.when(F.col("value") > 90, '{"status": "failed"}').otherwise(F.col("props")).alias("payload"))
+    return jobs.tool_status(calls).select("event_id", "outcome")
+
+
+@query("""with r as (select r_regionkey as id, case r_regionkey when 0 then [] when 1 then ['phase_1_literature_extraction', 'phase_5_final_consensus'] else ['phase_1_literature_extraction', 'phase_3_expert_review'] end as phases, case when r_regionkey < 2 then [] else ['extractor'] end as agents from {region}),
+p(ord, phase, agent) as (values (0, 'phase_1_literature_extraction', 'extractor'), (1, 'phase_2_data_model_creation', 'curator'), (2, 'phase_3_expert_review', 'reviewer'), (3, 'phase_4_quality_assurance', 'qa_checker'), (4, 'phase_5_final_consensus', 'reviewer'))
+select id::bigint as id, ord::bigint as ord, phase, case when len(phases) > 0 and not list_contains(phases, phase) then 'skipped: disabled' when len(agents) > 0 and not list_contains(agents, agent) then 'skipped: no agent' else 'run' end as outcome from r, p""")
+def phase_skip_table(i: Inputs) -> DataFrame:
+    first, last, review = "phase_1_literature_extraction", "phase_5_final_consensus", "phase_3_expert_review"
+    none = F.array().cast("array<string>")
+    phases = F.when(F.col("r_regionkey") == 0, none).when(F.col("r_regionkey") == 1, F.array(F.lit(first), F.lit(last))).otherwise(F.array(F.lit(first), F.lit(review)))
+    asked = i.region.select(F.col("r_regionkey").cast("long").alias("id"), phases.alias("phases"), F.when(F.col("r_regionkey") < 2, none).otherwise(F.array(F.lit("extractor"))).alias("agents"))
+    return jobs.phase_plan(asked).select("id", "ord", "phase", "outcome")
+
+
+@query("select 'curator' as agent, t.o::bigint as ord, t.t as tool from (values (0, 'reactome_query'), (3, 'evidence_evaluation')) t(o, t) union all select 'extractor', 3, 'evidence_evaluation' union all select 'reviewer', t.o, t.t from (values (1, 'reactome_query'), (2, 'evidence_evaluation')) t(o, t) union all select 'qa_checker', 3, 'reactome_query'")
+def tool_filter(i: Inputs) -> DataFrame:
+    return jobs.enabled(jobs.tool_table(i.spark), ["reactome_query", "evidence_evaluation"], "tool")
+
+
+_REQUESTS = "select o_orderkey as id, case when o_orderkey % 3 = 0 then ' ' else o_orderkey::varchar end as gene, o_orderkey % 2 = 0 as search, o_orderkey % 5 > 1 as papers, o_orderkey % 7 > 2 as fulltext from {orders}"
+
+
+def _requests(i: Inputs) -> DataFrame:
+    k = F.col("o_orderkey")
+    return i.orders.select(k.alias("id"), F.when(k % 3 == 0, " ").otherwise(k.cast("string")).alias("gene"), (k % 2 == 0).alias("search"), (k % 5 > 1).alias("papers"), (k % 7 > 2).alias("fulltext"))
+
+
+@query(f"with r as ({_REQUESTS}) select id, case when not papers and not search then 'papers missing' when search and trim(gene) = '' then 'gene missing' end as error from r")
+def request_validation(i: Inputs) -> DataFrame:
+    asked = _requests(i).withColumn("pmids", F.when(F.col("papers"), F.array(F.lit("1"))))
+    return jobs.validated(asked).select("id", "error")
+
+
+@query(f"with r as ({_REQUESTS}) select id, case when search and trim(gene) <> '' then 2 - fulltext::bigint when papers and search then 4 - fulltext::bigint when papers then 6 - fulltext::bigint else 7 end::bigint as branch, coalesce(nullif(trim(gene), ''), 'UNSPECIFIED_GENE') as gene from r")
+def task_branch(i: Inputs) -> DataFrame:
+    return jobs.workflow_branch(_requests(i)).select("id", "branch", parsing.gene_or_default("gene").alias("gene"))
+
+
+@query("select o_custkey as gene, count(*) as attempted, count(*) filter (where o_orderstatus = 'F') as successful, round(max(case when o_orderstatus = 'F' then o_totalprice end), 2) as best, coalesce(max(case when o_orderstatus = 'F' then 1 end), 0)::bigint as any_success from {orders} group by o_custkey")
+def batch_summary(i: Inputs) -> DataFrame:
+    done = F.col("o_orderstatus") == "F"
+    return i.orders.groupBy(F.col("o_custkey").alias("gene")).agg(
+        F.count("*").alias("attempted"), F.count_if(done).alias("successful"), F.round(F.max(F.when(done, F.col("o_totalprice"))), 2).alias("best"), F.coalesce(F.max(F.when(done, 1)), F.lit(0)).cast("long").alias("any_success")
+    )
+
+
+@query("select o_orderkey as id, o_custkey::varchar as gene, 'binds' as type, o_orderstatus as other from {orders} union all select o_orderkey, 'X', 'acts on', o_custkey::varchar from {orders}")
+def relationship_parse(i: Inputs) -> DataFrame:
+    c = F.col("o_custkey").cast("string")
+    said = F.concat(F.lit("Found:\n"), c, F.lit(" - binds -> "), "o_orderstatus", F.lit("\n X - acts on -> "), c)
+    return i.orders.select(F.col("o_orderkey").alias("id"), F.explode(texts.relationships(said)).alias("r")).select("id", "r.*")
+
+
+# --- model stages --------------------------------------------------------------------------------------------------
+
+
+@query()
+def prompt_render(i: Inputs) -> DataFrame:
+    context = texts.abstracts_context(i.documents.select("source", "doc_id", F.col("doc_id").cast("string").alias("pmid"), F.col("text").alias("abstract")), "source", "doc_id")
+    return context.select("source", F.length(texts.render("abstract_summary", gene=F.col("source"), text=F.left("context", F.lit(4000)))).cast("long").alias("n_chars"))
+
+
+@query()
+def llm_stub_summary(i: Inputs) -> DataFrame:
+    prompts = i.documents.select("doc_id", texts.render("abstract_match", text=F.col("text")).alias("prompt"))
+    return models.ask(prompts, "prompt").select("doc_id", "answer", parsing.reply_score("answer").cast("long").alias("score"))
+
+
+@query()
+def annotate_gene(i: Inputs) -> DataFrame:
+    """Entry A up to the model: partners, enrichment, pruning, evidence; one status row where a stage is empty."""
+    annotated = i.membership.select(F.col("gene").alias("query_gene"), "pathway_id")
+    chosen = enrichment.top(enrichment.without_annotated(enrichment.partner_enrichment(_partners(i), _listed(i), None), annotated))
+    pathways = chosen.join(i.pathway_chunks.withColumnRenamed("pathway", "label"), F.col("pathway_id") % 10 == F.col("label")).select(F.col("pathway_id").alias("pathway"), "embedding", "fdr")
+    cos = evidence.pair_scores(pathways, i.abstract_chunks, ("pathway", "doc")).select("pathway", F.col("doc").cast("string").alias("pmid"), F.col("score").alias("cos_score"))
+    prompts = cos.where("cos_score >= 0.05").join(i.abstracts, "pmid").withColumn("prompt", texts.render("abstract_match", text=F.col("abstract")))
+    scored = models.ask(prompts, "prompt").withColumn("llm_score", parsing.reply_score("answer").cast("long"))
+    best = evidence.rank_evidence(scored, 0.05).select(F.lit(GENE).cast("long").alias("query_gene"), "pathway", "pmid", F.round("cos_score", 6).alias("cos_score"), "llm_score", "rank")
+    asked = i.spark.range(1).select(F.lit(GENE).cast("long").alias("query_gene"))
+    return asked.join(best, "query_gene", "left").withColumn("status", F.when(F.col("pathway").isNull(), "no_support").otherwise("ok"))

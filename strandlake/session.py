@@ -23,3 +23,13 @@ def build_session(app: str = "strandlake", master: str | None = None, **conf: st
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Checkpoints go where spark.checkpoint.dir says; only where it says nothing a local folder is set (tests)."""
+    import tempfile
+
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    spark.sparkContext.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="strandlake-"))
