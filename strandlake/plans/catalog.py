@@ -139,16 +139,17 @@ en as (select q, pathway_id, x, n, p, least(1.0, min(p * m / r) over (partition
 _ONE = f"select g as q, p as gene from (select distinct g, p from u) where g = {GENE}"
 
 
-@query(f"with {_U}, {_enrich_sql(_ONE)} select q as query_gene, pathway_id, x as overlap_count, round(p, 8) as p_value, round(fdr, 8) as fdr from en where fdr < 0.05")
+@query(f"with {_U}, {_enrich_sql(_ONE)} select q as query_gene, pathway_id, x as overlap_count, round(p, 8) as p_value, round(fdr, 8) as fdr, fdr < 0.05 as significant from en")
 def pathway_enrichment(i: Inputs) -> DataFrame:
-    out = enrichment.partner_enrichment(_partners(i), _listed(i))
-    return out.select("query_gene", "pathway_id", "overlap_count", F.round("p_value", 8).alias("p_value"), F.round("fdr", 8).alias("fdr"))
+    out = enrichment.partner_enrichment(_partners(i), _listed(i), None)
+    return out.select("query_gene", "pathway_id", "overlap_count", F.round("p_value", 8).alias("p_value"), F.round("fdr", 8).alias("fdr"), (F.col("fdr") < 0.05).alias("significant"))
 
 
 @query()
 def pathway_enrichment_all_genes(i: Inputs) -> DataFrame:
-    out = enrichment.partner_enrichment(_partners(i, None), i.pathway_rows)
-    return out.select("query_gene", "pathway_id", "overlap_count", F.round("p_value", 8).alias("p_value"), F.round("fdr", 8).alias("fdr"))
+    """The best 8 pathways of every gene; too slow in SQL on whole tables, tested on a small fixture."""
+    found = enrichment.partner_enrichment(_partners(i, None), i.pathway_rows, None).withColumn("fdr", F.round("fdr", 10))
+    return enrichment.top(found).select("query_gene", "pathway_id", "overlap_count", F.round("p_value", 8).alias("p_value"), "rank")
 
 
 @query(f"with lst as (select p_size as q, p_partkey as gene from {{part}}), {_enrich_sql('select q, gene from lst', 'select pathway_id, count(*) as k from {membership} group by pathway_id', False)} select q::bigint as query_gene, pathway_id, x as overlap_count, round(p, 8) as p_value, round(fdr, 8) as fdr from en")
@@ -158,10 +159,10 @@ def gene_list_enrichment(i: Inputs) -> DataFrame:
     return out.select("query_gene", "pathway_id", "overlap_count", F.round("p_value", 8).alias("p_value"), F.round("fdr", 8).alias("fdr"))
 
 
-@query(f"with {_U}, {_enrich_sql(_ONE)} select q as query_gene, pathway_id, round(fdr, 8) as fdr from en where fdr < 0.9 and not exists (select 1 from {{membership}} m where m.pathway_id = en.pathway_id and m.gene = q)")
+@query(f"with {_U}, {_enrich_sql(_ONE)} select q as query_gene, pathway_id, round(fdr, 8) as fdr from en where not exists (select 1 from {{membership}} m where m.pathway_id = en.pathway_id and m.gene = q)")
 def enrichment_exclude_annotated(i: Inputs) -> DataFrame:
     annotated = i.membership.select(F.col("gene").alias("query_gene"), "pathway_id")
-    out = enrichment.without_annotated(enrichment.partner_enrichment(_partners(i), _listed(i), 0.9), annotated)
+    out = enrichment.without_annotated(enrichment.partner_enrichment(_partners(i), _listed(i), None), annotated)
     return out.select("query_gene", "pathway_id", F.round("fdr", 8).alias("fdr"))
 
 
