@@ -49,20 +49,19 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     h, blank = gear(data), tk.BLANK[data]
-    ends = blank & (h % EVERY == 0)
+
+    def deep(at: np.ndarray, depth: int) -> np.ndarray:
+        """Those of the bytes at whose last `depth` bytes lie in one text."""
+        return at[at - offsets[np.searchsorted(offsets, at, side="right") - 1] >= depth - 1]
+
+    ends = [deep(np.flatnonzero(blank & (h % EVERY == 0)), WINDOW)]
     if len(data) > SOLID:
         blanks = np.cumsum(blank)
-        solid = np.zeros(len(data), bool)
-        solid[SOLID:] = blanks[SOLID:] == blanks[:-SOLID]
-        at = np.flatnonzero(solid & (h % SOLID_EVERY == 0))
-        at = at[at + 1 < len(data)]
-        ends[at[(data[at + 1] & 0xC0) != 0x80]] = True
-    start = np.flatnonzero(ends) + 1
-    text = np.searchsorted(offsets, start, side="right") - 1
-    inside = (start < len(data)) & (start - 1 - offsets[np.minimum(text, len(offsets) - 2)] >= WINDOW - 1)
-    # The window of a byte must lie inside its text; a solid stretch must too.
-    filled = offsets[:-1][np.diff(offsets) > 0]
-    start = np.union1d(start[inside], filled)
+        at = np.flatnonzero((blanks[SOLID:] == blanks[:-SOLID]) & (h[SOLID:] % SOLID_EVERY == 0)) + SOLID
+        at = deep(at[at + 1 < len(data)], SOLID + 1)
+        ends.append(at[(data[at + 1] & 0xC0) != 0x80])
+    start = np.concatenate(ends) + 1
+    start = np.union1d(start[start < len(data)], offsets[:-1][np.diff(offsets) > 0])
     return start, np.searchsorted(offsets, start, side="right") - 1
 
 
