@@ -8,8 +8,9 @@ difference a set of that size may have. Rarity is counted over all texts; a bloc
 
 Within a block's group every set is first compared with one hub, and the components of these links are found. Only
 sets of one group that are still apart are then compared with each other: small groups pair by pair, groups of more
-than GROUP in tiles of full sketches, whose Hamming distance bounds the difference from below. Survivors are verified
-on whole shingle sets. So a group of thousands of near copies costs rows in proportion to its members, and no link
+than GROUP in tiles of full sketches, whose Hamming distance bounds the difference from below. Tiles first offer the
+closest pair of each component, and once more, in full, what is apart after that. Survivors are verified on whole
+shingle sets. So a group of thousands of near copies costs rows in proportion to its members, and no link
 between different texts is lost. Equal sets are one class throughout.
 
 Hash classes are 64-bit: n distinct sets collide with a chance of about n * n / 2 ** 65.
@@ -21,6 +22,8 @@ null id has a component only through the copies and links of its text.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -307,8 +310,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     return near.mapInArrow(exact, "a long, b long")
 
 
-def _apart_in_tiles(members: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs of one large group that lie in different components and pass size and sketch, by tiles of TILE members."""
+def _apart_in_tiles(members: DataFrame, sets: DataFrame, bands: Bands, nearest: bool) -> DataFrame:
+    """Pairs of one large group that lie in different components and pass size and sketch, by tiles of TILE members.
+
+    nearest keeps for each component of a tile only its closest pair.
+    """
     num, den = bands.num, bands.den
     tiles = F.ceil(F.col("m") / TILE).cast("int")
     dealt = members.withColumn("tile", F.pmod(F.xxhash64("class"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
@@ -318,7 +324,7 @@ def _apart_in_tiles(members: DataFrame, sets: DataFrame, bands: Bands) -> DataFr
         first = pdf["tile"].to_numpy() == pdf["i"].iloc[0]
         own = pdf["i"].iloc[0] == pdf["j"].iloc[0]
         x, y = pdf[first], pdf[first] if own else pdf[~first]
-        out = []
+        out, keep = [], {}
         sketches = [np.frombuffer(s, U) for s in y["sketch"]]
         ids, labels, sizes = (y[c].to_numpy() for c in ("class", "label", "size"))
         by_length = {n: np.flatnonzero([len(s) == n for s in sketches]) for n in {len(s) for s in sketches}}
@@ -333,9 +339,21 @@ def _apart_in_tiles(members: DataFrame, sets: DataFrame, bands: Bands) -> DataFr
                     b = b[:, : b.shape[1] // 2] ^ b[:, b.shape[1] // 2 :]
                 small, large = np.minimum(size, sizes[at]), np.maximum(size, sizes[at])
                 hit = (labels[at] != label) & (den * small >= num * large) & ((ids[at] > cls) | (not own))
-                if hit.any():
-                    hit[hit] = np.bitwise_count(a ^ b[hit]).sum(axis=1) <= (den - num) * small[hit] // num
-                    out += [(cls, size, ids[k], sizes[k]) for k in at[hit]]
+                if not hit.any():
+                    continue
+                distance = np.bitwise_count(a ^ b[hit]).sum(axis=1)
+                passed = distance <= (den - num) * small[hit] // num
+                found, distance = at[hit][passed], distance[passed]
+                if not nearest:
+                    out += [(cls, size, ids[k], sizes[k]) for k in found]
+                elif len(found):
+                    order = np.lexsort((distance, labels[found]))
+                    first = np.append(True, np.diff(labels[found][order]) != 0)
+                    for k, d in zip(found[order][first].tolist(), distance[order][first].tolist(), strict=True):
+                        pair = (d, cls, size, ids[k], sizes[k])
+                        for side in (label, labels[k]):
+                            keep[side] = min(keep.get(side, pair), pair)
+        out += [pair[1:] for pair in set(keep.values())]
         return pd.DataFrame(out, columns=["a", "size_a", "b", "size_b"]).astype("int64")
 
     return dealt.groupBy("token", "i", "j").applyInPandas(compare, "a long, size_a long, b long, size_b long")
@@ -358,23 +376,34 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     sets = materialise(class_sets(rows, materialise(wanted, "wanted"), n), "sets")
     linked = materialise(_verified(stars, sets, bands), "links")
 
-    labels = connected_components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    members = first.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("component", "class")).drop("component")
-    apart = members.groupBy("token").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", "m")
-    members = materialise(members.join(apart, "token"), "apart")
+    def apart(labels: DataFrame) -> DataFrame:
+        """Members of the groups that still hold several components."""
+        members = first.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("component", "class")).drop("component")
+        mixed = members.groupBy("token").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", "m")
+        return materialise(members.join(mixed, "token"), "apart")
+
+    def components(*links: DataFrame) -> DataFrame:
+        return connected_components(functools.reduce(DataFrame.unionByName, links).select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+    columns = ["a", "size_a", "b", "size_b"]
+    members = apart(components(linked))
     few = members.where(F.col("m") <= GROUP)
     left, right = (few.select("token", F.col("class").alias(c), F.col("size").alias(f"size_{c}"), F.col("label").alias(f"label_{c}")) for c in ("a", "b"))
     few = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))).where(_fits(bands))
-    many = _apart_in_tiles(members.where(F.col("m") > GROUP), sets, bands)
-    columns = ["a", "size_a", "b", "size_b"]
+    many = _apart_in_tiles(members.where(F.col("m") > GROUP), sets, bands, nearest=True)
     more = materialise(_verified(few.select(columns).unionByName(many.select(columns)).distinct(), sets, bands), "links")
-
-    reps = classes.select("class", "rep")
-    ends = linked.unionByName(more).join(reps.withColumnsRenamed({"class": "a", "rep": "u"}), "a").join(reps.withColumnsRenamed({"class": "b", "rep": "v"}), "b")
-    parts = connected_components(ends.select("u", "v")).withColumnRenamed("node", "rep")
-    of_class = reps.join(parts, "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
+    labels = components(linked, more)
+    # Small groups are settled; what large ones still hold apart is compared in full.
+    rest = _apart_in_tiles(apart(labels).where(F.col("m") > GROUP), sets, bands, nearest=False)
+    last = materialise(_verified(rest.select(columns).distinct(), sets, bands), "links")
+    if not last.isEmpty():
+        labels = components(linked, more, last)
+
+    named = classes.select("class", "rep").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_class = named.join(smallest, "component").select("class", "component_id")
     out = per_row.select("k", "class", "size").join(of_class, "class", "left")
-    return out.select(F.col("k").alias(key), F.col("size").alias("n_shingles"), F.coalesce("component", "k").alias("component_id"))
+    return out.select(F.col("k").alias(key), F.col("size").alias("n_shingles"), F.coalesce("component_id", "k").alias("component_id"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
