@@ -36,12 +36,13 @@ def partner_enrichment(partners: DataFrame, membership: DataFrame, fdr: float |
     Partners outside all sets don't count; a set's size is its listed length; the correction covers the pathways with at
     least one hit. A query gene without hits has no row.
     """
-    listed = membership.select(F.col("gene").alias("partner")).distinct()
-    known = partners.join(listed, "partner", "left_semi")
-    overlaps = known.join(membership.select("pathway_id", F.col("gene").alias("partner")).distinct(), "partner").groupBy("query_gene", "pathway_id").agg(F.count("*").alias("overlap_count"))
-    tests = known.groupBy("query_gene").agg(F.count("*").alias("n_test"))
-    background = listed.agg(F.count("*").alias("background"))
-    out = _tested(overlaps, membership.groupBy("pathway_id").agg(F.count("*").alias("size")), tests, background)
+    every = membership.select("pathway_id", F.col("gene").alias("partner"), F.count("*").over(Window.partitionBy("pathway_id")).alias("size"))
+    of_gene = every.distinct().groupBy("partner").agg(F.collect_list(F.struct("pathway_id", "size")).alias("sets"))  # one row a gene
+    known = partners.select("query_gene", "partner").join(of_gene, "partner").withColumn("n_test", F.count("*").over(Window.partitionBy("query_gene")))
+    overlaps = known.select("query_gene", "n_test", F.inline("sets")).groupBy("query_gene", "n_test", "pathway_id", "size").agg(F.count("*").alias("overlap_count"))
+    background = membership.agg(F.count_distinct("gene").alias("background"))
+    p = stats.with_tails(overlaps.crossJoin(F.broadcast(background)), "overlap_count", "n_test", "size", "background")  # one row
+    out = stats.benjamini_hochberg(p, "p_value", ["query_gene"])
     return out if fdr is None else out.where(F.col("fdr") < fdr)
 
 

@@ -14,8 +14,8 @@ PARTICIPATION = ("input", "catalystActivity", "regulatedBy", "physicalEntity", "
 def closure(start: DataFrame, edges: DataFrame, carried: tuple[str, ...] = ("root",)) -> DataFrame:
     """All states (carried..., node) reachable over edges (src, dst) from the states of start.
 
-    Breadth first; states seen before never enter the frontier again, so cycles end. Frontier and result are
-    checkpointed each round, so lost executors cost one round.
+    Breadth first; states seen before never enter the frontier again, so cycles end. Each round is
+    checkpointed, so lost executors cost one round.
     """
     ensure_checkpoint_dir(start.sparkSession)
     state = [*carried, "node"]
@@ -26,7 +26,7 @@ def closure(start: DataFrame, edges: DataFrame, carried: tuple[str, ...] = ("roo
         frontier = reached.join(seen, state, "left_anti").checkpoint()
         if frontier.isEmpty():
             return seen
-        seen = seen.unionByName(frontier).checkpoint()
+        seen = seen.unionByName(frontier)  # a union of checkpointed rounds: nothing is written twice
 
 
 def descendants(roots: DataFrame, edges: DataFrame, rel: str = "hasEvent") -> DataFrame:

@@ -32,12 +32,17 @@ def both_ways(interactions: DataFrame) -> DataFrame:
     return there.unionByName(interactions.select(F.col("gene_b").alias("gene"), F.col("gene_a").alias("partner"), "pmid"))
 
 
-def edges(*sources: DataFrame) -> DataFrame:
-    """gene, partner and the sorted distinct publications, over the union of all sources."""
+def edges(*sources: DataFrame, only: Column | None = None) -> DataFrame:
+    """gene, partner and the sorted distinct publications, over the union of all sources.
+
+    only is a condition on gene. It stands below the aggregate because Spark moves no filter past a collected set.
+    """
     rows = sources[0]
     for more in sources[1:]:
         rows = rows.unionByName(more)
-    return both_ways(rows).groupBy("gene", "partner").agg(F.array_sort(F.collect_set("pmid")).alias("pmids"))
+    flat = both_ways(rows)
+    flat = flat if only is None else flat.where(only)
+    return flat.groupBy("gene", "partner").agg(F.array_sort(F.collect_set("pmid")).alias("pmids"))
 
 
 def totals(*sources: DataFrame) -> DataFrame:

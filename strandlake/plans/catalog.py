@@ -117,9 +117,8 @@ def _listed(i: Inputs) -> DataFrame:
 
 def _partners(i: Inputs, gene: int | None = GENE) -> DataFrame:
     """query_gene, partner, pmids of the merged network, of one gene or of all."""
-    rows = network.edges(i.ppi_intact, i.ppi_biogrid)
-    rows = rows if gene is None else rows.where(F.col("gene") == gene)
-    return rows.withColumnRenamed("gene", "query_gene")
+    only = None if gene is None else F.col("gene") == gene
+    return network.edges(i.ppi_intact, i.ppi_biogrid, only=only).withColumnRenamed("gene", "query_gene")
 
 
 _U = "u as (select gene_a as g, gene_b as p, pmid from {ppi_intact} union select gene_b, gene_a, pmid from {ppi_intact} union select gene_a, gene_b, pmid from {ppi_biogrid} union select gene_b, gene_a, pmid from {ppi_biogrid})"
