@@ -8,7 +8,7 @@ from strandlake.llm.line_dedup import op3_line_dedup
 from strandlake.llm.packing import op8_packing
 from strandlake.llm.piece_codec import op2_piece_codec
 from strandlake.llm.quality import OP1_SQL, op1_quality_rules
-from strandlake.llm.sharding import op4_sharding
+from strandlake.llm.sharding import OP4_SQL, op4_sharding
 from strandlake.llm.substring_dedup import op7_substring_dedup
 from strandlake.llm.token_counts import op10_token_counts
 from strandlake.llm.toxicity import op9_toxicity
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES = {"op1_quality_rules": OP1_SQL, "op5_jaccard_join": OP5_SQL, "op6_embedding_dedup": OP6_SQL}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op4_sharding": OP4_SQL, "op5_jaccard_join": OP5_SQL, "op6_embedding_dedup": OP6_SQL}

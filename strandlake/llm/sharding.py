@@ -45,3 +45,20 @@ def shard_by_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", shard
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_by_bytes(documents(spark, sf_dir))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: Window sums over all rows; CRC-32 byte by byte from a table made by its rule (polynomial 0xEDB88320).
+OP4_SQL = """
+with tab as (
+  select list(v order by i) as t from (
+    select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v from (select unnest(range(256))::bigint as i))
+), b as (select doc_id, octet_length(encode(coalesce(text, '')))::bigint + 1 as size, hex(encode(coalesce(text, ''))) as h from documents),
+c as (
+  select doc_id, size, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(h, '..'), lambda x: (instr('0123456789ABCDEF', x[1]) * 16 + instr('0123456789ABCDEF', x[2]) - 17)::bigint)),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::bigint) as text_crc32
+  from b, tab
+), p as (
+  select *, sum(size) over (order by doc_id, size, text_crc32 rows unbounded preceding) as upto, sum(size) over () as total, row_number() over (order by doc_id, size, text_crc32) as place from c
+), s as (select *, least(15, ((2 * upto - size) * 16) // (2 * total))::int as shard from p)
+select doc_id, size, text_crc32, 'bytes' as law, shard, (place - min(place) over (partition by shard))::bigint as slot, null::int as grown_shard from s
+"""
