@@ -146,9 +146,19 @@ def judge(df: DataFrame, text: str = "text", rules=RULES) -> tuple[DataFrame, st
 
 
 def keep_good(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """The rows of df that pass every rule, with df's own columns."""
-    judged, q = judge(df, text, rules)
-    return judged.where(F.col(q)["kept"]).select(*[F.col(f"`{c}`") for c in df.columns])
+    """The rows of df that pass every rule, with df's own columns.
+
+    The condition binds the signals to a lambda variable: as a column of their own they would be computed anew for every
+    rule once the filter moves below the projection.
+    """
+
+    def passes(s: Column) -> Column:
+        ok = F.lit(True)
+        for r in rules:
+            ok = ok & ~_fails(r, s)
+        return ok
+
+    return df.where(let(signals(F.col(f"`{text}`")), passes))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
