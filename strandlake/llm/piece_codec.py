@@ -199,21 +199,24 @@ def decode_ids(path: str, ids: list[int]) -> str:
     return b"".join([raw[i] for i in ids]).decode("utf-8", "replace")[1:]
 
 
+def _parts(batches, rows: int = 256):
+    """Short slices of Arrow batches, so that Python objects exist for a few texts at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def encode(df: DataFrame, model: str, text: str = "text") -> tuple[DataFrame, str]:
     """df with a column (its name is returned) of the ids of its text."""
     name = free_name(df, "piece_ids")[0]
     at = df.columns.index(text)
 
     def run(batches):
-        for batch in batches:
-            texts, values, sizes = batch.column(at).fill_null("").to_pylist(), [], [0]
-            for part in tokenizer.slices(texts, 1024):
-                for x in encode_texts(model, part):
-                    values.append(x)
-                    sizes.append(sizes[-1] + len(x))
-            flat = np.concatenate(values) if values else np.zeros(0, np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, name])
+        for part in _parts(batches):
+            values = encode_texts(model, part.column(at).fill_null("").to_pylist())
+            sizes = np.append(0, np.cumsum([len(x) for x in values])).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(values), pa.int32()))
+            yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, name])
 
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, ArrayType(IntegerType()))])), name
 
@@ -224,17 +227,17 @@ def decode(df: DataFrame, model: str, ids: str) -> tuple[DataFrame, str]:
     at = df.columns.index(ids)
 
     def run(batches):
-        for batch in batches:
-            texts = [decode_ids(model, x or []) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, name])
+        for part in _parts(batches):
+            texts = [decode_ids(model, x or []) for x in part.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, name])
 
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, StringType())])), name
 
 
 def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer.default_path("piece_bpe_32k.model")
-    df = documents(spark, sf_dir).select("doc_id", "text")
-    coded, ids = encode(df, model)
-    back, decoded = decode(coded, model, ids)
     text = F.coalesce(F.col("text"), F.lit(""))
-    return back.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.size(ids).cast("long").alias("n_pieces"), F.hash(ids).alias("ids_hash"), (F.col(decoded) == text).alias("round_trip"))
+    df = documents(spark, sf_dir).select("doc_id", "text", F.octet_length(text).cast("long").alias("n_bytes"), F.md5(text.cast("binary")).alias("text_md5"))
+    coded, ids = encode(df, model)
+    back, decoded = decode(coded.drop("text"), model, ids)
+    return back.select("doc_id", "n_bytes", F.size(ids).cast("long").alias("n_pieces"), F.hash(ids).alias("ids_hash"), (F.md5(F.col(decoded).cast("binary")) == F.col("text_md5")).alias("round_trip"))

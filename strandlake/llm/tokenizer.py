@@ -14,7 +14,7 @@ import hashlib
 import json
 
 #: Words kept in each of two generations per worker: a full one becomes the old one, which is asked before it goes.
-TABLE = 150_000
+TABLE = 80_000
 #: Longer words are encoded but not kept.
 LONG = 64
 
