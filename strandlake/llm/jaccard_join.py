@@ -8,8 +8,8 @@ difference a set of that size may have. Rarity is counted over all texts; a bloc
 
 Within a block's group every set is first compared with one hub, and the components of these links are found. Only
 sets of one group that are still apart are then compared with each other: small groups pair by pair, groups of more
-than GROUP in tiles of full sketches, whose Hamming distance bounds the difference from below. Tiles first offer the
-closest pair of each component, and once more, in full, what is apart after that. Survivors are verified on whole
+than GROUP first with members of their main component, and what stays apart in tiles of full sketches, whose Hamming
+distance bounds the difference from below: tiles offer the closest pair of each component, and at last all pairs. Survivors are verified on whole
 shingle sets. So a group of thousands of near copies costs rows in proportion to its members, and no link
 between different texts is lost. Equal sets are one class throughout.
 
@@ -39,6 +39,8 @@ WORDS = 5
 SHARE = (80, 100)
 #: Larger groups are compared in tiles.
 GROUP, TILE = 64, 1024
+#: Members of a large group's main component that the others are tried with before tiles are made.
+HUBS = 8
 #: Bytes of block rows one reducer holds, and rows a mapper gathers before it deals them out.
 REDUCER_BYTES, MAPPER_ROWS = 48 << 20, 1 << 20
 
@@ -310,6 +312,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     return near.mapInArrow(exact, "a long, b long")
 
 
+def _against_hubs(members: DataFrame) -> DataFrame:
+    """Pairs of large groups: each member outside a group's most frequent component with HUBS members of that component."""
+    counts = members.groupBy("token", "label").agg(F.count("*").alias("n"))
+    most = counts.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    told = members.join(most, "token")
+    nth = F.row_number().over(Window.partitionBy("token").orderBy("class"))
+    hubs = told.where("label = main").select("token", "class", "size", nth.alias("nth")).where(F.col("nth") <= HUBS)
+    hubs = hubs.select("token", F.col("class").alias("a"), F.col("size").alias("size_a"))
+    return told.where("label <> main").select("token", F.col("class").alias("b"), F.col("size").alias("size_b")).join(hubs, "token")
+
+
 def _apart_in_tiles(members: DataFrame, sets: DataFrame, bands: Bands, nearest: bool) -> DataFrame:
     """Pairs of one large group that lie in different components and pass size and sketch, by tiles of TILE members.
 
@@ -390,14 +403,18 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     few = members.where(F.col("m") <= GROUP)
     left, right = (few.select("token", F.col("class").alias(c), F.col("size").alias(f"size_{c}"), F.col("label").alias(f"label_{c}")) for c in ("a", "b"))
     few = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))).where(_fits(bands))
-    many = _apart_in_tiles(members.where(F.col("m") > GROUP), sets, bands, nearest=True)
-    more = materialise(_verified(few.select(columns).unionByName(many.select(columns)).distinct(), sets, bands), "links")
-    labels = components(linked, more)
-    # Small groups are settled; what large ones still hold apart is compared in full.
-    rest = _apart_in_tiles(apart(labels).where(F.col("m") > GROUP), sets, bands, nearest=False)
-    last = materialise(_verified(rest.select(columns).distinct(), sets, bands), "links")
-    if not last.isEmpty():
-        labels = components(linked, more, last)
+    many = _against_hubs(members.where(F.col("m") > GROUP)).where(_fits(bands))
+    links = [linked, materialise(_verified(few.select(columns).unionByName(many.select(columns)).distinct(), sets, bands), "links")]
+    labels = components(*links)
+    # Small groups are settled; large ones offer the closest pairs of what is apart, and then all pairs.
+    for nearest in (True, False):
+        members = apart(labels).where(F.col("m") > GROUP)
+        if members.isEmpty():
+            break
+        found = materialise(_verified(_apart_in_tiles(members, sets, bands, nearest).select(columns).distinct(), sets, bands), "links")
+        if not found.isEmpty():
+            links.append(found)
+            labels = components(*links)
 
     named = classes.select("class", "rep").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
