@@ -31,7 +31,7 @@ def _rewritten(docs: DataFrame, touched) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without multi-line chunks that stand elsewhere first."""
+    """Texts without runs of lines that stand elsewhere first."""
     cleaned, removed = dedup_lines(docs.select(*COLUMNS))
     return _rewritten(cleaned, F.col(removed) > 0)
 

@@ -1,13 +1,16 @@
-"""Line dedup by content-defined chunks of lines.
-
-A rolling hash over the last two line hashes decides after which line a chunk ends (about every third), so equal
-stretches of lines are cut alike wherever they stand. A chunk of at least two lines that occurs again anywhere is
-removed, but for its first place, once its bytes have been compared with those of the first place.
-
-Edge cases: null and empty texts stay; single lines are never removed; a text all of whose chunks go becomes empty;
-rows equal in id and text are one document and are not repeats of each other; which place is the first depends on the
-row's hash, not on the order of rows; an empty table gives an empty result; other columns are kept, and added ones get
-free names.
+"""Line dedup by pairs of neighbouring lines.
+
+Every two neighbouring lines of a text are hashed together, wherever they stand and whatever stands around them. A line
+goes if a pair it belongs to stands somewhere else first, once the pair's bytes have been compared with those of that
+first place. The pairs of a run overlap, so what goes is every run of two or more lines that occurs again, to its last
+line, but for the first places of its pairs; of a line repeated over and over one stays. The first place of a line never
+goes, so no line is lost everywhere.
+
+Edge cases: null and empty texts stay; empty lines are lines; single lines are never removed; a text all of whose lines
+go becomes empty; rows equal in id and text are one document and are not repeats of each other; which place is the first
+depends on the row's hash, not on the order of rows; pairs that differ but have one 64-bit digest (about n^2/2^65 among n
+distinct pairs) fail the comparison and stay; an empty table gives an empty result; other columns are kept, and added ones
+get free names.
 """
 
 from __future__ import annotations
@@ -22,54 +25,51 @@ from strandlake.llm import textkernel as tk
 from strandlake.llm.chunks import reducers_for, repeated, with_row_key
 from strandlake.llm.common import bit_filter, documents, free_name, materialise, passes
 
-EVERY = 3
-MIN_LINES = 2
+BYTES_PER_LINE = 32
+_FACTOR, _SECOND = tk.U(0x9E3779B97F4A7C15), tk.U(0xC2B2AE3D27D4EB4F)
 
 
 def chunk_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(digest, text, place, start, end) of every chunk of at least MIN_LINES lines; end leaves out the last newline."""
+    """(hash, text, place, start, end) of every line; end leaves out the newline."""
     if not len(data):
         return (np.zeros(0, tk.U),) + (np.zeros(0, np.int64),) * 4
-    start = np.union1d(np.flatnonzero(data == 10) + 1, offsets[:-1])
+    start = np.union1d(np.flatnonzero(data == 10) + 1, offsets[:-1][np.diff(offsets) > 0])
     start = start[start < len(data)]
     text = np.searchsorted(offsets, start, side="right") - 1
     line = tk.segment_hashes(np.where(data == 10, tk.U(0), tk.LETTER[data]), start)
-    nth = np.arange(len(start)) - np.searchsorted(text, text)
-    rolled = line.copy()
-    rolled[1:] += line[:-1] * tk.U(0x9E3779B97F4A7C15)
-    ends = (tk.mix(rolled) % tk.U(EVERY) == 0) & (nth > 0)
-    last = np.append(text[1:] != text[:-1], True)
-    opens = np.append(True, (ends | last)[:-1])
-    at = np.flatnonzero(opens)
-    lines = np.diff(np.append(at, len(start)))
-    digest = tk.segment_hashes(line, at)
-    place = np.arange(len(at)) - np.searchsorted(text[at], text[at])
-    stop = np.append(start[at][1:], len(data))
-    stop = np.minimum(stop, offsets[text[at] + 1])
-    use = lines >= MIN_LINES
-    stop = stop - (data[stop - 1] == 10)
-    return digest[use], text[at][use], place[use], start[at][use], stop[use]
-
-
-def segment(data: np.ndarray, offsets: np.ndarray):
-    return chunk_lines(data, offsets)[:3]
+    stop = np.append(start[1:], len(data))
+    return line, text, np.arange(len(start)) - np.searchsorted(text, text), start, stop - (data[stop - 1] == 10)
+
+
+def pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(digest, text, place, start, end) of every two neighbouring lines; place is that of the first of them."""
+    line, text, place, start, end = chunk_lines(data, offsets)
+    at = np.flatnonzero(text[1:] == text[:-1])
+    return tk.mix(line[at] * _FACTOR + line[at + 1] + _SECOND), text[at], place[at], start[at], end[at + 1]
+
+
+def segment(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(digest, text, place) of every line as the first and as the second of a pair: the rule in terms of single lines."""
+    digest, text, place = pairs(data, offsets)[:3]
+    return np.stack([digest, tk.mix(digest + _SECOND)], 1).ravel(), np.repeat(text, 2), np.stack([place, place + 1], 1).ravel()
 
 
 def _first_bytes(rows: DataFrame, firsts: DataFrame) -> DataFrame:
-    """digest and bytes of the chunks at their first places; a second scan opens only rows that the filter passes."""
+    """digest and bytes of the pairs at their first places; a second scan takes only pairs that the filter passes."""
     spark = rows.sparkSession
-    table, bits = bit_filter(firsts.select(F.col("row").alias("h")).distinct())
+    table, bits = bit_filter(firsts.select(F.col("digest").bitwiseXOR(F.col("row")).alias("h")).distinct())
     shared = spark.sparkContext.broadcast(table)
 
     def read(batches):
         for batch in batches:
-            batch = batch.filter(pa.array(passes(shared.value, bits, batch.column("h").to_numpy())))
             keys = batch.column("h").to_numpy()
             for first, data, offsets in tk.runs(batch.column("t")):
-                digest, text, place, start, end = chunk_lines(data, offsets)
+                digest, text, place, start, end = pairs(data, offsets)
+                digest, row = digest.view(np.int64), keys[first + text]
+                use = passes(shared.value, bits, digest ^ row)
                 raw = data.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(digest.view(np.int64)), pa.array(keys[first + text]), pa.array(place), pa.array([raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)], pa.binary())],
+                    [pa.array(digest[use]), pa.array(row[use]), pa.array(place[use]), pa.array([raw[a:b] for a, b in zip(start[use].tolist(), end[use].tolist(), strict=True)], pa.binary())],
                     ["digest", "row", "place", "bytes"],
                 )
 
@@ -82,7 +82,7 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple
     keyed, h = with_row_key(df, key, text)
     marks, count = free_name(keyed, "marks", "removed_lines")
     rows = keyed.select(F.col(h).alias("h"), F.col(f"`{text}`").alias("t"))
-    found = materialise(repeated(rows, segment, reducers_for(df, text, 200)), "chunks")
+    found = materialise(repeated(rows, lambda *run: pairs(*run)[:3], reducers_for(df, text, BYTES_PER_LINE)), "pairs")
     known = _first_bytes(rows, found.where("first"))
     later = found.where(~F.col("first")).select("digest", "row", "place").join(known, "digest")
     later = later.groupBy("row").agg(F.collect_list(F.struct("place", "bytes")).alias(marks)).withColumnRenamed("row", h)
@@ -99,15 +99,17 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple
                 out = texts.to_pylist()
                 for i in hit:
                     raw = out[i].encode()
-                    _, _, place, start, end = chunk_lines(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-                    where = {p: (a, b) for p, a, b in zip(place.tolist(), start.tolist(), end.tolist(), strict=True)}
+                    start, end = (x.tolist() for x in chunk_lines(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[3:])
+                    lines = set()
+                    for m in marked[i].as_py():
+                        p = m["place"]
+                        if raw[start[p] : end[p + 1]] == m["bytes"]:  # the byte comparison
+                            lines.update((p, p + 1))
+                    gone[i] = len(lines)
                     kept, upto = [], 0
-                    for p, expected in sorted({(m["place"], m["bytes"]) for m in marked[i].as_py()}):
-                        a, b = where[p]
-                        if raw[a:b] == expected:  # the byte comparison
-                            kept.append(raw[upto:a])
-                            gone[i] += raw.count(b"\n", a, b) + 1
-                            upto = min(b + 1, len(raw))
+                    for p in sorted(lines):
+                        kept.append(raw[upto : start[p]])
+                        upto = min(end[p] + 1, len(raw))
                     kept.append(raw[upto:])
                     new = b"".join(kept)
                     out[i] = (new[:-1] if upto == len(raw) and new.endswith(b"\n") and gone[i] else new).decode()

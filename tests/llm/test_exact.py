@@ -199,6 +199,33 @@ def test_lines_are_cut_alike_after_insertions():
     assert len(a - b) <= 3
 
 
+def lines_left(spark, texts):
+    """The text of each of the texts after line dedup, and the number of lines removed from it."""
+    out, gone = line_dedup.dedup_lines(spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], DOCS).repartition(3))
+    return [(r.text, r[gone]) for r in out.orderBy("doc_id").collect()]
+
+
+def test_every_repeated_run_of_lines_goes(spark):
+    """Blocks of 2 to 20 lines in other surroundings, against a brute force over all runs of lines."""
+    rng = random.Random(11)
+    own = lambda: [f"own {rng.random()}" for _ in range(rng.randrange(1, 5))]
+    blocks = [[f"block {n} {k} {rng.random()}" for k in range(n)] for n in (2, 2, 3, 3, 4, 5, 6, 10, 20)]
+    texts = ["\n".join(own() + rng.choice(blocks) + own() + rng.choice(blocks) + own()) for _ in range(40)]
+    texts += ["\n".join(own() + b + own()) for b in blocks for _ in range(2)]
+    keys = {r.doc_id: r.h & 0xFFFFFFFFFFFFFFFF for r in spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", F.xxhash64("doc_id", "text").alias("h")).collect()}
+    first, runs = {}, collections.defaultdict(set)
+    for i, t in sorted(enumerate(texts), key=lambda x: keys[x[0]]):
+        lines = t.split("\n")
+        for a in range(len(lines)):
+            for b in range(a + 2, len(lines) + 1):
+                if first.setdefault(tuple(lines[a:b]), (i, a)) != (i, a):
+                    runs[i].update(range(a, b))
+    got = lines_left(spark, texts)
+    for i, t in enumerate(texts):
+        assert got[i] == ("\n".join(x for k, x in enumerate(t.split("\n")) if k not in runs[i]), len(runs[i]))
+    assert all(sum(x in t.split("\n") for t, _ in got) == 1 for b in blocks for x in b)
+
+
 def test_substring_dedup_against_brute_force(docs, clashing, nothing):
     later = brute_marks(keyed_rows(docs), substring_dedup.segment)
     want = {}
