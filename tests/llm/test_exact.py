@@ -226,6 +226,13 @@ def test_every_repeated_run_of_lines_goes(spark):
     assert all(sum(x in t.split("\n") for t, _ in got) == 1 for b in blocks for x in b)
 
 
+def test_lines_repeated_over_and_over_stay_once(spark):
+    same = ["top", *["the same line"] * 1000, "end"]
+    turns = ["start", *["one", "two"] * 500, "stop"]
+    got = lines_left(spark, ["\n".join(same), "\n".join(turns), "alone\n" + "\n".join(["x"] * 3), "\n".join(["blank"] + [""] * 40 + ["under"])])
+    assert got == [("top\nthe same line\nend", 999), ("start\none\ntwo\nstop", 998), ("alone\nx", 2), ("blank\n\nunder", 39)]
+
+
 def test_substring_dedup_against_brute_force(docs, clashing, nothing):
     later = brute_marks(keyed_rows(docs), substring_dedup.segment)
     want = {}
