@@ -233,6 +233,17 @@ def test_lines_repeated_over_and_over_stay_once(spark):
     assert got == [("top\nthe same line\nend", 999), ("start\none\ntwo\nstop", 998), ("alone\nx", 2), ("blank\n\nunder", 39)]
 
 
+def test_empty_lines_count_in_the_digest(spark):
+    """A block that ends some texts and is followed by empty lines in others goes everywhere but once."""
+    raw = lambda t: np.frombuffer(t.encode(), np.uint8)
+    digests = [tuple(line_dedup.segment(raw(t), np.array([0, len(t)]))[0].tolist()) for t in ("p1\np2", "p1\np2\n\n", "p1\np2\n\n\n", "\np1\np2", "p1\n\np2")]
+    assert len(set(digests)) == len(digests)
+    texts = [f"own {i}\npart one\npart two" + ("" if i % 3 == 0 else f"\n\nnext {i}") for i in range(30)]
+    got = lines_left(spark, texts)
+    assert sum("part one" in t for t, _ in got) == sum("part two" in t for t, _ in got) == 1
+    assert all(f"own {i}" in t and (i % 3 == 0 or f"next {i}" in t) for i, (t, _) in enumerate(got))
+
+
 def test_substring_dedup_against_brute_force(docs, clashing, nothing):
     later = brute_marks(keyed_rows(docs), substring_dedup.segment)
     want = {}
