@@ -1,13 +1,16 @@
 """Substring dedup by content-defined chunks.
 
 A gear rolling hash over the last 16 bytes decides after which blanks a chunk ends (about every third), so a passage is
-cut alike wherever it stands and an insertion moves only the chunks it touches. Chunks are deduplicated by digest over
-all texts: neighbouring chunks that all occur before (at a digest's first place) are removed together if they have at
-least MIN_WORDS words. A passage of over 50 words keeps at least MIN_WORDS of them in whole chunks but for about one
-case in ten thousand; shorter repeats (headings, licence lines) and texts without repeats stay as they are.
+cut alike wherever it stands and an insertion moves only the chunks it touches. What is deduplicated by digest over all
+texts are windows: the shortest rows of neighbouring chunks that weigh at least MIN_WORDS words, one to the right of each
+chunk and one to its left. A window whose digest stands elsewhere first goes, so all that goes stood in one piece of at
+least MIN_WORDS words there, and the windows inside a passage cover all its whole chunks. A passage of over 50 words keeps
+at least MIN_WORDS of them in whole chunks but for about one case in ten thousand; shorter repeats (headings, licence
+lines) and texts without repeats stay as they are.
 
-Stretches of 64 bytes without a blank may also be cut between characters. Digests have 64 bits; a single collision
-cannot make a run.
+Stretches of 64 bytes without a blank may also be cut between characters; there SOLID_BYTES bytes weigh as much as
+MIN_WORDS words, so long repeats without blanks go too. Digests have 64 bits: about n^2/2^65 windows among n distinct
+ones may be taken for another, 0.1 at 30 GB.
 
 Edge cases: null and empty texts stay; rows equal in id and text are one document and are not repeats of each other;
 which place of a digest is the first depends on the row's hash, not on the order of rows; an empty table gives an empty
@@ -30,6 +33,7 @@ MIN_WORDS = 20
 WINDOW = 16
 EVERY = 3
 SOLID, SOLID_EVERY = 64, 31
+SOLID_BYTES = 240
 
 _GEAR = (tk.mix(np.arange(1000, 1256, dtype=tk.U)) & tk.U(0xFFFF)).astype(np.uint16)
 
@@ -65,25 +69,45 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return start, np.searchsorted(offsets, start, side="right") - 1
 
 
-def segment(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(digest, text, place in the text) of every chunk."""
+def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(digest, text, place in the text, start, end) of every window."""
     start, text = chunk_starts(data, offsets)
-    first = np.searchsorted(text, text)
-    return tk.segment_hashes(tk.LETTER[data], start), text, np.arange(len(text)) - first
+    if not len(start):
+        return (np.zeros(0, tk.U),) + (np.zeros(0, np.int64),) * 4
+    n = len(start)
+    solid = ~tk.BLANK[data]
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    begins[offsets[:-1][np.diff(offsets) > 0]] = solid[offsets[:-1][np.diff(offsets) > 0]]
+    words = np.add.reduceat(begins.astype(np.int64), start)
+    weight = np.where(words > 0, words * (SOLID_BYTES // MIN_WORDS), np.add.reduceat(solid.astype(np.int64), start))
+    least = SOLID_BYTES // MIN_WORDS * MIN_WORDS
+    upto = np.append(0, np.cumsum(weight))
+    a = np.arange(n)
+    b = np.searchsorted(upto, upto[:-1] + least)  # the window of chunks a..b-1 to the right of each start
+    right = (b <= n) & (text[np.minimum(b, n) - 1] == text)
+    c = np.searchsorted(upto, upto[1:] - least, side="right") - 1  # and c..a to the left of each end
+    left = (c >= 0) & (text[np.maximum(c, 0)] == text)
+    both = np.unique(np.concatenate([a[right] * (n + 1) + b[right], c[left] * (n + 1) + a[left] + 1]))
+    a, b = both // (n + 1), both % (n + 1)
+    power, inverse = tk.powers(len(data))
+    sums = np.append(tk.U(0), np.cumsum(np.add.reduceat(tk.LETTER[data] * power[: len(data)], start), dtype=tk.U))
+    bounds = np.append(start, len(data))
+    return tk.mix((sums[b] - sums[a]) * inverse[start[a]]), text[a], np.arange(len(a)) - np.searchsorted(text[a], text[a]), start[a], bounds[b]
+
+
+def segment(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(digest, text, place in the text) of every window."""
+    return windows(data, offsets)[:3]
 
 
 def removed_spans(data: np.ndarray, places: list[int]) -> list[tuple[int, int]]:
-    """Byte spans of one text that go; places are those of its chunks that occur before."""
-    whole = np.array([0, len(data)])
-    bounds = np.append(chunk_starts(data, whole)[0], len(data))
+    """Byte spans of one text that go; places are those of its windows that occur before."""
+    start, end = windows(data, np.array([0, len(data)]))[3:]
     place = np.unique(np.array(places, np.int64))
-    word_starts = tk.words(data, whole)[0]
-    spans = []
-    for stretch in np.split(place, np.flatnonzero(np.diff(place) > 1) + 1):
-        a, b = int(bounds[stretch[0]]), int(bounds[stretch[-1] + 1])
-        if np.searchsorted(word_starts, b) - np.searchsorted(word_starts, a) >= MIN_WORDS:
-            spans.append((a, b))
-    return spans
+    start, end = start[place], np.maximum.accumulate(end[place])
+    opens = np.append(True, start[1:] > end[:-1])
+    return list(zip(start[opens].tolist(), end[np.append(opens[1:], True)].tolist(), strict=True))
 
 
 def dedup_substrings(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:

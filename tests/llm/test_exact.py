@@ -273,6 +273,23 @@ def test_planted_passages_go_but_for_one(spark):
     assert len(hit) == 9 and all(i % 4 == 0 for i in hit)
 
 
+def test_shuffled_common_phrases_keep_their_text(spark):
+    """Texts of phrases that all stand elsewhere, but never 20 words in one piece."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    phrases = [" ".join(word() for _ in range(7)) for _ in range(300)]
+    texts = [" ".join(rng.sample(phrases, 30)) for _ in range(100)]
+    seen, repeats = set(), 0
+    for t in texts:
+        w = t.split()
+        mine = {tuple(w[k : k + 20]) for k in range(len(w) - 19)}
+        repeats += len(mine & seen)
+        seen |= mine
+    assert not repeats
+    out, spans = substring_dedup.dedup_substrings(spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], DOCS))
+    assert out.where(F.size(spans) > 0).count() == 0
+
+
 def test_runs_of_texts_are_cut_as_single_texts(monkeypatch):
     import pyarrow as pa
 
