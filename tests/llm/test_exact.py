@@ -290,6 +290,19 @@ def test_shuffled_common_phrases_keep_their_text(spark):
     assert out.where(F.size(spans) > 0).count() == 0
 
 
+@pytest.mark.parametrize("signs", ["的一是不了在人有我他这中大来上国", "ABCDEFGHabcdefgh01234567+/"])
+def test_planted_passages_without_blanks_go_but_for_one(spark, signs):
+    rng = random.Random(13)
+    solid = lambda n: "".join(rng.choice(signs) for _ in range(n))
+    passage = solid(3000)
+    texts = [solid(500) + (passage if i % 4 == 0 else "") + solid(500) for i in range(24)] + [f"own {i} words {passage} and {i} more" for i in range(4)]
+    out, spans = substring_dedup.dedup_substrings(spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], DOCS))
+    gone = {r.doc_id: sum(b - a for a, b in r[spans]) for r in out.collect()}
+    size = len(passage.encode())
+    assert all(0.9 * size < n <= size + 64 for n in gone.values() if n)
+    assert sum(n > 0 for n in gone.values()) == 9 and all(i % 4 == 0 or i >= 24 for i, n in gone.items() if n)
+
+
 def test_runs_of_texts_are_cut_as_single_texts(monkeypatch):
     import pyarrow as pa
 
