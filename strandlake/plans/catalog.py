@@ -241,6 +241,15 @@ def event_summary_optional(i: Inputs) -> DataFrame:
     return graph.summaries(events, texts_).withColumn("summary", F.coalesce(F.nullif("summary", F.lit("")), "name"))
 
 
+@query("select p.p_partkey as db_id, p.p_name as name, md5(coalesce(nullif(d.text, ''), p.p_name)) as summary_md5, strlen(coalesce(nullif(d.text, ''), p.p_name))::bigint as n_bytes from {part} p left join {documents} d on d.doc_id = p.p_partkey")
+def event_summary_whole(i: Inputs) -> DataFrame:
+    """event_summary_optional with the whole text, given as digest and length."""
+    events = i.part.select(F.col("p_partkey").alias("db_id"), F.col("p_name").alias("name"))
+    texts_ = i.documents.select(F.col("doc_id").alias("db_id"), F.col("text").alias("summary"))
+    summary = F.coalesce(F.nullif("summary", F.lit("")), "name")
+    return graph.summaries(events, texts_).select("db_id", "name", F.md5(summary.cast("binary")).alias("summary_md5"), F.octet_length(summary).cast("long").alias("n_bytes"))
+
+
 @query(f"with {_ROLE}, pw as (select src as pathway, dst as reaction from {{edges}} where rel = 'hasEvent' and src like 'P%') select distinct pathway, r.reaction, role, node as gene from pw join roles r on r.reaction = pw.reaction", recursive=True)
 def reaction_roles(i: Inputs) -> DataFrame:
     pathways = i.customer.select(F.concat(F.lit("P"), F.col("c_custkey").cast("string")).alias("pathway"))
@@ -527,7 +536,8 @@ def relationship_parse(i: Inputs) -> DataFrame:
 @query()
 def prompt_render(i: Inputs) -> DataFrame:
     context = texts.abstracts_context(i.documents.select("source", "doc_id", F.col("doc_id").cast("string").alias("pmid"), F.col("text").alias("abstract")), "source", "doc_id")
-    return context.select("source", F.length(texts.render("abstract_summary", gene=F.col("source"), text=F.left("context", F.lit(4000)))).cast("long").alias("n_chars"))
+    prompts = context.select("source", texts.render("abstract_summary", gene=F.col("source"), text=F.col("context")).alias("prompt"))
+    return prompts.select("source", F.length("prompt").cast("long").alias("n_chars"), F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
 
 
 @query()
