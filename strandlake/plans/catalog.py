@@ -171,6 +171,14 @@ def enrichment_top8(i: Inputs) -> DataFrame:
     return enrichment.top(found).select("query_gene", "pathway_id", "rank")
 
 
+@query()
+def enrichment_exclude_annotated_all_genes(i: Inputs) -> DataFrame:
+    """enrichment_exclude_annotated of every gene."""
+    annotated = i.membership.select(F.col("gene").alias("query_gene"), "pathway_id")
+    out = enrichment.without_annotated(enrichment.partner_enrichment(_partners(i, None), _listed(i), None), annotated)
+    return out.select("query_gene", "pathway_id", F.round("fdr", 8).alias("fdr"))
+
+
 _SWEEP = f"select c.c * 100000000 + g as q, p as gene from (select g, p, score from (select gene_a as g, gene_b as p, score from {{fi}} union select gene_b, gene_a, score from {{fi}}) where g = {GENE}) s, (values (9), (8), (7), (6), (5)) c(c) where s.score > c.c / 10.0"
 
 
@@ -181,6 +189,13 @@ def enrichment_cutoff_sweep(i: Inputs) -> DataFrame:
     return enrichment.cutoff_sweep(asked, i.pathway_rows)
 
 
+@query()
+def enrichment_cutoff_sweep_all_genes(i: Inputs) -> DataFrame:
+    """enrichment_cutoff_sweep of every gene."""
+    both = i.fi.unionByName(i.fi.select(F.col("gene_b").alias("gene_a"), F.col("gene_a").alias("gene_b"), "score"))
+    return enrichment.cutoff_sweep(both.select(F.col("gene_a").alias("query_gene"), F.col("gene_b").alias("partner"), "score"), i.pathway_rows)
+
+
 @query("select pathway_id, count(*) as n_listed, count(distinct gene) as n_genes from {pathway_rows} group by pathway_id")
 def pathway_sizes(i: Inputs) -> DataFrame:
     return enrichment.sizes(_listed(i))
@@ -198,6 +213,14 @@ def map_interactions(i: Inputs) -> DataFrame:
     return found.select("query_gene", "pathway_id", "overlap_count", pubs.alias("n_publications"))
 
 
+@query(f"with {_U}, e as (select g, p, count(distinct pmid) as n from u group by g, p) select g as query_gene, pathway_id, count(*) as overlap_count, sum(n)::bigint as n_publications from e join {{membership}} m on m.gene = e.p group by g, pathway_id")
+def map_interactions_all_genes(i: Inputs) -> DataFrame:
+    """map_interactions of every gene."""
+    found = enrichment.hits(_partners(i, None), _listed(i))
+    pubs = F.aggregate("mapped", F.lit(0).cast("long"), lambda acc, m: acc + F.size(m["pmids"]))
+    return found.select("query_gene", "pathway_id", "overlap_count", pubs.alias("n_publications"))
+
+
 @query("select c_mktsegment as value, count(*) as n, row_number() over (order by count(*) desc, c_mktsegment) as rank from {customer} where c_mktsegment is not null group by c_mktsegment")
 def pathway_value_counts(i: Inputs) -> DataFrame:
     counts = i.customer.where(F.col("c_mktsegment").isNotNull()).groupBy(F.col("c_mktsegment").alias("value")).agg(F.count("*").alias("n"))
@@ -393,6 +416,15 @@ def evidence_evaluation(i: Inputs) -> DataFrame:
     return pairs.select("doc_id", decisions.evidence(F.col("text"), F.col("reference")).alias("e")).select("doc_id", "e.*")
 
 
+@query()
+def evidence_evaluation_all_items(i: Inputs) -> DataFrame:
+    """evidence_evaluation with the documents dealt over all benchmark items, one item a document."""
+    items = i.benchmark.select("item_id", F.col("text").alias("reference"))
+    many = items.agg((F.max("item_id") + 1).alias("many"))
+    pairs = i.documents.crossJoin(F.broadcast(many)).join(items, F.col("doc_id") % F.col("many") == F.col("item_id"))  # one row
+    return pairs.select("doc_id", "item_id", decisions.evidence(F.col("text"), F.col("reference")).alias("e")).select("doc_id", "item_id", "e.*")
+
+
 @query("with e as (select batch_id, d.i - 1 as position, json_keys(json_extract(doc::json, concat('$.entities[', (d.i - 1)::varchar, ']'))) as k from {instances}, (select unnest(range(1, 2)) as i) d) select batch_id, 'entities' as part, position::bigint as position, f.f as missing from e, (values ('class'), ('displayName')) f(f) where not list_contains(k, f.f)")
 def schema_validation(i: Inputs) -> DataFrame:
     return decisions.structural_errors(i.instances)
@@ -558,3 +590,18 @@ def annotate_gene(i: Inputs) -> DataFrame:
     best = evidence.rank_evidence(scored, 0.05).select(F.lit(GENE).cast("long").alias("query_gene"), "pathway", "pmid", F.round("cos_score", 6).alias("cos_score"), "llm_score", "rank")
     asked = i.spark.range(1).select(F.lit(GENE).cast("long").alias("query_gene"))
     return asked.join(best, "query_gene", "left").withColumn("status", F.when(F.col("pathway").isNull(), "no_support").otherwise("ok"))
+
+
+@query()
+def annotate_all_genes(i: Inputs) -> DataFrame:
+    """annotate_gene of every gene; a pathway chosen for many genes is scored once."""
+    partners = _partners(i, None)
+    annotated = i.membership.select(F.col("gene").alias("query_gene"), "pathway_id")
+    chosen = enrichment.top(enrichment.without_annotated(enrichment.partner_enrichment(partners, _listed(i), None), annotated)).select("query_gene", F.col("pathway_id").alias("pathway"))
+    pathways = chosen.select("pathway").distinct().join(i.pathway_chunks.withColumnRenamed("pathway", "label"), F.col("pathway") % 10 == F.col("label")).select("pathway", "embedding")
+    cos = evidence.pair_scores(pathways, i.abstract_chunks, ("pathway", "doc")).select("pathway", F.col("doc").cast("string").alias("pmid"), F.col("score").alias("cos_score"))
+    prompts = cos.where("cos_score >= 0.05").join(i.abstracts, "pmid").withColumn("prompt", texts.render("abstract_match", text=F.col("abstract")))
+    scored = models.ask(prompts, "prompt").withColumn("llm_score", parsing.reply_score("answer").cast("long"))
+    best = evidence.rank_evidence(scored, 0.05).select("pathway", "pmid", F.round("cos_score", 6).alias("cos_score"), "llm_score", "rank")
+    out = partners.select("query_gene").distinct().join(chosen.join(best, "pathway"), "query_gene", "left")
+    return out.select("query_gene", "pathway", "pmid", "cos_score", "llm_score", "rank").withColumn("status", F.when(F.col("pathway").isNull(), "no_support").otherwise("ok"))
