@@ -7,11 +7,15 @@ blocks of both are put in one order, rarest first, linked sets agree within thei
 difference a set of that size may have. Rarity is counted over all texts; a block no other set has is never sent on.
 
 Within a block's group every set is first compared with one hub, and the components of these links are found. Only
-sets of one group that are still apart are then compared with each other: small groups pair by pair, groups of more
-than GROUP first with members of their main component, and what stays apart in tiles of full sketches, whose Hamming
-distance bounds the difference from below: tiles offer the closest pair of each component, and at last all pairs. Survivors are verified on whole
-shingle sets. So a group of thousands of near copies costs rows in proportion to its members, and no link
-between different texts is lost. Equal sets are one class throughout.
+sets of one group that are still apart are then compared with each other: small groups pair by pair. In large groups
+every set is XORed with the hub of the component most members belong to. What is left, its difference from the hub,
+obeys the same law: if a and b are linked and one of them is not linked with the hub, their differences share elements,
+and if the elements are put in one order, rarest first, they share one that stands before the last few; fewer still
+need to be looked at on the side that is closer to the hub (see Bands.difference_slack). These elements group the sets
+anew, without what the whole group has in common. A group that still is large goes through tiles of full sketches, whose
+Hamming distance bounds the difference from below: tiles offer the closest pair of each component, and at last all
+pairs. Survivors are verified on whole shingle sets. So a group of thousands of near copies costs rows in proportion to
+its members, and no link between different texts is lost. Equal sets are one class throughout.
 
 Hash classes are 64-bit: n distinct sets collide with a chance of about n * n / 2 ** 65.
 
@@ -37,15 +41,16 @@ from strandlake.llm.components import connected_components
 WORDS = 5
 #: Linked when SHARE[1] * intersection >= SHARE[0] * union.
 SHARE = (80, 100)
-#: Larger groups are compared in tiles.
+#: Larger groups are compared through a hub, and in tiles what is left of them.
 GROUP, TILE = 64, 1024
-#: Members of a large group's main component that the others are tried with before tiles are made.
-HUBS = 8
-#: Bytes of block rows one reducer holds, and rows a mapper gathers before it deals them out.
+#: Bytes of entries one reducer holds, and entries a mapper gathers before it deals them out.
 REDUCER_BYTES, MAPPER_ROWS = 48 << 20, 1 << 20
-
 U = tk.U
 _BLOCK, _BAND = U(0xA24BAED4963EE407), U(0x9FB21C651E98DF25)
+#: A token of a set: the set's class and size, and how many of its most frequent tokens linked sets need not agree on.
+_PLAIN = np.dtype([("token", "<u8"), ("class", "<u8"), ("size", "<u4"), ("slack", "<u4")])
+#: The same of a set XORed with a hub: its distance from the hub, and the slack as the closer one of two sets.
+_XORED = np.dtype([*_PLAIN.descr, ("hub", "<u8"), ("far", "<i8"), ("closer", "<u4")])
 
 
 class Bands:
@@ -73,6 +78,22 @@ class Bands:
     def needed(self, size, band):
         return self.differ(np.minimum(size, 2 ** (band + 1) - 1)) + 1
 
+    def difference_slack(self, size: int, hub: int, x: int) -> tuple[int, int, int]:
+        """far, slack and closer of a set that differs from its hub in x elements.
+
+        Linked sets a and b differ in at most r (|a| + |b|) elements, r = (den - num) / (den + num), so their differences
+        from the hub share at least (f_a + f_b) / 2, where f = x - r |set|; far is f * (den + num). A set is linked with
+        the hub just if f <= r |hub|. One of a and b is not, so by the triangle inequality each shares at least
+        x - differ(size) of its elements, a linked one more than (x + r (|hub| - size)) / 2, and the one with the smaller
+        f (closer) at least f. Of t shared elements one at least is not among a set's last t - 1, the most frequent.
+        """
+        num, den = self.num, self.den
+        far = x * (den + num) - (den - num) * size
+        shared = max(1, x - self.differ(size))
+        if far <= (den - num) * hub:
+            shared = max(shared, (x * (den + num) + (den - num) * (hub - size)) // (2 * (den + num)) + 1)
+        return far, shared - 1, max(shared, -(-far // (den + num))) - 1
+
 
 def _set_sizes(row: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(row, minlength=n)
@@ -140,17 +161,17 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def document_classes(rows: DataFrame, n: int, bands: Bands) -> DataFrame:
-    """k, class, size, the filled blocks in its own band and the one below, and tokens of empty blocks it needs."""
+    """k, class, size, the number of filled blocks, and tokens of the empty blocks it needs."""
     kind = rows.schema["k"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            cls, size, own, low, more = [], [], [], [], []
+            cls, size, blocks, more = [], [], [], []
             for _, count, sh, row in shingled(batch, "t", n):
                 s = _set_sizes(row, count)
                 band = np.maximum(bands.of(np.maximum(s, 1)), 0)
                 down = bands.reaches_down(s, band)
-                filled = np.zeros((2, count), np.int64)
+                filled = np.zeros((2, count), np.int64)  # in its own band and the one below
                 extra: list[list[int]] = [[] for _ in range(count)]
                 for below in (0, 1):
                     b, use = band - below, (down if below else s > 0)
@@ -162,96 +183,99 @@ def document_classes(rows: DataFrame, n: int, bands: Bands) -> DataFrame:
                         extra[r] += empty_tokens(sh[row == r], int(bands.blocks(int(b[r]))), int(b[r]), int(need[r] - filled[below][r]))
                 cls.append(_signed(class_ids(sh, row, count)))
                 size.append(s)
-                own.append(filled[0])
-                low.append(filled[1])
+                blocks.append(filled.sum(0))
                 more += extra
             if cls:
-                cls, size, own, low = (np.concatenate(x) for x in (cls, size, own, low))
-                columns = [batch.column("k"), pa.array(cls, mask=size == 0), pa.array(size), pa.array(own), pa.array(low), pa.array(more, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["k", "class", "size", "own", "low", "empties"])
+                cls, size, blocks = (np.concatenate(x) for x in (cls, size, blocks))
+                columns = [batch.column("k"), pa.array(cls, mask=size == 0), pa.array(size), pa.array(blocks), pa.array(more, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["k", "class", "size", "blocks", "empties"])
+
+    return rows.mapInArrow(run, f"k {kind}, class long, size long, blocks long, empties array<long>")
 
-    return rows.mapInArrow(run, f"k {kind}, class long, size long, own long, low long, empties array<long>")
 
+def _entries(kind: np.dtype, **columns) -> np.ndarray:
+    e = np.empty(len(columns["token"]), kind)
+    for name, values in columns.items():
+        e[name] = values
+    return e
 
-def shared_blocks(rows: DataFrame, n: int, bands: Bands, reducers: int) -> DataFrame:
-    """class, token, freq of the blocks that at least two classes share; freq stops counting at GROUP + 1.
 
-    Mappers deal packed (token, class) arrays to the reducers, each pair once per mapper batch, so copies and very common
-    blocks are merged before they travel.
+def _once(e: np.ndarray) -> np.ndarray:
+    """Entries by token and class, each once."""
+    e = e[np.lexsort((e["class"], e["token"]))]
+    new = np.ones(len(e), bool)
+    new[1:] = (e["token"][1:] != e["token"][:-1]) | (e["class"][1:] != e["class"][:-1])
+    return e[new]
+
+
+def shared_tokens(rows: DataFrame, entries, kind: np.dtype, reducers: int) -> DataFrame:
+    """Entries, as longs, whose tokens at least two classes share, and freq, which stops counting at GROUP + 1.
+
+    entries(batch) yields arrays of kind. Mappers deal packed arrays to the reducers, each (token, class) once per mapper
+    batch, so copies and very common tokens are merged before they travel.
     """
 
     def deal(batches):
-        held, rows_held = [], 0
+        held, count = [], 0
 
         def flush():
-            token, cls = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((cls, token))
-            token, cls = token[order], cls[order]
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
-            token, cls = token[new], cls[new]
-            target = ((token >> U(32)) * U(reducers)) >> U(32)  # tokens are sorted, so targets are
+            e = _once(np.concatenate(held))
+            target = ((e["token"] >> U(32)) * U(reducers)) >> U(32)  # entries are sorted by token, so targets are
             cuts = np.searchsorted(target, np.arange(reducers + 1, dtype=U))
             filled = np.flatnonzero(np.diff(cuts))
-            blobs = [np.concatenate([token[cuts[t] : cuts[t + 1]], cls[cuts[t] : cuts[t + 1]]]).tobytes() for t in filled]
-            return pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array(blobs, pa.binary())], ["target", "pairs"])
+            return pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array([e[cuts[t] : cuts[t + 1]].tobytes() for t in filled], pa.binary())], ["target", "entries"])
 
         for batch in batches:
-            for _, count, sh, row in shingled(batch, "t", n):
-                s = _set_sizes(row, count)
-                cls, band = class_ids(sh, row, count), np.maximum(bands.of(np.maximum(s, 1)), 0)
-                down = bands.reaches_down(s, band)
-                for below in (0, 1):
-                    mask = (down if below else s > 0)[row]
-                    token, owner = block_tokens(sh[mask], row[mask], bands.blocks(np.maximum(band - below, 0)), band - below)
-                    held.append((token, cls[owner]))
-                    rows_held += len(token)
-                if rows_held > MAPPER_ROWS:
+            for e in entries(batch):
+                held.append(e)
+                count += len(e)
+                if count > MAPPER_ROWS:
                     yield flush()
-                    held, rows_held = [], 0
-        if rows_held:
+                    held, count = [], 0
+        if count:
             yield flush()
 
     def gather(batches):
-        tokens, classes = [], []
-        for batch in batches:
-            for blob in batch.column("pairs"):
-                pairs = np.frombuffer(blob.as_buffer(), U)
-                tokens.append(pairs[: len(pairs) // 2])
-                classes.append(pairs[len(pairs) // 2 :])
-        if not tokens:
+        held = [np.frombuffer(blob.as_buffer(), kind) for batch in batches for blob in batch.column("entries")]
+        if not held:
             return
-        token, cls = np.concatenate(tokens), np.concatenate(classes)
-        del tokens, classes
-        order = np.lexsort((cls, token))
-        token, cls = token[order], cls[order]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
-        token, cls = token[new], cls[new]
-        first = np.ones(len(token), bool)
-        first[1:] = token[1:] != token[:-1]
-        at = np.flatnonzero(first)
-        freq = np.repeat(np.diff(np.append(at, len(token))), np.diff(np.append(at, len(token))))
-        many = freq > 1
-        token, cls, freq = token[many], cls[many], np.minimum(freq[many], GROUP + 1)
-        for a in range(0, len(token), 1 << 16):
-            part = slice(a, a + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(cls[part])), pa.array(_signed(token[part])), pa.array(freq[part], pa.int64())], ["class", "token", "freq"])
-
-    dealt = rows.select("t").mapInArrow(deal, "target int, pairs binary").repartitionById(reducers, "target").select("pairs")
-    return dealt.mapInArrow(gather, "class long, token long, freq long")
-
-
-def _first_blocks(shared: DataFrame, classes: DataFrame, bands: Bands) -> DataFrame:
-    """token, class, size of the rarest blocks of each class and band that linked classes must agree on."""
-    rank = Window.partitionBy("class", "band").orderBy("freq", "token")
-    ranked = shared.withColumn("band", F.col("token").bitwiseAND(63)).withColumn("nth", F.row_number().over(rank)).withColumn("shared", F.count("*").over(Window.partitionBy("class", "band")))
-    ranked = ranked.join(classes.select("class", "size", "own", "low"), "class")
-    own = (F.length(F.bin("size")) - 1).cast("long")  # the band of its size
-    need = F.expr(f"least(size, shiftleft(2L, cast(band as int)) - 1) * {bands.den - bands.num} div {bands.num} + 1")
-    filled = F.when(F.col("band") == own, F.col("own")).otherwise(F.col("low"))
-    first = ranked.where(F.col("nth") <= need - (filled - F.col("shared"))).select("token", "class", "size")
-    return first.unionByName(classes.select(F.explode("empties").alias("token"), "class", "size"))
+        e = _once(np.concatenate(held))
+        del held
+        at = np.flatnonzero(np.append(True, e["token"][1:] != e["token"][:-1]))
+        sizes = np.diff(np.append(at, len(e)))
+        freq = np.repeat(sizes, sizes)
+        e, freq = e[freq > 1], np.minimum(freq[freq > 1], GROUP + 1)
+        for a in range(0, len(e), 1 << 16):
+            part = e[a : a + (1 << 16)]
+            columns = [part[name].astype(np.int64) for name in kind.names] + [freq[a : a + (1 << 16)]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*kind.names, "freq"])
+
+    dealt = rows.mapInArrow(deal, "target int, entries binary").repartitionById(reducers, "target").select("entries")
+    return dealt.mapInArrow(gather, ", ".join(f"{name} long" for name in (*kind.names, "freq")))
+
+
+def _rarest(shared: DataFrame, *owner) -> DataFrame:
+    """Each owner's tokens but for the slack most frequent ones; nth counts from the most frequent one."""
+    rank = Window.partitionBy(*owner).orderBy(F.desc("freq"), F.desc("token"))
+    return shared.withColumn("nth", F.row_number().over(rank)).where("nth > slack")
+
+
+def first_blocks(rows: DataFrame, n: int, bands: Bands, reducers: int) -> DataFrame:
+    """token, class, size of the rarest blocks of each class and band that linked classes must agree on, if shared."""
+
+    def entries(batch):
+        for _, count, sh, row in shingled(batch, "t", n):
+            s = _set_sizes(row, count)
+            cls, band = class_ids(sh, row, count), np.maximum(bands.of(np.maximum(s, 1)), 0)
+            down = bands.reaches_down(s, band)
+            for below in (0, 1):
+                mask, b = (down if below else s > 0)[row], band - below
+                token, owner = block_tokens(sh[mask], row[mask], bands.blocks(np.maximum(b, 0)), b)
+                slack = np.maximum(np.bincount(owner, minlength=count) - bands.needed(s, b), 0)
+                yield _entries(_PLAIN, token=token, size=s[owner], slack=slack[owner], **{"class": cls[owner]})
+
+    shared = shared_tokens(rows.select("t"), entries, _PLAIN, reducers)
+    return _rarest(shared, "class", F.col("token").bitwiseAND(63)).select("token", "class", "size")
 
 
 def class_sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -312,37 +336,65 @@ def _verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     return near.mapInArrow(exact, "a long, b long")
 
 
-def _against_hubs(members: DataFrame) -> DataFrame:
-    """Pairs of large groups: each member outside a group's most frequent component with HUBS members of that component."""
+def _to_hubs(members: DataFrame, labels: DataFrame, linked: DataFrame, classes: DataFrame) -> DataFrame:
+    """hub, size_hub, class and size, each once: the members of large groups with their group's hub.
+
+    The hub is the set with most links so far in the component that most members belong to (any set may be a hub), so
+    groups of one family name the same one.
+    """
+    degree = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    centres = labels.join(degree, "node").groupBy(F.col("component").alias("label")).agg(F.max_by("node", F.struct("degree", "node")).alias("centre"))
     counts = members.groupBy("token", "label").agg(F.count("*").alias("n"))
-    most = counts.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    told = members.join(most, "token")
-    nth = F.row_number().over(Window.partitionBy("token").orderBy("class"))
-    hubs = told.where("label = main").select("token", "class", "size", nth.alias("nth")).where(F.col("nth") <= HUBS)
-    hubs = hubs.select("token", F.col("class").alias("a"), F.col("size").alias("size_a"))
-    return told.where("label <> main").select("token", F.col("class").alias("b"), F.col("size").alias("size_b")).join(hubs, "token")
+    main = counts.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("label"))
+    hubs = main.join(centres, "label", "left").select("token", F.coalesce("centre", "label").alias("hub"))
+    pairs = members.select("token", "class", "size").join(hubs, "token").where("class <> hub").select("hub", "class", "size").distinct()
+    return pairs.join(classes.select(F.col("class").alias("hub"), F.col("size").alias("size_hub")), "hub")
+
+
+def _differences(spread: DataFrame, sets: DataFrame, bands: Bands, reducers: int) -> DataFrame:
+    """token, class, size, far and probe of the elements in which sets differ from their hub that linked sets share.
+
+    A probe token need not be looked at for partners that are farther from the hub.
+    """
+    whole = spread.join(sets.select("class", "shingles"), "class").join(sets.select(F.col("class").alias("hub"), F.col("shingles").alias("shingles_hub")), "hub")
+
+    def entries(batch):
+        for cls, hub, x, h in zip(*(batch.column(c) for c in ("class", "hub", "shingles", "shingles_hub")), strict=True):
+            x, h = np.frombuffer(x.as_buffer(), U), np.frombuffer(h.as_buffer(), U)
+            other, hub = np.setxor1d(x, h, assume_unique=True), np.array([hub.as_py()]).view(U)
+            far, slack, closer = bands.difference_slack(len(x), len(h), len(other))
+            yield _entries(_XORED, token=tk.mix(other ^ tk.mix(hub + _BAND)), size=len(x), slack=slack, hub=hub, far=far, closer=closer, **{"class": np.array([cls.as_py()]).view(U)})
+
+    shared = shared_tokens(whole.select("class", "hub", "shingles", "shingles_hub"), entries, _XORED, reducers)
+    return _rarest(shared, "hub", "class").select("token", "class", "size", "far", (F.col("nth") <= F.col("closer")).alias("probe"))
+
+
+def _closer(a: str, b: str):
+    """Whether a pair of members is to be looked at from a's side."""
+    return (F.col(f"far_{a}") < F.col(f"far_{b}")) | ((F.col(f"far_{a}") == F.col(f"far_{b}")) & (F.col(a) < F.col(b)))
 
 
 def _apart_in_tiles(members: DataFrame, sets: DataFrame, bands: Bands, nearest: bool) -> DataFrame:
-    """Pairs of one large group that lie in different components and pass size and sketch, by tiles of TILE members.
+    """Pairs of one large group that lie in different components and pass size and sketch.
 
-    nearest keeps for each component of a tile only its closest pair.
+    The sides of a tile are up to about TILE members that are no probes, and up to TILE of all. nearest keeps for each
+    component of a tile only its closest pair.
     """
     num, den = bands.num, bands.den
-    tiles = F.ceil(F.col("m") / TILE).cast("int")
-    dealt = members.withColumn("tile", F.pmod(F.xxhash64("class"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    dealt = dealt.select("token", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "class", "label", "size").join(sets.select("class", "sketch"), "class")
+    known = members.join(sets.select("class", "sketch"), "class").withColumn("tiles_a", F.ceil(F.col("m_a") / TILE).cast("int")).withColumn("tiles_b", F.ceil(F.col("m") / TILE).cast("int"))
+    hashed, columns = F.xxhash64("class"), ("class", "label", "size", "far", "sketch")
+    side = lambda a, b, i, j: (F.pmod(hashed, F.col(a)).cast("int").alias(i), F.explode(F.sequence(F.lit(0), F.col(b) - 1)).alias(j))
+    left = known.where(~F.col("probe")).select("token", F.lit(True).alias("left"), *side("tiles_a", "tiles_b", "i", "j"), *columns)
+    right = known.select("token", F.lit(False).alias("left"), *side("tiles_b", "tiles_a", "j", "i"), *columns)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf["tile"].to_numpy() == pdf["i"].iloc[0]
-        own = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-        x, y = pdf[first], pdf[first] if own else pdf[~first]
+        x, y = pdf[pdf["left"]], pdf[~pdf["left"]]
         out, keep = [], {}
         sketches = [np.frombuffer(s, U) for s in y["sketch"]]
-        ids, labels, sizes = (y[c].to_numpy() for c in ("class", "label", "size"))
+        ids, labels, sizes, fars = (y[c].to_numpy() for c in ("class", "label", "size", "far"))
         by_length = {n: np.flatnonzero([len(s) == n for s in sketches]) for n in {len(s) for s in sketches}}
         stacked = {n: np.stack([sketches[i] for i in at]) for n, at in by_length.items()}
-        for cls, label, size, sketch in zip(x["class"], x["label"], x["size"], x["sketch"], strict=True):
+        for cls, label, size, far, sketch in zip(*(x[c] for c in columns), strict=True):
             sketch = np.frombuffer(sketch, U)
             for n, at in by_length.items():
                 a, b = sketch, stacked[n]
@@ -351,7 +403,7 @@ def _apart_in_tiles(members: DataFrame, sets: DataFrame, bands: Bands, nearest:
                 while b.shape[1] > len(a):
                     b = b[:, : b.shape[1] // 2] ^ b[:, b.shape[1] // 2 :]
                 small, large = np.minimum(size, sizes[at]), np.maximum(size, sizes[at])
-                hit = (labels[at] != label) & (den * small >= num * large) & ((ids[at] > cls) | (not own))
+                hit = (labels[at] != label) & (den * small >= num * large) & ((fars[at] > far) | ((fars[at] == far) & (ids[at] > cls)))
                 if not hit.any():
                     continue
                 distance = np.bitwise_count(a ^ b[hit]).sum(axis=1)
@@ -364,12 +416,12 @@ def _apart_in_tiles(members: DataFrame, sets: DataFrame, bands: Bands, nearest:
                     first = np.append(True, np.diff(labels[found][order]) != 0)
                     for k, d in zip(found[order][first].tolist(), distance[order][first].tolist(), strict=True):
                         pair = (d, cls, size, ids[k], sizes[k])
-                        for side in (label, labels[k]):
-                            keep[side] = min(keep.get(side, pair), pair)
+                        for end in (label, labels[k]):
+                            keep[end] = min(keep.get(end, pair), pair)
         out += [pair[1:] for pair in set(keep.values())]
         return pd.DataFrame(out, columns=["a", "size_a", "b", "size_b"]).astype("int64")
 
-    return dealt.groupBy("token", "i", "j").applyInPandas(compare, "a long, size_a long, b long, size_b long")
+    return left.unionByName(right).groupBy("token", "i", "j").applyInPandas(compare, "a long, size_a long, b long, size_b long")
 
 
 def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
@@ -377,44 +429,67 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     spark, bands = df.sparkSession, Bands(share)
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
     per_row = materialise(document_classes(rows, n, bands), "rows")
-    classes = per_row.where("size > 0").groupBy("class").agg(F.min("k").alias("rep"), F.min("size").alias("size"), F.min("own").alias("own"), F.min("low").alias("low"), F.first("empties").alias("empties"))
+    classes = per_row.where("size > 0").groupBy("class").agg(F.min("k").alias("rep"), F.min("size").alias("size"), F.first("empties").alias("empties"))
     classes = materialise(classes, "classes")
-    tokens = per_row.agg(F.sum(F.col("own") + F.col("low"))).first()[0] or 0
-    reducers = max(shuffle_width(spark), -(-tokens * 16 // REDUCER_BYTES))
-    first = materialise(_first_blocks(shared_blocks(rows, n, bands, reducers), classes, bands), "blocks")
+    tokens = per_row.agg(F.sum("blocks")).first()[0] or 0
+    width = shuffle_width(spark)
+    reducers = max(width, -(-tokens * _PLAIN.itemsize // REDUCER_BYTES))
+    first = first_blocks(rows, n, bands, reducers).unionByName(classes.select(F.explode("empties").alias("token"), "class", "size"))
+    first = materialise(first, "blocks")
 
     groups = first.groupBy("token").agg(F.count("*").alias("m"), F.min("class").alias("hub"), F.min_by("size", "class").alias("size_hub")).where("m > 1")
     stars = first.join(groups, "token").select(F.col("hub").alias("a"), F.col("size_hub").alias("size_a"), F.col("class").alias("b"), F.col("size").alias("size_b")).where(_fits(bands)).distinct()
     wanted = first.join(groups, "token", "left_semi").select("class").distinct().join(classes.select("class", "rep"), "class")
     sets = materialise(class_sets(rows, materialise(wanted, "wanted"), n), "sets")
-    linked = materialise(_verified(stars, sets, bands), "links")
+    links = [materialise(_verified(stars, sets, bands), "links")]
 
-    def apart(labels: DataFrame) -> DataFrame:
+    def labelled(members: DataFrame, *group: str) -> DataFrame:
         """Members of the groups that still hold several components."""
-        members = first.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("component", "class")).drop("component")
-        mixed = members.groupBy("token").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", "m")
-        return materialise(members.join(mixed, "token"), "apart")
-
-    def components(*links: DataFrame) -> DataFrame:
+        found = members.join(labels.withColumnRenamed("node", "class"), "class", "left")
+        found = found.withColumn("label", F.coalesce("component", "class")).drop("component")
+        counts = [F.count("*").alias("m"), F.count_if(~F.col("probe")).alias("m_a"), F.min("label").alias("lo"), F.max("label").alias("hi")]
+        return found.join(found.groupBy(*group).agg(*counts).where("lo <> hi and m_a > 0").drop("lo", "hi"), list(group))
+
+    def apart(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members of small and of large groups that still hold several components."""
+        mixed = materialise(labelled(members, "token"), "apart")
+        return mixed.where(F.col("m") * F.col("m_a") <= GROUP * GROUP), mixed.where(F.col("m") * F.col("m_a") > GROUP * GROUP)
+
+    def pairs(members: DataFrame) -> DataFrame:
+        """All pairs of different components, group by group."""
+        side = lambda c: (F.col("class").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("size", "label", "far")))
+        left, right = members.where(~F.col("probe")).select("token", *side("a")), members.select("token", *side("b"))
+        return left.join(right, "token").where(_closer("a", "b") & (F.col("label_a") != F.col("label_b"))).select("a", "size_a", "b", "size_b")
+
+    def components() -> DataFrame:
         return connected_components(functools.reduce(DataFrame.unionByName, links).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    columns = ["a", "size_a", "b", "size_b"]
-    members = apart(components(linked))
-    few = members.where(F.col("m") <= GROUP)
-    left, right = (few.select("token", F.col("class").alias(c), F.col("size").alias(f"size_{c}"), F.col("label").alias(f"label_{c}")) for c in ("a", "b"))
-    few = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))).where(_fits(bands))
-    many = _against_hubs(members.where(F.col("m") > GROUP)).where(_fits(bands))
-    links = [linked, materialise(_verified(few.select(columns).unionByName(many.select(columns)).distinct(), sets, bands), "links")]
-    labels = components(*links)
-    # Small groups are settled; large ones offer the closest pairs of what is apart, and then all pairs.
-    for nearest in (True, False):
-        members = apart(labels).where(F.col("m") > GROUP)
-        if members.isEmpty():
-            break
-        found = materialise(_verified(_apart_in_tiles(members, sets, bands, nearest).select(columns).distinct(), sets, bands), "links")
-        if not found.isEmpty():
-            links.append(found)
-            labels = components(*links)
+    def add(found: DataFrame) -> DataFrame:
+        """Components once the linked ones of these pairs are added."""
+        found = materialise(_verified(found.where(_fits(bands)).distinct(), sets, bands), "links")
+        if found.isEmpty():
+            return labels
+        links.append(found)
+        return components()
+
+    labels = components()
+    few, many = apart(first.withColumn("far", F.lit(0)).withColumn("probe", F.lit(False)))
+    to_hubs = materialise(_to_hubs(many, labels, links[0], classes), "hubs")
+    labels = add(pairs(few).unionByName(to_hubs.select(F.col("hub").alias("a"), F.col("size_hub").alias("size_a"), F.col("class").alias("b"), F.col("size").alias("size_b"))))
+    # Small groups are settled; large ones go on by what their members do not have in common with the hub.
+    spread = materialise(labelled(to_hubs.withColumn("probe", F.lit(False)), "hub").select("hub", "class", "size", "size_hub"), "spread")
+    elements = spread.agg(F.sum(F.col("size") + F.col("size_hub"))).first()[0]
+    if elements:
+        reducers = max(width, -(-elements * _XORED.itemsize // REDUCER_BYTES))
+        differences = materialise(_differences(spread, sets, bands, reducers), "differences")
+        few, many = apart(differences)
+        labels = add(pairs(few))
+        # What is large even so offers the closest pairs of what is apart, and then all pairs.
+        for nearest in (True, False):
+            if many.isEmpty():
+                break
+            labels = add(_apart_in_tiles(many, sets, bands, nearest))
+            many = apart(differences)[1] if nearest else many
 
     named = classes.select("class", "rep").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -363,6 +363,58 @@ def test_jaccard_components_against_all_pairs(spark, docs, nothing, monkeypatch,
         assert jaccard_join.near_components(nothing).count() == 0
 
 
+def test_differences_from_a_hub_share_what_the_slack_says():
+    rng, bands, seen = random.Random(8), jaccard_join.Bands(), collections.Counter()
+    for _ in range(40_000):
+        hub = set(range(rng.choice([8, 20, 45])))
+        a = {x for x in hub if rng.random() > 0.2} | {100 + x for x in range(rng.randrange(1, 12))}
+        b = set(a)
+        for _ in range(rng.randrange(1, 9)):
+            b ^= {rng.choice([*hub, *range(100, 130)])}
+        sides = [(s, *bands.difference_slack(len(s), len(hub), len(s ^ hub))) for s in (a, b) if s]
+        near = [100 * len(s & hub) >= 80 * len(s | hub) for s in (a, b)]
+        if len(sides) < 2 or a == b or 100 * len(a & b) < 80 * len(a | b) or all(near):
+            continue
+        sides.sort(key=lambda x: x[1])
+        shared = len((a ^ hub) & (b ^ hub))
+        assert shared > sides[0][3] >= sides[0][2] and shared > sides[1][2]
+        seen[sum(near)] += 1
+    assert seen[0] > 500 and seen[1] > 200
+
+
+def test_large_groups_of_near_copies_cost_rows_in_proportion(spark, monkeypatch):
+    """3,000 variants of one text, most of them linked with few others: links as by all pairs, rows bounded linearly."""
+    rng = random.Random(9)
+    base, vocab = [f"w{i}" for i in range(120)], [f"x{i}" for i in range(300)]
+    texts = []
+    for i in range(3000):
+        words = list(rng.choice(texts) if i % 5 == 0 and texts else base)
+        for _ in range(rng.choice([1, 2]) if i % 5 == 0 else rng.randrange(2, 9)):
+            words[rng.randrange(120)] = rng.choice(vocab)
+        texts.append(words)
+    rows = {i: shingles(" ".join(w)) for i, w in enumerate(texts)}
+    number = {s: k for k, s in enumerate(sorted(set().union(*rows.values())))}
+    holds = np.zeros((3000, len(number)), np.float32)
+    for i, s in rows.items():
+        holds[i, [number[x] for x in s]] = 1
+    both, size = (holds @ holds.T).astype(np.int64), holds.sum(1).astype(np.int64)
+    a, b = np.nonzero(np.triu(100 * both >= 80 * (size[:, None] + size[None] - both), 1))
+    want = union_find(rows, zip(a.tolist(), b.tolist(), strict=True))
+    made, write = collections.Counter(), jaccard_join.materialise
+
+    def counted(df, name):
+        out = write(df, name)
+        made[name] = max(made[name], out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialise", counted)
+    df = spark.createDataFrame([(i, " ".join(w), "", "", 0) for i, w in enumerate(texts)], DOCS)
+    assert {r.doc_id: r.component_id for r in jaccard_join.near_components(df).collect()} == want
+    assert len(set(want.values())) > 300
+    assert made["blocks"] <= 45 * 3000 and made["apart"] <= 45 * 3000
+    assert made["hubs"] <= 8 * 3000 and made["spread"] <= 8 * 3000 and made["differences"] <= 45 * 3000
+
+
 def test_sketches_bound_the_difference_from_below():
     rng = np.random.default_rng(0)
     for n in (1, 2, 7, 100, 3000):
