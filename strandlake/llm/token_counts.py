@@ -1,8 +1,8 @@
 """Token counts through a digest cache.
 
-A stored count is known by the digest of the normalised content (a null text is the empty text; nothing else changes,
-so counts stay the library's own) and the digest of the tokenizer's version. Only distinct contents the cache lacks are
-encoded; their counts are appended to it and every row is answered from it.
+A stored count is known by the digest of the normalised content (a null text is the empty text; nothing else changes)
+and the digest of the tokenizer's version. Only distinct contents the cache lacks are encoded, to the library's own
+counts (see tokenizer); their counts are appended to it and every row is answered from it.
 
 Edge cases: null and empty texts have 0 bytes and 0 tokens; repeated rows and copies are encoded once and each get
 their count; an empty table gives an empty result and appends nothing; other columns are not read.
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import tokenizer
-from strandlake.llm.common import documents, scratch_path
+from strandlake.llm.common import documents, materialise, named, scratch_path
 
 LIMIT = 4096
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
@@ -30,7 +30,7 @@ def count_tokens(df: DataFrame, model: str, cache: str | None = None, key: str =
     """
     spark, version = df.sparkSession, tokenizer.version(model)
     cache = cache or scratch_path(spark, "counts")
-    rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = df.select(named(key).alias("k"), F.coalesce(named(text), F.lit("")).alias("t"))
     digest = F.unhex(F.sha2(F.col("t").cast("binary"), 256))
 
     def cached() -> DataFrame:
@@ -49,7 +49,8 @@ def count_tokens(df: DataFrame, model: str, cache: str | None = None, key: str =
 
     missing.mapInArrow(encode, "digest binary, n_tokens long").select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
     sized = rows.select("k", F.octet_length("t").cast("long").alias("n_bytes"), digest.alias("digest"))
-    return sized.join(cached(), "digest").select(F.col("k").alias(key), "n_bytes", "n_tokens")
+    # A written table on both sides lets Spark split the partition of a digest that very many rows have.
+    return sized.join(materialise(cached(), "counts"), "digest").select(F.col("k").alias(key), "n_bytes", "n_tokens")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """Whole-text encoding by public tokenizers.
 
 Byte-level ids: where a tokenizers file is a plain byte-level merge list (each merge made the next id), tiktoken's
-encoder runs on those merges, which gives the same ids about four times as fast; any other file runs in tokenizers.
+encoder runs on those merges, which gives the same ids about four times as fast; any other file, and any text that
+tiktoken refuses (runs of hundreds of thousands of blanks), runs in tokenizers.
 
-Piece counts: the sentencepiece vocabulary has no piece that joins characters across a space, so a text without runs of
-spaces is counted word by word, and words seen lately come from a bounded table.
+Piece counts: where a sentencepiece vocabulary has no piece that joins characters across a space and leaves characters
+as they are (both are checked when the model is loaded), a text without runs of spaces is counted word by word, and
+words seen lately come from a bounded table. All other texts go whole to the library, such with U+2581, which it reads as
+a space, among them.
 """
 
 from __future__ import annotations
@@ -94,14 +97,34 @@ def _merge_encoder(path: str):
 @functools.lru_cache(maxsize=4)
 def id_bytes(path: str):
     """texts -> their ids as little-endian unsigned 32-bit integers, as tokenizers gives them."""
-    coder = _merge_encoder(path)
-    if coder is not None:
-        return lambda texts: [coder.encode_to_numpy(t, allowed_special="all").astype("<u4", copy=False).tobytes() for t in texts]
     import numpy as np
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(path)
-    return lambda texts: [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    coder, library = _merge_encoder(path), functools.cache(lambda: Tokenizer.from_file(path))
+
+    def by_library(texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in library().encode_batch(texts, add_special_tokens=False)]
+
+    def by_merges(text: str) -> bytes:
+        try:
+            return coder.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+        except ValueError:  # its pattern needs more stack than it has
+            return by_library([text])[0]
+
+    return by_library if coder is None else lambda texts: [by_merges(t) for t in texts]
+
+
+#: U+2581, which sentencepiece writes for a space.
+SPACE = "\u2581"
+
+
+def words_are_apart(library) -> bool:
+    """Whether no piece joins characters across a space and every character but the space stands for itself."""
+    pieces = (library.id_to_piece(i) for i in range(library.get_piece_size()))
+    if any(SPACE in p[1:] and p.strip(SPACE) for p in pieces):
+        return False
+    others = "".join(chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and chr(c) not in (" ", SPACE))
+    return library.normalize(others) == SPACE + others and library.normalize("a b") == f"{SPACE}a{SPACE}b"
 
 
 @functools.lru_cache(maxsize=4)
@@ -112,11 +135,13 @@ def piece_counts(path: str):
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     # The library puts a space before what it encodes: a word after a space is counted without that space.
     memo = Memo(lambda words: [len(x) for x in library.encode(words, num_threads=1)])
+    if not words_are_apart(library):
+        return lambda texts: [len(x) for x in library.encode(texts, num_threads=1)]
 
     def count(texts: list[str]) -> list[int]:
         parts, words = [], set()
         for text in texts:
-            if "  " in text or text[:1] == " " or text[-1:] == " " or not text:
+            if "  " in text or text[:1] == " " or text[-1:] == " " or not text or SPACE in text or "\0" in text:
                 parts.append(text)  # runs of spaces are pieces of their own: the library takes such a text whole
             else:
                 parts.append(text.split(" "))
