@@ -6,7 +6,10 @@ axes can still add is bounded by the product of suffix norms, and a tile stops a
 threshold. Survivors are confirmed by the cosine of the unrotated vectors in double precision.
 
 A tile pair returns at most one row per class (its number of links and its root in a local spanning forest), never
-the pairs, so a group of thousands of mutual near copies costs rows in proportion to its members.
+the pairs, so a group of thousands of mutual near copies costs rows in proportion to its members. Classes are numbered;
+ids come in at the end, so one id may stand on several vectors, each of which has its own links.
+
+Memory: the axes take length**2 doubles per vector length, on the driver and in every task.
 
 Edge cases: null labels, and vectors that are null, empty, zero or hold nulls or non-finite numbers, link with nothing
 and stay; vectors of different lengths are never compared; repeated rows are copies of one another; an empty table
@@ -20,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import materialise
+from strandlake.llm.common import materialise, named
 from strandlake.llm.components import connected_components
 
 THRESHOLD = 0.93
@@ -117,12 +120,12 @@ def tile_links(x: np.ndarray, y: np.ndarray | None, wx: np.ndarray, wy: np.ndarr
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """key, n_links, component_id and kept for every row of df."""
-    rows = df.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("vec"))
+    rows = df.select(named(key).alias("id"), named(label).alias("label"), named(vector).cast("array<double>").alias("vec"))
     finite = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     usable = F.coalesce(F.col("label").isNotNull() & F.col("id").isNotNull() & finite & F.exists("vec", lambda v: v != 0.0), F.lit(False))
     rows = rows.withColumn("ok", usable).withColumn("h1", F.when(F.col("ok"), F.xxhash64("vec"))).withColumn("h2", F.when(F.col("ok"), F.xxhash64(F.lit(1), "vec")))
-    classes = rows.where("ok").groupBy("label", "h1", "h2").agg(F.min("id").alias("class"), F.count("*").alias("copies"), F.first("vec").alias("vec")).withColumn("dim", F.size("vec"))
-    classes = materialise(classes, "classes")
+    classes = rows.where("ok").groupBy("label", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec")).withColumn("dim", F.size("vec"))
+    classes = materialise(classes.withColumn("class", F.monotonically_increasing_id()), "classes")  # read, never made again
     axes = principal_axes(classes)
 
     sizes = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
@@ -146,9 +149,12 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     found = materialise(found, "links")
     parts = connected_components(found.select(F.col("class").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
-    known = classes.select("label", "h1", "h2", "class", "copies").join(links, "class", "left").join(parts.withColumnRenamed("node", "class"), "class", "left")
+    known = classes.drop("vec", "dim").join(links, "class", "left").join(parts.withColumnRenamed("node", "class"), "class", "left")
+    known = known.withColumn("component", F.coalesce("component", "class"))
+    smallest = known.groupBy("component").agg(F.min("rep").alias("smallest"))
+    known = materialise(known.join(smallest, "component").select("label", "h1", "h2", "copies", "links", "smallest"), "known")
     out = rows.drop("vec").join(known, ["label", "h1", "h2"], "left")
-    component = F.coalesce("component", "class", "id")
+    component = F.coalesce("smallest", "id")
     return out.select(F.col("id").alias(key), F.when(F.col("ok"), F.col("copies") - 1 + F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), component.cast("long").alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
