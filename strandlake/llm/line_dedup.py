@@ -84,7 +84,8 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple
     rows = keyed.select(F.col(h).alias("h"), F.col(f"`{text}`").alias("t"))
     found = materialise(repeated(rows, lambda *run: pairs(*run)[:3], reducers_for(df, text, BYTES_PER_LINE)), "pairs")
     known = _first_bytes(rows, found.where("first"))
-    later = found.where(~F.col("first")).select("digest", "row", "place").join(known, "digest")
+    # A written table on both sides lets Spark split the partition of a digest that very many rows have.
+    later = found.where(~F.col("first")).select("digest", "row", "place").join(materialise(known, "first"), "digest")
     later = later.groupBy("row").agg(F.collect_list(F.struct("place", "bytes")).alias(marks)).withColumnRenamed("row", h)
     joined = keyed.join(later, h, "left").drop(h)
     at, names = df.columns.index(text), df.columns
