@@ -5,9 +5,9 @@ text's probability is their noisy-or, 1 minus the product of (1 - p). The weight
 by sparse gradient descent on the noisy-or likelihood, so the sentences that carry the label stand out, and scoring a
 text also locates them.
 
-Fitting takes at most max_documents labelled training rows, a third of them toxic if there are enough (of each label
-those with the smallest hash of their id), of any size of input; scoring reads every whole text. Only words are inputs:
-never labels, language, source or id.
+Fitting takes at most max_documents labelled training rows of at most max_bytes in all, a third of either toxic if there
+are enough (of each label those with the smallest hash of their id), of any size of input; scoring reads every whole
+text. Only words are inputs: never labels, language, source or id.
 
 Edge cases: null, empty and wordless texts score the rate of toxic among such training texts; a word counts once a
 sentence; repeated rows get equal scores; with no labelled rows, or labels of one class, all scores follow that class;
@@ -20,14 +20,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm import textkernel as tk
-from strandlake.llm.common import documents
+from strandlake.llm.common import documents, materialise, named
 
-#: The bound on labelled rows that fitting takes.
-MAX_DOCUMENTS = 6_000
+#: The bounds on labelled rows, and on the bytes of their texts, that fitting takes and the driver holds.
+MAX_DOCUMENTS, MAX_BYTES = 6_000, 64 << 20
 BUCKETS = 1 << 20
 #: Bytes of the word beginnings that are features beside the whole word.
 BEGINNINGS = (4, 5, 6)
@@ -104,6 +104,15 @@ def _score(model: Model, bucket, sentence, text, n: int) -> tuple[np.ndarray, np
     return np.clip(scores, MARGIN, 1 - MARGIN), p
 
 
+def _slope(w: np.ndarray, bias: float, bucket, sentence, text, y: np.ndarray) -> np.ndarray:
+    """The gradient of the mean negative noisy-or log likelihood by every weight, and by the bias at the end."""
+    p = np.minimum(_sigmoid(np.bincount(sentence, w[bucket], len(text)) + bias), 1 - MARGIN)
+    clean = np.clip(np.exp(np.bincount(text, np.log1p(-p), len(y))), MARGIN, 1 - MARGIN)  # no sentence toxic
+    pull = np.where(y > 0, -clean / (1 - clean), 1.0) / len(y)
+    slope = p * pull[text]
+    return np.append(np.bincount(bucket, slope[sentence], len(w)), slope.sum())
+
+
 def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 60, rate: float = 0.2, sparse: float = 4.0) -> Model:
     """Weights by Adam on the noisy-or log likelihood of the labels.
 
@@ -146,11 +155,7 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 60, rate: float = 0.2
             bucket, sentence = bucket[bucket >= 0], sentence[bucket >= 0]
         m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
         for step in range(1, rounds + 1):
-            p = np.minimum(_sigmoid(np.bincount(sentence, w[bucket], base) + bias), 1 - MARGIN)
-            clean = np.clip(np.exp(np.bincount(text, np.log1p(-p), n)), MARGIN, 1 - MARGIN)  # no sentence toxic
-            pull = np.where(y > 0, -clean / (1 - clean), 1.0) / n
-            slope = p * pull[text]
-            grad = np.append(np.bincount(bucket, slope[sentence], len(used)), slope.sum())
+            grad = _slope(w, bias, bucket, sentence, text, y)
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
             scale = rate / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
             move = scale * (m / (1 - 0.9**step))
@@ -161,16 +166,23 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 60, rate: float = 0.2
 
 
 def held_out(key: str) -> F.Column:
-    return F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS == HELD_OUT
+    return F.crc32(named(key).cast("string").cast("binary")) % FOLDS == HELD_OUT
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_documents: int = MAX_DOCUMENTS) -> Model:
-    """Fit on labelled rows outside the held-out fold: at most max_documents of them reach the driver."""
-    named = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).groupBy(key).agg(F.max(label).alias("y"))
-    order = [F.xxhash64(key), F.col(key)]
-    toxic = named.where("y = 1").orderBy(*order).limit(max_documents // 3)
-    chosen = toxic.unionByName(named.where("y = 0").orderBy(*order).limit(max_documents - max_documents // 3))
-    rows = docs.select(F.col(key), F.col(text).alias("t")).join(F.broadcast(chosen), key).orderBy(key).select("t", "y").toArrow()
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_documents: int = MAX_DOCUMENTS, max_bytes: int = MAX_BYTES) -> Model:
+    """Fit on labelled rows outside the held-out fold: at most max_documents of max_bytes in all reach the driver.
+
+    Texts of more than a third of max_bytes are never taken; ids that stand on several texts take them all.
+    """
+    marked = labels.where(~held_out(key)).select(named(key).alias("k"), named(label).alias("y")).dropna().groupBy("k").agg(F.max("y").alias("y"))
+    order = [F.xxhash64("k"), F.col("k")]
+    toxic = marked.where("y = 1").orderBy(*order).limit(max_documents // 3)
+    chosen = toxic.unionByName(marked.where("y = 0").orderBy(*order).limit(max_documents - max_documents // 3))
+    rows = docs.select(named(key).alias("k"), named(text).alias("t")).join(F.broadcast(chosen), "k").withColumn("n", F.coalesce(F.octet_length("t"), F.lit(0)).cast("long"))
+    rows = materialise(rows.where(F.col("n") <= max_bytes // 3), "labelled")  # max_documents rows but for repeated ids
+    room = F.when(F.col("y") == 1, max_bytes // 3).otherwise(max_bytes - max_bytes // 3)
+    before = Window.partitionBy("y").orderBy(*order, "n", F.xxhash64("t")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("upto", F.sum("n").over(before)).where(F.col("upto") <= room).orderBy("k", "n", F.xxhash64("t")).select("t", "y").toArrow()
     return fit(rows.column("t").combine_chunks() if rows.num_rows else pa.array([], pa.string()), rows.column("y").to_numpy())
 
 
@@ -178,7 +190,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """key, score and offending (byte spans and probabilities of sentences at or above THRESHOLD) of every row."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # BUCKETS weights, whatever the input
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    rows = docs.select(named(key).alias("k"), named(text).alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())])
 
