@@ -8,7 +8,7 @@ difference a set of that size may have. Rarity is counted over all texts; a bloc
 
 Within a block's group every set is first compared with one hub, and the components of these links are found. Only
 sets of one group that are still apart are then compared with each other: small groups pair by pair. In large groups
-every set is XORed with the hub of the component most members belong to. What is left, its difference from the hub,
+every set is XORed with the hub of a component that most of them belong to. What is left, its difference from the hub,
 obeys the same law: if a and b are linked and one of them is not linked with the hub, their differences share elements,
 and if the elements are put in one order, rarest first, they share one that stands before the last few; fewer still
 need to be looked at on the side that is closer to the hub (see Bands.difference_slack). These elements group the sets
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm import textkernel as tk
-from strandlake.llm.common import bit_filter, documents, materialise, passes, shuffle_width
+from strandlake.llm.common import bit_filter, documents, materialise, named, passes, shuffle_width
 from strandlake.llm.components import connected_components
 
 WORDS = 5
@@ -339,13 +339,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
 def _to_hubs(members: DataFrame, labels: DataFrame, linked: DataFrame, classes: DataFrame) -> DataFrame:
     """hub, size_hub, class and size, each once: the members of large groups with their group's hub.
 
-    The hub is the set with most links so far in the component that most members belong to (any set may be a hub), so
-    groups of one family name the same one.
+    The hub is the set with most links so far in the component that is the most frequent in all large groups, of those in
+    this group (any set may be a hub), so the groups of one family name the same one.
     """
     degree = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
     centres = labels.join(degree, "node").groupBy(F.col("component").alias("label")).agg(F.max_by("node", F.struct("degree", "node")).alias("centre"))
-    counts = members.groupBy("token", "label").agg(F.count("*").alias("n"))
-    main = counts.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("label"))
+    inside = members.select("token", "label").distinct()
+    main = inside.join(members.groupBy("label").agg(F.count("*").alias("n")), "label").groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("label"))
     hubs = main.join(centres, "label", "left").select("token", F.coalesce("centre", "label").alias("hub"))
     pairs = members.select("token", "class", "size").join(hubs, "token").where("class <> hub").select("hub", "class", "size").distinct()
     return pairs.join(classes.select(F.col("class").alias("hub"), F.col("size").alias("size_hub")), "hub")
@@ -427,7 +427,7 @@ def _apart_in_tiles(members: DataFrame, sets: DataFrame, bands: Bands, nearest:
 def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
     """key, n_shingles and component_id (smallest key reachable by links) of every row."""
     spark, bands = df.sparkSession, Bands(share)
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    rows = df.select(named(key).alias("k"), named(text).alias("t"))
     per_row = materialise(document_classes(rows, n, bands), "rows")
     classes = per_row.where("size > 0").groupBy("class").agg(F.min("k").alias("rep"), F.min("size").alias("size"), F.first("empties").alias("empties"))
     classes = materialise(classes, "classes")
@@ -437,7 +437,9 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     first = first_blocks(rows, n, bands, reducers).unionByName(classes.select(F.explode("empties").alias("token"), "class", "size"))
     first = materialise(first, "blocks")
 
+    # Groups are written, so that Spark can split the partition of a token that very many classes have when it joins.
     groups = first.groupBy("token").agg(F.count("*").alias("m"), F.min("class").alias("hub"), F.min_by("size", "class").alias("size_hub")).where("m > 1")
+    groups = materialise(groups, "groups")
     stars = first.join(groups, "token").select(F.col("hub").alias("a"), F.col("size_hub").alias("size_a"), F.col("class").alias("b"), F.col("size").alias("size_b")).where(_fits(bands)).distinct()
     wanted = first.join(groups, "token", "left_semi").select("class").distinct().join(classes.select("class", "rep"), "class")
     sets = materialise(class_sets(rows, materialise(wanted, "wanted"), n), "sets")
@@ -446,9 +448,10 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     def labelled(members: DataFrame, *group: str) -> DataFrame:
         """Members of the groups that still hold several components."""
         found = members.join(labels.withColumnRenamed("node", "class"), "class", "left")
-        found = found.withColumn("label", F.coalesce("component", "class")).drop("component")
+        found = materialise(found.withColumn("label", F.coalesce("component", "class")).drop("component"), "labelled")
         counts = [F.count("*").alias("m"), F.count_if(~F.col("probe")).alias("m_a"), F.min("label").alias("lo"), F.max("label").alias("hi")]
-        return found.join(found.groupBy(*group).agg(*counts).where("lo <> hi and m_a > 0").drop("lo", "hi"), list(group))
+        mixed = found.groupBy(*group).agg(*counts).where("lo <> hi and m_a > 0").drop("lo", "hi")
+        return found.join(materialise(mixed, "mixed"), list(group))
 
     def apart(members: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Members of small and of large groups that still hold several components."""
@@ -491,9 +494,9 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
             labels = add(_apart_in_tiles(many, sets, bands, nearest))
             many = apart(differences)[1] if nearest else many
 
-    named = classes.select("class", "rep").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_class = named.join(smallest, "component").select("class", "component_id")
+    known = classes.select("class", "rep").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    smallest = known.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_class = known.join(smallest, "component").select("class", "component_id")
     out = per_row.select("k", "class", "size").join(of_class, "class", "left")
     return out.select(F.col("k").alias(key), F.col("size").alias("n_shingles"), F.coalesce("component_id", "k").alias("component_id"))
 
