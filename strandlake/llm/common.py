@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHARED = "spark.checkpoint.dir"
@@ -17,12 +18,15 @@ FILTER_BYTES = 16 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where the session names none (local tests) a temporary folder is set.
+    Only where the session names none and driver and executors are one process (local tests) a temporary folder is set;
+    on a cluster an unset folder is an error.
     """
     found = spark.conf.get(SHARED, None) or spark.sparkContext.getConf().get(SHARED, None)
     if not found:
         checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
         if checkpoint.isEmpty():
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError(f"set {SHARED} to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="strandlake-"))
             checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = checkpoint.get()
@@ -70,6 +74,11 @@ def free_name(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def let(value, body):
     """body applied to value that is computed once: binds it to a lambda variable."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -5,7 +5,8 @@ run of spaces, which no piece crosses. The distinct words of a batch are grouped
 through its characters together: substring hashes probe the sorted keys of each piece length, hits are confirmed
 character by character, and vectorised maxima over the ending pieces store scores and backpointers. The best path
 maximises the sum of the file's piece scores; of equal paths the one with the longer last piece wins. Characters
-without a piece become byte pieces, so decoding gives back every text.
+without a piece become byte pieces, so decoding gives back every text, but that U+2581 comes back as a space, as with
+the library.
 
 The scores of a merge vocabulary are ranks, so these ids are the vocabulary's best-scored segmentation, not the result of
 its merges.

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import documents, materialise, shuffle_width
+from strandlake.llm.common import documents, materialise, named, shuffle_width
 
 SHARDS = 16
 
@@ -23,8 +23,8 @@ SHARDS = 16
 def shard_by_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
     """key, size, text_crc32, shard and slot (place in the shard) of every row."""
     spark = df.sparkSession
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = df.select(F.col(key).alias("k"), (F.octet_length(body) + F.lit(1)).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("crc"))
+    body = F.coalesce(named(text), F.lit(""))
+    rows = df.select(named(key).alias("k"), (F.octet_length(body) + F.lit(1)).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("crc"))
     ranged = rows.repartitionByRange(shuffle_width(spark), "k", "size", "crc").withColumn("part", F.spark_partition_id())
     ranged = materialise(ranged, "ranged")
 

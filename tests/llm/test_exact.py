@@ -191,6 +191,24 @@ def test_line_dedup_against_brute_force(spark, docs, clashing, nothing):
     assert line_dedup.dedup_lines(nothing)[0].count() == 0
 
 
+def test_line_dedup_against_whole_texts(spark, docs):
+    """The rule on plain lines, with nothing of the operator but the hash that orders the rows."""
+    rows = {r.h & 0xFFFFFFFFFFFFFFFF: (r.text or "").split("\n") for r in docs.select(F.xxhash64("doc_id", "text").alias("h"), "text").distinct().collect()}
+    rows = {h: lines[:-1] if len(lines) > 1 and not lines[-1] else lines for h, lines in rows.items()}  # the end is no line
+    first, gone = {}, collections.defaultdict(set)
+    for h, lines in sorted(rows.items()):
+        for p, pair in enumerate(zip(lines, lines[1:], strict=False)):
+            if first.setdefault(pair, (h, p)) != (h, p):
+                gone[h] |= {p, p + 1}
+    out, count = line_dedup.dedup_lines(docs.withColumn("h", F.xxhash64("doc_id", "text")))
+    for r in out.collect():
+        h = r.h & 0xFFFFFFFFFFFFFFFF
+        assert r[count] == len(gone[h])
+        if gone[h]:
+            assert r.text.rstrip("\n") == "\n".join(x for p, x in enumerate(rows[h]) if p not in gone[h]).rstrip("\n")
+    assert sum(map(len, gone.values())) > 50
+
+
 def test_lines_are_cut_alike_after_insertions():
     rng = random.Random(5)
     lines = [f"{rng.random()}" for _ in range(200)]
@@ -263,6 +281,30 @@ def test_substring_dedup_against_brute_force(docs, clashing, nothing):
     assert substring_dedup.dedup_substrings(nothing)[0].count() == 0
 
 
+def test_chunk_ends_against_the_rolling_sum():
+    """Every boundary from its definition: a gear sum over the last 16 bytes, taken byte by byte."""
+    rng = random.Random(21)
+    weight = [int(x) & 0xFFFF for x in textkernel.mix(np.arange(1000, 1256, dtype=np.uint64))]
+    for _ in range(40):
+        texts = ["".join(rng.choice(["a", "bc ", " ", "\n", "é", "x" * 70, "日本"]) for _ in range(rng.randrange(90))) for _ in range(3)]
+        want, base = [], 0
+        for t, text in enumerate(texts):
+            raw = text.encode()
+            cuts = {0} if raw else set()
+            for i in range(15, len(raw) - 1):
+                rolled = sum(weight[raw[i - k]] << k for k in range(16)) & 0xFFFF
+                blank = raw[i] in b" \t\n\v\f\r"
+                solid = i >= 64 and not any(c in b" \t\n\v\f\r" for c in raw[i - 63 : i + 1]) and raw[i + 1] & 0xC0 != 0x80
+                if blank and rolled % 3 == 0 or solid and rolled % 31 == 0:
+                    cuts.add(i + 1)
+            want += [(base + c, t) for c in sorted(cuts)]
+            base += len(raw)
+        raws = [t.encode() for t in texts]
+        offsets = np.cumsum([0, *map(len, raws)])
+        start, text = substring_dedup.chunk_starts(np.frombuffer(b"".join(raws), np.uint8), offsets)
+        assert list(zip(start.tolist(), text.tolist(), strict=True)) == want
+
+
 def test_planted_passages_go_but_for_one(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
@@ -400,7 +442,7 @@ def test_large_groups_of_near_copies_cost_rows_in_proportion(spark, monkeypatch)
     both, size = (holds @ holds.T).astype(np.int64), holds.sum(1).astype(np.int64)
     a, b = np.nonzero(np.triu(100 * both >= 80 * (size[:, None] + size[None] - both), 1))
     want = union_find(rows, zip(a.tolist(), b.tolist(), strict=True))
-    made, write = collections.Counter(), jaccard_join.materialise
+    made, write = collections.Counter(), jaccard_join.materialise  # the most rows of each table that is written
 
     def counted(df, name):
         out = write(df, name)
@@ -432,15 +474,19 @@ def test_embedding_links_against_all_pairs(spark, tile):
     base = rng.normal(size=(12, 16))
     rows = [(i, (base[i % 12] + rng.normal(size=16) * rng.choice([0, 0.05, 0.25])).tolist(), int(i % 3)) for i in range(150)]
     rows += [(500, None, 1), (501, [0.0] * 16, 1), (502, [None, 1.0], 1), (503, [float("nan")] * 16, 1), (504, [float("inf")] * 16, 1), (505, rows[0][1], None), (506, [1.0, 2.0], 0), (507, [], 0), rows[3], rows[3]]
+    rows += [(600, base[0].tolist(), 2), (600, base[1].tolist(), 2), (601, base[0].tolist(), 2), (602, base[1].tolist(), 2), (603, base[1].tolist(), 2)]  # one id, two vectors
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    ok = {k: i for k, i in enumerate(rows) if i[0] < 500 or i[0] == 506}
+    ok = {k: i for k, i in enumerate(rows) if i[0] < 500 or i[0] in (506, *range(600, 604))}
     unit = {k: np.array(r[1]) / np.linalg.norm(r[1]) for k, r in ok.items()}
     pairs = [(a, b) for a in ok for b in ok if a < b and rows[a][2] == rows[b][2] and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.93]
     degree = collections.Counter(x for p in pairs for x in p)
-    part = union_find({r[0] for r in rows}, [(rows[a][0], rows[b][0]) for a, b in pairs])
+    part = union_find(range(len(rows)), pairs)
+    smallest = {k: min(rows[j][0] for j in part if part[j] == part[k]) for k in part}
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df, tile=tile).collect())
-    assert got == sorted((r[0], degree[k], part[r[0]], r[0] == part[r[0]]) for k, r in enumerate(rows))
+    assert got == sorted((r[0], degree[k], smallest[k], r[0] == smallest[k]) for k, r in enumerate(rows))
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+    odd = df.toDF("vec id", "e.b`d", "label").withColumns({c: F.lit(1) for c in ("id", "vec", "class", "h1", "dim", "rep", "component")})
+    assert sorted(map(tuple, embedding_dedup.near_duplicates(odd, "vec id", "e.b`d", tile=tile).collect())) == got
 
 
 # 8 ------------------------------------------------------------------------------------------------------------------
@@ -457,6 +503,19 @@ def test_ids_are_those_of_the_library():
     assert [np.frombuffer(x, "<u4").tolist() for x in tokenizer.id_bytes(BYTES)(texts)] == want
 
 
+@pytest.mark.parametrize(("blank", "tail"), [(" ", ""), (" ", "x"), ("\t", "x"), ("\n", " x"), ("\u3000", "x")])
+def test_long_runs_of_blanks_are_encoded_as_by_the_library(spark, blank, tail):
+    from tokenizers import Tokenizer
+
+    text = "a" + blank * 1_000_000 + tail
+    ids = Tokenizer.from_file(BYTES).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(tokenizer.id_bytes(BYTES)(["b", text, "c"])[1], "<u4").tolist() == ids
+    if tail == "x":
+        out = packing.pack(spark.createDataFrame([(1, text, "", "", 0), (2, "short", "", "", 0)], DOCS), BYTES).where("doc_id = 1").orderBy("piece").collect()
+        assert sum(r.length for r in out) == len(ids) + 1
+        assert out[-1].ids_crc32 == zlib.crc32(np.array([*ids, 2][out[-1].start :], "<u4").tobytes())
+
+
 def test_packing_holds_every_piece_once(docs, nothing):
     out = packing.pack(docs, BYTES, capacity=64).collect()
     ids = dict(zip([r.doc_id for r in docs.collect()], [np.frombuffer(x, "<u4").tolist() + [2] for x in tokenizer.id_bytes(BYTES)([r.text or "" for r in docs.collect()])], strict=True))
@@ -488,6 +547,28 @@ def test_fullest_is_the_best_subset_sum():
         assert sum(x * n for x, n in got) == best and all(n <= counts[x] for x, n in got)
 
 
+def odd_names(docs):
+    """The rows under names that need quoting, among columns named like those the operators use."""
+    extra = ["k", "t", "h", "size", "crc", "part", "class", "token", "digest", "piece", "start", "length", "nth", "task", "y", "score"]
+    return docs.select(F.col("doc_id").alias("doc.id"), F.col("text").alias("te`x.t"), *[F.lit(i).alias(c) for i, c in enumerate(extra)])
+
+
+@pytest.mark.parametrize(
+    "apply",
+    [
+        sharding.shard_by_bytes,
+        jaccard_join.near_components,
+        lambda df, *names: packing.pack(df, BYTES, *names).drop("sequence_id", "offset"),  # equal pieces may change places
+        lambda df, *names: toxicity.score(df, toxicity.Model(np.linspace(-1, 1, toxicity.BUCKETS), -1.0, 0.1), *names),
+        lambda df, *names: token_counts.count_tokens(df, PIECES, None, *names),
+    ],
+)
+def test_odd_and_clashing_names_change_nothing(docs, apply):
+    plain, odd = apply(docs), apply(odd_names(docs), "doc.id", "te`x.t")
+    assert odd.columns == ["doc.id", *plain.columns[1:]]
+    assert collections.Counter(map(repr, map(tuple, odd.collect()))) == collections.Counter(map(repr, map(tuple, plain.collect())))
+
+
 # 9 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -513,9 +594,68 @@ def test_toxic_sentences_are_learned_from_document_labels(spark):
     assert "Grobian" in rows[0][1][where.start : where.end]
     assert toxicity.score(docs.limit(0), model).count() == 0
     assert toxicity.train(docs, marks.limit(0)).weights.any() == np.False_
+    few = toxicity.train(docs, marks, max_bytes=3 * 400 * 30)  # about 30 toxic texts and 60 others
+    assert 0 < np.count_nonzero(few.weights) < np.count_nonzero(model.weights) + 50
+    assert toxicity.train(docs.select(F.col("doc_id").alias("a.b"), F.col("text").alias("c.d")), marks.withColumnRenamed("doc_id", "a.b"), "a.b", "c.d").bias == model.bias
     assert {r.held_out for r in docs.select(toxicity.held_out("doc_id").alias("held_out")).collect()} == {True, False}
 
 
+def test_scores_are_the_noisy_or_of_the_sentences(spark):
+    """Words, word beginnings, buckets and the noisy-or, one by one in plain integers and floats."""
+    rng = random.Random(17)
+    full = (1 << 64) - 1
+
+    def mixed(x):
+        x = ((x ^ (x >> 33)) * 0xFF51AFD7ED558CCD) & full
+        x = ((x ^ (x >> 29)) * 0xC4CEB9FE1A85EC53) & full
+        return x ^ (x >> 32)
+
+    def bucket(part, k):
+        value = sum(mixed(b + 1) * pow(0x9E3779B97F4A7C15 | 1, i, 1 << 64) for i, b in enumerate(part)) & full
+        return (mixed((value + k) & full) >> 40) & (toxicity.BUCKETS - 1)
+
+    weights = np.zeros(toxicity.BUCKETS)
+    said = ["Bad", "worse", "kindness", "ünder", "x1", "longerword"]
+    for w in said:
+        raw = w.encode().lower()
+        for k in (0, 4, 5, 6):
+            if len(raw) > k:
+                weights[bucket(raw[: k or None], k)] += rng.uniform(-3, 3)
+    model = toxicity.Model(weights, -1.5, 0.25)
+    texts = ["".join(rng.choice([*said, " ", " ", ", ", ". ", "!\n", "other"]) for _ in range(rng.randrange(30))) for _ in range(200)]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], DOCS), model).collect()}
+    for i, t in enumerate(texts):
+        clean, wordless = 1.0, True
+        for s in re.split(rb"[.!?\n]", t.encode()):
+            words = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", s)]
+            if words:
+                wordless = False
+                found = {bucket(w[: k or None], k) for w in words for k in (0, 4, 5, 6) if len(w) > k}
+                clean *= 1 - min(1 / (1 + np.exp(-(model.bias + sum(weights[b] for b in found)))), 1 - toxicity.MARGIN)
+        want = model.empty if wordless else min(max(1 - clean, toxicity.MARGIN), 1 - toxicity.MARGIN)
+        assert got[i] == pytest.approx(want, abs=1e-9)
+
+
+def test_slopes_are_those_of_the_likelihood():
+    rng = np.random.default_rng(4)
+    text = np.sort(rng.integers(0, 12, 40))
+    y = rng.integers(0, 2, 12).astype(float)
+    pairs = np.unique(rng.integers(0, 40 * 9, 150))
+    sentence, bucket = pairs // 9, pairs % 9
+
+    def loss(v):
+        p = 1 / (1 + np.exp(-np.array([v[bucket[sentence == s]].sum() + v[-1] for s in range(40)])))
+        clean = np.array([np.prod(1 - p[text == t]) for t in range(12)])
+        return -np.mean(np.where(y > 0, np.log(np.maximum(1 - clean, 1e-12)), np.log(clean)))
+
+    keep = np.isin(np.arange(12), text) | (y == 0)
+    y = np.where(keep, y, 0)  # a toxic text without sentences has no likelihood
+    v = rng.normal(0, 0.5, 10)
+    got = toxicity._slope(v[:-1], v[-1], bucket, sentence, text, y)
+    step = 1e-5 * np.eye(10)
+    assert np.allclose(got, [(loss(v + s) - loss(v - s)) / 2e-5 for s in step], atol=1e-6)
+
+
 # 10 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -531,3 +671,13 @@ def test_counts_are_the_library_s_and_come_from_the_cache(spark, docs, nothing,
         assert spark.read.parquet(cache).count() == distinct  # the second call encodes nothing
     assert token_counts.count_tokens(nothing, PIECES).count() == 0
     assert token_counts.count_tokens(docs, BYTES, cache).count() == len(want) and spark.read.parquet(cache).count() == 2 * distinct
+
+
+def test_counts_equal_the_library_s_on_odd_strings():
+    import sentencepiece
+
+    library, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), random.Random(23)
+    parts = ["a", "b", "é", "x", "\u2581", "\u2581\u2581", "  ", " ", "\t", "\n", "the", "日本", "🙂", "\0", "\u3000", "ﬁ", "<s>", "<0x41>", "\u200d", "e\u0301"]
+    texts = ["x\u2581 \u2581éa\u2581\t"] + ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(20_000)]
+    assert tokenizer.counter(PIECES)(texts) == [len(x) for x in library.encode(texts)]
+    assert tokenizer.words_are_apart(library)
