@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import materialise, named
-from strandlake.llm.components import connected_components
+from strandlake.llm.components import connected_components, hook
 
 THRESHOLD = 0.93
 TILE = 4096
@@ -58,22 +58,6 @@ def principal_axes(classes: DataFrame) -> dict[int, np.ndarray]:
     return axes
 
 
-def _hook(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest-label union of the pairs (i, j) into label."""
-    while True:
-        a, b = label[i], label[j]
-        low = np.minimum(a, b)
-        if (a == b).all():
-            return label
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        while True:
-            down = label[label]
-            if (down == label).all():
-                break
-            label = down
-
-
 def tile_links(x: np.ndarray, y: np.ndarray | None, wx: np.ndarray, wy: np.ndarray, axes: np.ndarray, threshold: float = THRESHOLD):
     """Weighted link counts of the rows of x and y and their local component labels (rows of y after those of x).
 
@@ -114,7 +98,7 @@ def tile_links(x: np.ndarray, y: np.ndarray | None, wx: np.ndarray, wy: np.ndarr
             s, t = s[real], t[real]
             links_x += np.bincount(s, wy[t], n).astype(np.int64)
             links_y += np.bincount(t, wx[s], len(y)).astype(np.int64)
-            label = _hook(label, s, t if own else t + n)
+            label = hook(label, s, t if own else t + n)
     return (links_x + links_y, None, label) if own else (links_x, links_y, label)
 
 

@@ -12,10 +12,12 @@ every set is XORed with the hub of a component that most of them belong to. What
 obeys the same law: if a and b are linked and one of them is not linked with the hub, their differences share elements,
 and if the elements are put in one order, rarest first, they share one that stands before the last few; fewer still
 need to be looked at on the side that is closer to the hub (see Bands.difference_slack). These elements group the sets
-anew, without what the whole group has in common. A group that still is large goes through tiles of full sketches, whose
-Hamming distance bounds the difference from below: tiles offer the closest pair of each component, and at last all
-pairs. Survivors are verified on whole shingle sets. So a group of thousands of near copies costs rows in proportion to
-its members, and no link between different texts is lost. Equal sets are one class throughout.
+anew, without what the whole group has in common, and the new groups are compared in tiles of bounded bytes.
+
+Candidates are compared by their full sketches first, whose Hamming distance bounds the difference from below, and
+survivors are verified on whole shingle sets; a tile returns only links between what is still apart in it. So a group of
+thousands of near copies costs rows in proportion to its members, and no link between different texts is lost. Equal
+sets are one class throughout.
 
 Hash classes are 64-bit: n distinct sets collide with a chance of about n * n / 2 ** 65.
 
@@ -41,8 +43,10 @@ from strandlake.llm.components import connected_components
 WORDS = 5
 #: Linked when SHARE[1] * intersection >= SHARE[0] * union.
 SHARE = (80, 100)
-#: Larger groups are compared through a hub, and in tiles what is left of them.
-GROUP, TILE = 64, 1024
+#: Larger groups are compared through a hub.
+GROUP = 64
+#: About the bytes of sets on either side of a tile.
+TILE_BYTES = 8 << 20
 #: Bytes of entries one reducer holds, and entries a mapper gathers before it deals them out.
 REDUCER_BYTES, MAPPER_ROWS = 48 << 20, 1 << 20
 U = tk.U
@@ -325,12 +329,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
 
     def exact(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("shingles_a"), batch.column("shingles_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                both = np.sort(np.concatenate([x, y]))
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(den * common >= num * (len(x) + len(y) - common))
+            keep = [_linked(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), bands) for x, y in zip(batch.column("shingles_a"), batch.column("shingles_b"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return near.mapInArrow(exact, "a long, b long")
@@ -369,33 +368,40 @@ def _differences(spread: DataFrame, sets: DataFrame, bands: Bands, reducers: int
     return _rarest(shared, "hub", "class").select("token", "class", "size", "far", (F.col("nth") <= F.col("closer")).alias("probe"))
 
 
-def _closer(a: str, b: str):
-    """Whether a pair of members is to be looked at from a's side."""
-    return (F.col(f"far_{a}") < F.col(f"far_{b}")) | ((F.col(f"far_{a}") == F.col(f"far_{b}")) & (F.col(a) < F.col(b)))
+def _linked(x: np.ndarray, y: np.ndarray, bands: Bands) -> bool:
+    both = np.sort(np.concatenate([x, y]))
+    common = int((both[1:] == both[:-1]).sum())
+    return bands.den * common >= bands.num * (len(x) + len(y) - common)
 
 
-def _apart_in_tiles(members: DataFrame, sets: DataFrame, bands: Bands, nearest: bool) -> DataFrame:
-    """Pairs of one large group that lie in different components and pass size and sketch.
+def _links_in_tiles(members: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+    """a, b: links between different components of a group, as many as it takes to unite them tile by tile.
 
-    The sides of a tile are up to about TILE members that are no probes, and up to TILE of all. nearest keeps for each
-    component of a tile only its closest pair.
+    Members that are no probes meet all members of their group; either side of a tile has about TILE_BYTES of sets.
     """
     num, den = bands.num, bands.den
-    known = members.join(sets.select("class", "sketch"), "class").withColumn("tiles_a", F.ceil(F.col("m_a") / TILE).cast("int")).withColumn("tiles_b", F.ceil(F.col("m") / TILE).cast("int"))
-    hashed, columns = F.xxhash64("class"), ("class", "label", "size", "far", "sketch")
+    tiles = lambda c: F.ceil(F.col(c) * 12 / F.lit(TILE_BYTES)).cast("int")  # noqa: E731  12 bytes an element with its sketch
+    known = members.join(sets, "class").withColumn("tiles_a", tiles("size_a")).withColumn("tiles_b", tiles("size_all"))
+    hashed, columns = F.xxhash64("class"), ("class", "label", "size", "far", "sketch", "shingles")
     side = lambda a, b, i, j: (F.pmod(hashed, F.col(a)).cast("int").alias(i), F.explode(F.sequence(F.lit(0), F.col(b) - 1)).alias(j))
     left = known.where(~F.col("probe")).select("token", F.lit(True).alias("left"), *side("tiles_a", "tiles_b", "i", "j"), *columns)
     right = known.select("token", F.lit(False).alias("left"), *side("tiles_b", "tiles_a", "j", "i"), *columns)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf[pdf["left"]], pdf[~pdf["left"]]
-        out, keep = [], {}
-        sketches = [np.frombuffer(s, U) for s in y["sketch"]]
+        out, up = [], {}
+
+        def root(n: int) -> int:
+            while n in up:
+                n = up[n]
+            return n
+
         ids, labels, sizes, fars = (y[c].to_numpy() for c in ("class", "label", "size", "far"))
+        sketches, sets_y = ([np.frombuffer(s, U) for s in y[c]] for c in ("sketch", "shingles"))
         by_length = {n: np.flatnonzero([len(s) == n for s in sketches]) for n in {len(s) for s in sketches}}
         stacked = {n: np.stack([sketches[i] for i in at]) for n, at in by_length.items()}
-        for cls, label, size, far, sketch in zip(*(x[c] for c in columns), strict=True):
-            sketch = np.frombuffer(sketch, U)
+        for cls, label, size, far, sketch, shingles in zip(*(x[c] for c in columns), strict=True):
+            sketch, shingles = np.frombuffer(sketch, U), np.frombuffer(shingles, U)
             for n, at in by_length.items():
                 a, b = sketch, stacked[n]
                 while len(a) > n:
@@ -406,22 +412,15 @@ def _apart_in_tiles(members: DataFrame, sets: DataFrame, bands: Bands, nearest:
                 hit = (labels[at] != label) & (den * small >= num * large) & ((fars[at] > far) | ((fars[at] == far) & (ids[at] > cls)))
                 if not hit.any():
                     continue
-                distance = np.bitwise_count(a ^ b[hit]).sum(axis=1)
-                passed = distance <= (den - num) * small[hit] // num
-                found, distance = at[hit][passed], distance[passed]
-                if not nearest:
-                    out += [(cls, size, ids[k], sizes[k]) for k in found]
-                elif len(found):
-                    order = np.lexsort((distance, labels[found]))
-                    first = np.append(True, np.diff(labels[found][order]) != 0)
-                    for k, d in zip(found[order][first].tolist(), distance[order][first].tolist(), strict=True):
-                        pair = (d, cls, size, ids[k], sizes[k])
-                        for end in (label, labels[k]):
-                            keep[end] = min(keep.get(end, pair), pair)
-        out += [pair[1:] for pair in set(keep.values())]
-        return pd.DataFrame(out, columns=["a", "size_a", "b", "size_b"]).astype("int64")
-
-    return left.unionByName(right).groupBy("token", "i", "j").applyInPandas(compare, "a long, size_a long, b long, size_b long")
+                passed = np.bitwise_count(a ^ b[hit]).sum(axis=1) <= (den - num) * small[hit] // num
+                for k in at[hit][passed].tolist():
+                    ends = root(label), root(labels[k])
+                    if ends[0] != ends[1] and _linked(shingles, sets_y[k], bands):
+                        up[max(ends)] = min(ends)
+                        out.append((cls, ids[k]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return left.unionByName(right).groupBy("token", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
@@ -445,54 +444,41 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     sets = materialise(class_sets(rows, materialise(wanted, "wanted"), n), "sets")
     links = [materialise(_verified(stars, sets, bands), "links")]
 
-    def labelled(members: DataFrame, *group: str) -> DataFrame:
-        """Members of the groups that still hold several components."""
+    def apart(members: DataFrame, *group: str) -> DataFrame:
+        """Members of the groups that still hold several components, with their number and elements (of no probes: _a)."""
         found = members.join(labels.withColumnRenamed("node", "class"), "class", "left")
         found = materialise(found.withColumn("label", F.coalesce("component", "class")).drop("component"), "labelled")
-        counts = [F.count("*").alias("m"), F.count_if(~F.col("probe")).alias("m_a"), F.min("label").alias("lo"), F.max("label").alias("hi")]
-        mixed = found.groupBy(*group).agg(*counts).where("lo <> hi and m_a > 0").drop("lo", "hi")
+        first, size = ~F.col("probe"), F.col("size") + 8
+        sums = [F.count("*").alias("m"), F.count_if(first).alias("m_a"), F.sum(size).alias("size_all"), F.sum(F.when(first, size)).alias("size_a")]
+        mixed = found.groupBy(*group).agg(*sums, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi and m_a > 0").drop("lo", "hi")
         return found.join(materialise(mixed, "mixed"), list(group))
 
-    def apart(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Members of small and of large groups that still hold several components."""
-        mixed = materialise(labelled(members, "token"), "apart")
-        return mixed.where(F.col("m") * F.col("m_a") <= GROUP * GROUP), mixed.where(F.col("m") * F.col("m_a") > GROUP * GROUP)
-
-    def pairs(members: DataFrame) -> DataFrame:
-        """All pairs of different components, group by group."""
-        side = lambda c: (F.col("class").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("size", "label", "far")))
-        left, right = members.where(~F.col("probe")).select("token", *side("a")), members.select("token", *side("b"))
-        return left.join(right, "token").where(_closer("a", "b") & (F.col("label_a") != F.col("label_b"))).select("a", "size_a", "b", "size_b")
-
     def components() -> DataFrame:
         return connected_components(functools.reduce(DataFrame.unionByName, links).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     def add(found: DataFrame) -> DataFrame:
-        """Components once the linked ones of these pairs are added."""
-        found = materialise(_verified(found.where(_fits(bands)).distinct(), sets, bands), "links")
+        """Components once these links are added."""
+        found = materialise(found, "links")
         if found.isEmpty():
             return labels
         links.append(found)
         return components()
 
     labels = components()
-    few, many = apart(first.withColumn("far", F.lit(0)).withColumn("probe", F.lit(False)))
+    members = materialise(apart(first.withColumn("probe", F.lit(False)), "token"), "apart")
+    few, many = members.where(F.col("m") <= GROUP), members.where(F.col("m") > GROUP)
+    left, right = (few.select("token", *(F.col(x).alias(y) for x, y in (("class", c), ("size", f"size_{c}"), ("label", f"label_{c}")))) for c in ("a", "b"))
+    pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))).select("a", "size_a", "b", "size_b")
     to_hubs = materialise(_to_hubs(many, labels, links[0], classes), "hubs")
-    labels = add(pairs(few).unionByName(to_hubs.select(F.col("hub").alias("a"), F.col("size_hub").alias("size_a"), F.col("class").alias("b"), F.col("size").alias("size_b"))))
+    pairs = pairs.unionByName(to_hubs.select(F.col("hub").alias("a"), F.col("size_hub").alias("size_a"), F.col("class").alias("b"), F.col("size").alias("size_b")))
+    labels = add(_verified(pairs.where(_fits(bands)).distinct(), sets, bands))
     # Small groups are settled; large ones go on by what their members do not have in common with the hub.
-    spread = materialise(labelled(to_hubs.withColumn("probe", F.lit(False)), "hub").select("hub", "class", "size", "size_hub"), "spread")
+    spread = materialise(apart(to_hubs.withColumn("probe", F.lit(False)), "hub").select("hub", "class", "size", "size_hub"), "spread")
     elements = spread.agg(F.sum(F.col("size") + F.col("size_hub"))).first()[0]
     if elements:
         reducers = max(width, -(-elements * _XORED.itemsize // REDUCER_BYTES))
-        differences = materialise(_differences(spread, sets, bands, reducers), "differences")
-        few, many = apart(differences)
-        labels = add(pairs(few))
-        # What is large even so offers the closest pairs of what is apart, and then all pairs.
-        for nearest in (True, False):
-            if many.isEmpty():
-                break
-            labels = add(_apart_in_tiles(many, sets, bands, nearest))
-            many = apart(differences)[1] if nearest else many
+        members = apart(materialise(_differences(spread, sets, bands, reducers), "differences"), "token")
+        labels = add(_links_in_tiles(members, sets, bands))
 
     known = classes.select("class", "rep").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     smallest = known.groupBy("component").agg(F.min("rep").alias("component_id"))

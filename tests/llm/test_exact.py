@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.llm import embedding_dedup, jaccard_join, line_dedup, packing, piece_codec, quality, sharding, substring_dedup, textkernel, token_counts, tokenizer, toxicity
+from strandlake.llm import components, embedding_dedup, jaccard_join, line_dedup, packing, piece_codec, quality, sharding, substring_dedup, textkernel, token_counts, tokenizer, toxicity
 from strandlake.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -81,7 +81,9 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def test_components_of_chains_loops_and_stars(spark):
+@pytest.mark.parametrize("in_one_task", [0, 1 << 20])
+def test_components_of_chains_loops_and_stars(spark, monkeypatch, in_one_task):
+    monkeypatch.setattr(components, "EDGES_A_TASK", in_one_task)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100)] + [(200, 200 + i) for i in range(1, 30)] + [(7, 6), (7, 6)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(41)} | {200 + i: 200 for i in range(30)}
@@ -381,10 +383,10 @@ def test_shards_are_contiguous_balanced_and_gapless(docs, nothing):
 # 5 ------------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(("group", "tile"), [(64, 1024), (2, 4)])
+@pytest.mark.parametrize(("group", "tile"), [(64, 8 << 20), (2, 2000)])
 def test_jaccard_components_against_all_pairs(spark, docs, nothing, monkeypatch, group, tile):
     monkeypatch.setattr(jaccard_join, "GROUP", group)
-    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    monkeypatch.setattr(jaccard_join, "TILE_BYTES", tile)
     rng = random.Random(1)
     base = [f"w{i}" for i in range(60)]
     near = []
