@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,13 +34,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: The folders made inside each open scratch() block.
+_blocks: list[list[str]] = []
+
+
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of a folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; removed when the session ends."""
-    path = f"{shared_dir(spark)}/strandlake-{uuid.uuid4().hex}/{name}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where.getParent())
-    return path
+    """A new path in the shared folder; removed when the session ends, or the innermost scratch() block."""
+    folder = f"{shared_dir(spark)}/strandlake-{uuid.uuid4().hex}"
+    system, where = _folder(spark, folder)
+    system.deleteOnExit(where)
+    if _blocks:
+        _blocks[-1].append(folder)
+    return f"{folder}/{name}"
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables made inside the block go when it ends: whatever reads them must be computed by then."""
+    _blocks.append([])
+    try:
+        yield
+    finally:
+        for path in _blocks.pop():
+            system, where = _folder(spark, path)
+            system.delete(where, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -52,11 +76,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def release(df: DataFrame) -> None:
     """Delete a table made by materialise() that nothing reads any more."""
-    spark = df.sparkSession
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(parent)
-        where.getFileSystem(conf).delete(where, True)
+        system, where = _folder(df.sparkSession, parent)
+        system.delete(where, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -91,7 +91,7 @@ def test_stages_one_by_one(spark, folder):
     sets = {r.doc_id: shingles(r.text) for r in lines.collect()}
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     root = union_find(sets, links)
-    assert rows_of(near) == sorted((tuple(r) for r in lines.collect() if root[r.doc_id] == r.doc_id), key=str)
+    assert rows_of(near) == sorted({tuple(r) for r in lines.collect() if root[r.doc_id] == r.doc_id}, key=str)
     assert near.count() < lines.count()
 
     passages = step("substring dedup", near, 4)
@@ -110,6 +110,29 @@ def test_stages_one_by_one(spark, folder):
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in whole.collect()) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in packed)
 
 
+def test_one_row_of_a_group_stays(spark):
+    """One id on several rows, equal or not, near copies of a smaller id, null ids and rows without words."""
+    a = " ".join(f"w{i}" for i in range(60))
+    near, other = a.replace("w59", "x"), " ".join(f"v{i}" for i in range(30))
+    rows = [(1, a, "en", "s", 1), (1, a, "en", "s", 1), (1, near, "en", "s", 1), (2, a, "en", "s", 1), (2, other, "en", "s", 1), (3, near, "en", "t", 1), (None, other, "en", "s", 1), (None, "only here", "en", "s", 1), (7, "", "en", "s", 0), (7, "", "en", "s", 0), (8, None, "en", "s", 0)]
+    got = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, spark.createDataFrame(rows, DOCS), "").collect()
+    kept = collections.Counter(r.text for r in got)
+    assert kept["only here"] == kept[""] == kept[None] == kept[other] == 1 and kept[a] + kept[near] == 1 and len(got) == 5
+    assert {r.doc_id for r in got if r.text in (a, near)} == {1}
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from strandlake.llm.common import materialise, scratch
+
+    with scratch(spark):
+        table = materialise(spark.range(3), "x")
+        folder = table.inputFiles()[0].removeprefix("file://").rsplit("/", 2)[0]
+        assert os.path.isdir(folder) and table.count() == 3
+    assert not os.path.exists(folder)
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_empty_documents(spark, name):
     none = spark.createDataFrame([], DOCS)
