@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import tokenizer
-from strandlake.llm.common import documents, materialise
+from strandlake.llm.common import documents, release, scratch, scratch_path
 from strandlake.llm.jaccard_join import near_components
 from strandlake.llm.line_dedup import dedup_lines
 from strandlake.llm.packing import pack
@@ -37,10 +37,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; rows of one id stay together."""
-    groups = near_components(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+    """Of each group of linked documents one row, of those with the smallest id the one with the smallest hash.
+
+    Rows equal in every column are one document, and one of them stays, with or without words.
+    """
+    row = F.struct(F.col("doc_id"), F.xxhash64(*COLUMNS).alias("hash")).alias("row")
+    keyed = docs.select(*COLUMNS, row)
+    kept = near_components(keyed, "row").where(F.col("row") == F.col("component_id")).select("row").distinct()
+    return keyed.join(kept, "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,8 +71,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written to the shared folder and read again by the next."""
-    docs = documents(spark, sf_dir)
+    """All stages over the documents of sf_dir, each written to the shared folder and read again by the next.
+
+    What a stage writes on its way goes when its result is written, and that when the next one's is.
+    """
+    docs, written = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        path = scratch_path(spark, name.replace(" ", "_"))
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if written is not None:
+            release(written)
+        docs = written = spark.read.schema(docs.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
