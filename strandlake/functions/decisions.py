@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.functions import schemas
+
 
 def _tokens(text: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(F.lower(text), r"\s+"), ""))
@@ -53,6 +55,51 @@ def consensus(votes: DataFrame, sure: float = 0.7) -> DataFrame:
     return tally.withColumn("decision", F.when(F.col("_blocked"), "reject").when(F.col("n_revision") > 0, "requires_revision").otherwise("approve")).drop("_blocked")
 
 
+def consensus_report(votes: DataFrame, sure: float = 0.7) -> DataFrame:
+    """consensus with the distinct required revisions and blocking issues of a gene's votes (arrays), sorted."""
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<string>"))))))
+    lists = votes.groupBy("gene").agg(union("required_revisions").alias("required_revisions"), union("blocking_issues").alias("blocking_issues"))
+    return consensus(votes, sure).join(lists, "gene")
+
+
+def vote_decision(high: Column, issues: Column) -> Column:
+    """A specialist's vote: any high-severity blocker rejects, none and no other issue approves, else revision."""
+    return F.when(high > 0, "reject").when(issues == 0, "approve").otherwise("requires_revision")
+
+
+def meets_threshold(quality: Column, threshold: float = 0.7) -> Column:
+    """Whether an overall quality (0 where it is missing) reaches the threshold."""
+    return F.coalesce(quality, F.lit(0.0)) >= threshold
+
+
+def conflicts(new: DataFrame, existing: DataFrame, batch: str = "batch", name: str = "name") -> DataFrame:
+    """Per batch its names that exist already, each new row counted, and the consistency score: 0.7 if any, else 1."""
+    known = existing.select(name).distinct().withColumn("_known", F.lit(1))
+    counts = new.join(known, name, "left").groupBy(batch).agg(F.count("_known").alias("conflicts"))
+    return counts.withColumn("score", F.when(F.col("conflicts") > 0, 0.7).otherwise(1.0))
+
+
+def validation_report(instances: DataFrame, schema: dict | None = None, key: str = "batch_id", doc: str = "doc") -> DataFrame:
+    """key, valid, errors and warnings (arrays) of each batch of instances.
+
+    Errors come part by part and item by item; a text that is no JSON object has one error. With a JSON schema its
+    violations follow the others (see schemas.violations for the keywords); keywords it does not know are warnings.
+    """
+    found = structural_errors(instances, key, doc)
+    order = F.struct("part", "position", "missing")
+    said = F.concat(F.lit("missing "), F.col("missing"), F.lit(" in "), F.when(F.col("part") == "entities", "entity").otherwise("reaction"))
+    lists = found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), said.alias("s")))), lambda x: x["s"]).alias("_found"))
+    none = F.array().cast("array<string>")
+    readable = F.coalesce(F.schema_of_variant(F.try_parse_json(F.col(doc))).startswith("OBJECT"), F.lit(False))
+    errors = F.when(readable, F.coalesce("_found", none)).otherwise(F.array(F.lit("no JSON object")))
+    out = instances.select(key, doc).join(lists, key, "left").withColumn("errors", errors)
+    warnings: list[str] = []
+    if schema is not None:
+        warnings = schemas.unknown(schema)
+        out = out.withColumn("errors", F.when(readable, F.concat("errors", schemas.checker(schema)(F.col(doc)))).otherwise(F.col("errors")))
+    return out.select(key, (F.size("errors") == 0).alias("valid"), "errors", F.array(*map(F.lit, warnings)).cast("array<string>").alias("warnings"))
+
+
 def structural_errors(instances: DataFrame, key: str = "batch_id", doc: str = "doc", parts: tuple[str, ...] = ("entities", "reactions")) -> DataFrame:
     """key, part, position and missing field of each entity and reaction that lacks class or displayName.
 
@@ -68,7 +115,9 @@ def structural_errors(instances: DataFrame, key: str = "batch_id", doc: str = "d
     return rows.select(key, "part", F.col("position").cast("long").alias("position"), "item", fields).where(~F.map_contains_key("item", F.col("missing"))).drop("item")
 
 
-def instance_counts(instances: DataFrame, key: str = "batch_id", doc: str = "doc") -> DataFrame:
+def instance_counts(instances: DataFrame, key: str = "batch_id", doc: str = "doc", papers: bool = False) -> DataFrame:
+    """Entities, reactions, pathways and all instances of each batch, and its papers if asked for; a missing list has none."""
     v = F.try_parse_json(F.col(doc))
     count = lambda p: F.coalesce(F.size(F.try_variant_get(v, f"$.{p}", "array<variant>")), F.lit(0)).cast("long")
-    return instances.select(key, *[count(p).alias(p) for p in ("entities", "reactions", "pathways")], (count("entities") + count("reactions") + count("pathways")).alias("instances"))
+    more = [count("papers").alias("papers")] if papers else []
+    return instances.select(key, *more, *[count(p).alias(p) for p in ("entities", "reactions", "pathways")], (count("entities") + count("reactions") + count("pathways")).alias("instances"))

@@ -6,16 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TEMPLATES = {
+    "pathway_text": "Title of the pathway: {name}\n\nSummary of the pathway: {summary}",
+    "role_section": "\n\nRoles of the gene in its reactions: {roles}",
     "annotated_pathway": "Describe in at most {words} words what gene {gene} does in the pathway below, by its roles only.\n{text}",
-    "annotated_pathways": "Combine the pathway descriptions of gene {gene} below into one account.\n{text}",
-    "interacting_pathway": "Partners {partners} of gene {gene} act in the pathway below. Explain how {gene} may take part.\n{text}",
-    "interacting_pathways": "Rank the pathways gene {gene} may belong to, given names with their false-discovery rates.\n{text}",
+    "annotated_pathways": "Combine the pathway descriptions of gene {gene} below into one account of at most {words} words.\n{text}",
+    "interacting_pathway": "Partners {partners} of gene {gene} act in the pathway below, in these roles: {roles}. Explain how {gene} may take part.\n{text}",
+    "interacting_pathways": "Rank the pathways gene {gene} (partners {partners}) may belong to, given names with their false-discovery rates.\n{fdrs}\n{text}",
     "abstract_match": "Rate from 0 to 10 how well the abstract supports the pathway text; answer with 'score: <number>'.\n{text}",
     "abstract_summary": "Summarise what the abstracts say about gene {gene} in this pathway; cite each PMID.\n{text}",
-    "abstracts_summary": "Summarise over all pathways; mark names as PATHWAY_NAME:\"<name>\".\n{text}",
-    "interaction_summary": "Summarise what the abstracts say about interactions between {gene} and {partners}.\n{text}",
+    "abstracts_summary": "Summarise over all pathways of gene {gene} and its partners {partners}; mark names as PATHWAY_NAME:\"<name>\".\n{text}",
+    "interaction_summary": "Summarise what the abstracts say about interactions between {gene} and {partners} in the pathway {pathway}.\n{text}",
     "relationships": "List the relationships in the text as 'gene - type -> other', one a line.\n{text}",
+    "extraction_task": "Collect what papers say about gene {gene}: interactions, pathways and functions, as JSON. Way of working: {branch}.",
+    "curation_task": "Turn what was extracted about gene {gene} into entities, reactions and pathways, as JSON.\nExtracted: {extraction}",
+    "review_task": "Rate the records of gene {gene} by accuracy, completeness, evidence and consistency; approve from {threshold} on.\nRecords: {curation}",
+    "qa_task": "Check the records of gene {gene} by compliance, integrity, citations and consistency; approve from {threshold} on.\nRecords: {curation}\nReview: {review}",
+    "vote_task": "Vote as {agent} on gene {gene}: approve, requires_revision or reject, as JSON.\nExtraction: {extraction}\nCuration: {curation}\nReview: {review}\nCheck: {qa}",
+    "consensus_task": "Draw the decision on gene {gene} from the votes by the fixed rules.\nVotes: {votes}",
 }
+#: A task shows at most so many characters of each earlier context.
+CONTEXT = 4000
 
 
 def render(template: str, **values: Column | str) -> Column:
@@ -26,6 +36,11 @@ def render(template: str, **values: Column | str) -> Column:
     return out
 
 
+def task(template: str, contexts: dict[str, Column], **values: Column | str) -> Column:
+    """The text of a task; of each context the first CONTEXT characters are shown."""
+    return render(template, **values, **{name: F.left(F.coalesce(c, F.lit("")), F.lit(CONTEXT)) for name, c in contexts.items()})
+
+
 def abstracts_context(rows: DataFrame, group: str, order: str = "pmid") -> DataFrame:
     """Per group 'PMID <id>:<abstract>' blocks in order, each followed by a blank line."""
     block = F.concat(F.lit("PMID "), F.col("pmid"), F.lit(":"), F.col("abstract"), F.lit("\n\n"))

@@ -24,12 +24,6 @@ def hits(partners: DataFrame, membership: DataFrame) -> DataFrame:
     return partners.join(sets, "partner").groupBy("query_gene", "pathway_id").agg(F.count("*").alias("overlap_count"), F.array_sort(F.collect_list(F.struct("partner", "pmids"))).alias("mapped"))
 
 
-def _tested(overlaps: DataFrame, per_pathway: DataFrame, per_query: DataFrame, background: DataFrame) -> DataFrame:
-    joined = overlaps.join(per_pathway, "pathway_id").join(per_query, "query_gene").crossJoin(F.broadcast(background))  # one row
-    p = stats.with_tails(joined, "overlap_count", "n_test", "size", "background")
-    return stats.benjamini_hochberg(p, "p_value", ["query_gene"])
-
-
 def partner_enrichment(partners: DataFrame, membership: DataFrame, fdr: float | None = 0.05) -> DataFrame:
     """Over-representation of each query gene's partners, with strict fdr cutoff.
 
@@ -49,9 +43,12 @@ def partner_enrichment(partners: DataFrame, membership: DataFrame, fdr: float |
 def list_enrichment(genes: DataFrame, membership: DataFrame) -> DataFrame:
     """Over-representation of gene lists (query_gene, gene) as sets: unmapped genes count, and there is no cutoff."""
     lists, sets = genes.select("query_gene", "gene").distinct(), membership.select("pathway_id", "gene").distinct()
-    overlaps = lists.join(sets, "gene").groupBy("query_gene", "pathway_id").agg(F.count("*").alias("overlap_count"))
-    tests = lists.groupBy("query_gene").agg(F.count("*").alias("n_test"))
-    return _tested(overlaps, sets.groupBy("pathway_id").agg(F.count("*").alias("size")), tests, sets.agg(F.count_distinct("gene").alias("background")))
+    lists = lists.withColumn("n_test", F.count("*").over(Window.partitionBy("query_gene")))
+    sets = sets.withColumn("size", F.count("*").over(Window.partitionBy("pathway_id")))
+    overlaps = lists.join(sets, "gene").groupBy("query_gene", "n_test", "pathway_id", "size").agg(F.count("*").alias("overlap_count"))
+    background = membership.agg(F.count_distinct("gene").alias("background"))
+    p = stats.with_tails(overlaps.crossJoin(F.broadcast(background)), "overlap_count", "n_test", "size", "background")  # one row
+    return stats.benjamini_hochberg(p, "p_value", ["query_gene"])
 
 
 def top(enriched: DataFrame, n: int = 8) -> DataFrame:
@@ -60,6 +57,12 @@ def top(enriched: DataFrame, n: int = 8) -> DataFrame:
     return enriched.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n)
 
 
+def first_per_pathway(rows: DataFrame, *order: str) -> DataFrame:
+    """The first row of each (query gene, pathway) in this order."""
+    nth = F.row_number().over(Window.partitionBy("query_gene", "pathway").orderBy(*order))
+    return rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+
+
 def without_annotated(enriched: DataFrame, annotated: DataFrame) -> DataFrame:
     """Drop pathways that already list the query gene; annotated has query_gene, pathway_id."""
     return enriched.join(annotated, ["query_gene", "pathway_id"], "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import parsing
@@ -37,10 +37,14 @@ def descendants(roots: DataFrame, edges: DataFrame, rel: str = "hasEvent") -> Da
 
 
 def participation(edges: DataFrame, reactions: DataFrame) -> DataFrame:
-    """reaction, role, node over one or more participation steps; the role is that of the first step."""
+    """reaction, role, node over one or more participation steps; the role is that of the first step.
+
+    The closure runs over the entities that are first steps, each once, whatever number of reactions starts there.
+    """
     steps = edges.where(F.col("rel").isin(*PARTICIPATION))
-    first = steps.join(reactions, F.col("src") == F.col("reaction")).select("reaction", parsing.role_name("rel").alias("role"), F.col("dst").alias("node"))
-    return closure(first, steps, ("reaction", "role"))
+    first = steps.join(reactions, F.col("src") == F.col("reaction")).select("reaction", parsing.role_name("rel").alias("role"), F.col("dst").alias("entity")).distinct()
+    below = closure(first.select("entity", F.col("entity").alias("node")), steps, ("entity",))
+    return first.join(below, "entity").select("reaction", "role", "node").distinct()
 
 
 def reaction_roles(edges: DataFrame, pathways: DataFrame, genes: DataFrame | None = None) -> DataFrame:
@@ -64,12 +68,54 @@ def summaries(events: DataFrame, texts: DataFrame, limit: int | None = None) ->
     return out if limit is None else out.orderBy("db_id").limit(limit)
 
 
+def with_label(nodes: DataFrame, label: str) -> DataFrame:
+    """node, db_id, name of the nodes of one label."""
+    return nodes.where(F.col("label") == label).select("node", "db_id", "name")
+
+
+def summary_of_name(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """name, db_id, text: of nodes that share a name the one with the smallest id, with its text or null."""
+    found = nodes.join(texts, "node", "left").groupBy("name").agg(F.min_by(F.struct("db_id", "text"), F.struct("db_id", "node")).alias("x"))
+    return found.select("name", "x.db_id", "x.text")
+
+
+def pathways_of_genes(roles: DataFrame, nodes: DataFrame) -> DataFrame:
+    """gene and the distinct names, in order, of the pathways it has a role in."""
+    named = roles.select("gene", F.col("pathway").alias("node")).distinct().join(nodes.select("node", "name"), "node")
+    return named.groupBy("gene").agg(F.array_sort(F.collect_set("name")).alias("names"))
+
+
+def bottom_level(nodes: DataFrame, edges: DataFrame, label: str = "Pathway") -> DataFrame:
+    """nodes of one label with bottom: whether no event of that label lies right below."""
+    inner = nodes.where(F.col("label") == label)
+    children = inner.select(F.col("node").alias("dst"))
+    above = edges.where("rel = 'hasEvent'").join(children, "dst", "left_semi").select(F.col("src").alias("node"), F.lit(False).alias("bottom")).distinct()
+    return inner.join(above, "node", "left").withColumn("bottom", F.coalesce("bottom", F.lit(True)))
+
+
+def value_counts(rows: DataFrame, column: str) -> DataFrame:
+    """value, n and rank by n of the values of a column but null; ties by value."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), "value")).cast("long"))
+
+
+def with_counts(tree: DataFrame, counts: DataFrame) -> DataFrame:
+    """tree (pathway, ...) with n of counts (pathway, n), 0 where there is none."""
+    return tree.join(counts, "pathway", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def merged(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
+    """Two key-value tables as one; where both have a key the right one's value counts."""
+    r = right.select(key, F.col(value).alias("_right"), F.lit(True).alias("_has"))
+    return left.join(r, key, "full_outer").select(key, F.when(F.col("_has"), F.col("_right")).otherwise(F.col(value)).alias(value))
+
+
 def name_to_id(nodes: DataFrame, names: DataFrame) -> DataFrame:
     """name, db_id: of nodes that share a name the largest id."""
     return nodes.join(names.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.max("db_id").alias("db_id"))
 
 
-def role_text(roles: DataFrame) -> DataFrame:
-    """Per pathway the distinct genes and the sorted role clauses; pathways without roles have no row."""
+def role_text(roles: DataFrame, *keys: str) -> DataFrame:
+    """Per pathway (or keys) the distinct genes and the sorted role clauses; pathways without roles have no row."""
     clause = F.concat(F.col("gene"), F.lit(' in "'), F.col("reaction"), F.lit('" as '), F.col("role"))
-    return roles.groupBy("pathway").agg(F.array_join(F.array_sort(F.collect_set("gene")), ",").alias("genes"), F.array_join(F.array_sort(F.collect_list(clause)), "; ").alias("role_text"))
+    return roles.groupBy(*(keys or ("pathway",))).agg(F.array_join(F.array_sort(F.collect_set("gene")), ",").alias("genes"), F.array_join(F.array_sort(F.collect_list(clause)), "; ").alias("role_text"))

@@ -15,9 +15,9 @@ PHASES = (
 )
 TOOLS = {
     "extractor": ("literature_search", "fulltext_analysis", "protein_interactions", "evidence_evaluation"),
-    "curator": ("reactome_query", "schema_validation", "protein_interactions", "evidence_evaluation"),
-    "reviewer": ("literature_search", "reactome_query", "evidence_evaluation", "quality_metrics", "consistency_check"),
-    "qa_checker": ("schema_validation", "consistency_check", "quality_metrics", "reactome_query"),
+    "curator": ("graph_query", "schema_validation", "protein_interactions", "evidence_evaluation"),
+    "reviewer": ("literature_search", "graph_query", "evidence_evaluation", "quality_metrics", "consistency_check"),
+    "qa_checker": ("schema_validation", "consistency_check", "quality_metrics", "graph_query"),
 }
 
 
@@ -55,6 +55,11 @@ def status_counts(jobs: DataFrame) -> DataFrame:
     return jobs.agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("running", "done", "error")])
 
 
+def results(jobs: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (job_id) with the status of each job, not_found for one that was never submitted."""
+    return asked.join(jobs.select("job_id", "status"), "job_id", "left").withColumn("status", F.coalesce("status", F.lit("not_found")))
+
+
 def enabled(catalog: DataFrame, names: list[str] | None, column: str) -> DataFrame:
     """The rows whose name is wanted; an empty or missing list wants all."""
     return catalog.where(F.col(column).isin(*names)) if names else catalog
@@ -76,6 +81,62 @@ def validated(requests: DataFrame) -> DataFrame:
     return requests.withColumn("error", F.when(empty & ~F.col("search"), "papers missing").when(F.col("search") & ~named, "gene missing"))
 
 
+def validated_json(requests: DataFrame, body: str = "body") -> DataFrame:
+    """requests with gene, papers and error of a JSON body: papers must be a list, not empty; a search needs a gene.
+
+    papers stand under pmids or, if these are missing or empty, under papers.
+    """
+    v = F.try_parse_json(F.col(body))
+    kind = lambda name: F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+    listed = lambda name: F.coalesce(F.try_variant_get(v, f"$.{name}", "array<string>"), F.array().cast("array<string>"))
+    given = lambda name: kind(name).isNotNull() & (kind(name) != "VOID") & ~((kind(name).startswith("ARRAY")) & (F.size(listed(name)) == 0)) & (F.coalesce(F.try_variant_get(v, f"$.{name}", "string"), F.lit("x")) != "")
+    picked = lambda f: F.when(given("pmids"), f("pmids")).when(given("papers"), f("papers"))
+    gene = F.nullif(F.trim(F.try_variant_get(v, "$.queryGene", "string")), F.lit(""))
+    search = F.coalesce(F.try_variant_get(v, "$.enableLiteratureSearch", "boolean"), F.lit(False))
+    error = (
+        F.when(picked(lambda n: ~kind(n).startswith("ARRAY")), "papers must be a list")
+        .when(F.coalesce(F.size(picked(listed)), F.lit(0)) <= 0, "papers missing")
+        .when(search & gene.isNull(), "gene missing")
+    )
+    return requests.withColumn("gene", gene).withColumn("papers", picked(listed)).withColumn("error", error)
+
+
+def metadata(runs: DataFrame) -> DataFrame:
+    """run, papers_processed, pathways_created and quality, all counted: runs has papers, pathways and scores.
+
+    Papers count as requested, whatever a cap took of them; a missing quality score is 0.
+    """
+    return runs.select(
+        "run",
+        F.coalesce(F.size("papers"), F.lit(0)).cast("long").alias("papers_processed"),
+        F.coalesce(F.size("pathways"), F.lit(0)).cast("long").alias("pathways_created"),
+        quality_of("scores").alias("quality"),
+    )
+
+
+def quality_of(scores: str):
+    """The overall quality of a map of scores, 0 where it is missing."""
+    return F.coalesce(F.try_element_at(F.col(scores), F.lit("overall_quality")), F.lit(0.0))
+
+
+def dashboard(spark) -> dict[str, DataFrame]:
+    """The phases, agents and tools that requests may switch on or off, as three small tables."""
+    phases = spark.createDataFrame([(i, p, a) for i, (p, a) in enumerate(PHASES)], "ord long, phase string, agent string")
+    agents = spark.createDataFrame([(i, a, len(t)) for i, (a, t) in enumerate(TOOLS.items())], "ord long, agent string, n_tools long")
+    return {"phases": phases, "agents": agents, "tools": tool_table(spark)}
+
+
+def kept_fields(attrs: str = "attrs"):
+    """The fields of an event that are not null."""
+    return F.map_filter(attrs, lambda k, v: v.isNotNull())
+
+
+def roll_up(runs: DataFrame, key: str = "gene") -> DataFrame:
+    """Per key the runs attempted and successful (ok), the best quality of these, and whether there is one."""
+    ok = F.col("ok")
+    return runs.groupBy(key).agg(F.count("*").alias("attempted"), F.count_if(ok).alias("successful"), F.round(F.max(F.when(ok, F.col("quality"))), 2).alias("best"), F.coalesce(F.max(F.when(ok, 1)), F.lit(0)).cast("long").alias("any_success"))
+
+
 def tool_table(spark) -> DataFrame:
     """agent, ord, tool of every agent."""
     return spark.createDataFrame([(a, i, t) for a, tools in TOOLS.items() for i, t in enumerate(tools)], "agent string, ord long, tool string")

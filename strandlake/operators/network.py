@@ -63,8 +63,8 @@ def supported_by(partners: DataFrame, scored: DataFrame, cutoff: float = 0.8) ->
 
 
 def network_documents(scored: DataFrame, index: DataFrame) -> DataFrame:
-    """One row per gene with a map from partner index to score."""
-    coded = scored.join(index, scored["gene_b"] == index["gene"], "left").select("gene_a", F.coalesce("idx", F.lit(-1)).alias("idx"), "score").where("idx >= 0")
+    """One row per gene with a map from partner index to score; of an edge that stands twice the larger score."""
+    coded = scored.join(index, scored["gene_b"] == index["gene"]).where("idx >= 0").groupBy("gene_a", "idx").agg(F.max("score").alias("score"))
     return coded.groupBy(F.col("gene_a").alias("gene")).agg(F.map_from_entries(F.collect_list(F.struct("idx", "score"))).alias("combined_score"))
 
 
@@ -79,7 +79,7 @@ def choose_source(name: str, interactions: DataFrame, scored: DataFrame, cutoff:
     """gene, partner, pmids of the named source; scored partners have no publications."""
     if name == "intact_biogrid":
         return supported_by(interactions, scored, cutoff) if use_filter else interactions
-    if name == "reactome_fis":
+    if name == "scored_network":
         near = scored.where(F.col("score") > cutoff)
         return near.select(F.col("gene_a").alias("gene"), F.col("gene_b").alias("partner"), F.array().cast(interactions.schema["pmids"].dataType).alias("pmids"))
     raise ValueError(f"unknown interaction source: {name}")

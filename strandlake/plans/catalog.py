@@ -2,33 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import decisions, parsing, texts, vectors
 from strandlake.operators import enrichment, evidence, graph, jobs, models, network
-from strandlake.plans.fixtures import Inputs, oracle
+from strandlake.plans.fixtures import Inputs
+from strandlake.plans.registry import ORACLES, PLANS, QUERIES, query  # noqa: F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 #: The gene that single-gene requests ask for.
 GENE = 1
 
 
-def query(sql: str | None = None, recursive: bool = False):
-    """Register a function of Inputs under its name, with its oracle."""
-
-    def add(f: Callable[[Inputs], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Inputs(spark, sf_dir))
-        if sql:
-            ORACLES[f.__name__] = oracle(sql, recursive)
-        return f
-
-    return add
-
-
 def long(*names: str) -> list:
     return [F.col(n).cast("long").alias(n) for n in names]
 
@@ -124,6 +111,31 @@ def _partners(i: Inputs, gene: int | None = GENE) -> DataFrame:
 _U = "u as (select gene_a as g, gene_b as p, pmid from {ppi_intact} union select gene_b, gene_a, pmid from {ppi_intact} union select gene_a, gene_b, pmid from {ppi_biogrid} union select gene_b, gene_a, pmid from {ppi_biogrid})"
 
 
+def render_sql(template: str, **values: str) -> str:
+    """A prompt template over SQL expressions."""
+    parts = re.split(r"\{(\w+)\}", texts.TEMPLATES[template])
+    quoted = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    return "concat(" + ", ".join(f"coalesce(({values[p]})::varchar, '')" if i % 2 else quoted(p) for i, p in enumerate(parts)) + ")"
+
+
+def stub_score_sql(prompt: str) -> str:
+    """The score the stand-in model gives a prompt: the prompt's SHA-256 as a number, modulo 10, plus 1."""
+    digits = f"list_transform(string_split(sha256({prompt}), ''), lambda c: (instr('0123456789abcdef', c) - 1)::integer)"
+    return f"(list_reduce(list_prepend(0, {digits}), lambda a, c: (a * 16 + c) % 10) + 1)::bigint"
+
+
+def stub_sql(prompt: str) -> str:
+    """The answer of the stand-in model."""
+    return f"concat(length({prompt})::varchar, ' characters. score: ', {stub_score_sql(prompt)}::varchar)"
+
+
+def once_sql(enriched: str) -> str:
+    """The same enrichment with each tail computed once: for many query genes at a time."""
+    slow = enriched[enriched.index("tl as (") : enriched.index("rk as (")]
+    tail = slow[slow.index("case when pr >= 1") : slow.index(" as p from j")]
+    return enriched.replace(slow, f"td as (select distinct x, n, pr from j), tv as (select x, n, pr, {tail} as p from td), tl as (select j.q, j.pathway_id, j.x, j.n, tv.p from j join tv on tv.x = j.x and tv.n = j.n and tv.pr = j.pr),\n")
+
+
 def _enrich_sql(partners: str, sizes: str = "select pathway_id, count(*) as k from {pathway_rows} group by pathway_id", in_background: bool = True) -> str:
     """The lgamma form of the enrichment: partners gives (q, gene)."""
     test = "select q, count(*) as n from p" + (" where gene in (select gene from {membership})" if in_background else "") + " group by q"
@@ -135,18 +147,19 @@ rk as (select *, row_number() over (partition by q order by p, pathway_id) as r,
 en as (select q, pathway_id, x, n, p, least(1.0, min(p * m / r) over (partition by q order by r desc rows unbounded preceding)) as fdr from rk)"""
 
 
+_ALL = "select distinct g as q, p as gene from u"
 _ONE = f"select g as q, p as gene from (select distinct g, p from u) where g = {GENE}"
 
 
 @query(f"with {_U}, {_enrich_sql(_ONE)} select q as query_gene, pathway_id, x as overlap_count, round(p, 8) as p_value, round(fdr, 8) as fdr, fdr < 0.05 as significant from en")
 def pathway_enrichment(i: Inputs) -> DataFrame:
-    out = enrichment.partner_enrichment(_partners(i), _listed(i), None)
+    out = enrichment.partner_enrichment(_partners(i), i.pathway_rows, None)
     return out.select("query_gene", "pathway_id", "overlap_count", F.round("p_value", 8).alias("p_value"), F.round("fdr", 8).alias("fdr"), (F.col("fdr") < 0.05).alias("significant"))
 
 
-@query()
+@query(f"with {_U}, {once_sql(_enrich_sql(_ALL))}, t as (select *, row_number() over (partition by q order by round(fdr, 10), pathway_id) as rank from en) select q as query_gene, pathway_id, x as overlap_count, round(p, 8) as p_value, rank from t where rank <= 8")
 def pathway_enrichment_all_genes(i: Inputs) -> DataFrame:
-    """The best 8 pathways of every gene; too slow in SQL on whole tables, tested on a small fixture."""
+    """The best 8 pathways of every gene."""
     found = enrichment.partner_enrichment(_partners(i, None), i.pathway_rows, None).withColumn("fdr", F.round("fdr", 10))
     return enrichment.top(found).select("query_gene", "pathway_id", "overlap_count", F.round("p_value", 8).alias("p_value"), "rank")
 
@@ -171,7 +184,7 @@ def enrichment_top8(i: Inputs) -> DataFrame:
     return enrichment.top(found).select("query_gene", "pathway_id", "rank")
 
 
-@query()
+@query(f"with {_U}, {once_sql(_enrich_sql(_ALL))} select q as query_gene, en.pathway_id, round(fdr, 8) as fdr from en anti join {{membership}} m on m.pathway_id = en.pathway_id and m.gene = en.q")
 def enrichment_exclude_annotated_all_genes(i: Inputs) -> DataFrame:
     """enrichment_exclude_annotated of every gene."""
     annotated = i.membership.select(F.col("gene").alias("query_gene"), "pathway_id")
@@ -189,7 +202,10 @@ def enrichment_cutoff_sweep(i: Inputs) -> DataFrame:
     return enrichment.cutoff_sweep(asked, i.pathway_rows)
 
 
-@query()
+_SWEEP_ALL = "select c.c * 100000000 + g as q, p as gene from (select gene_a as g, gene_b as p, score from {fi} union select gene_b, gene_a, score from {fi}) s, (values (9), (8), (7), (6), (5)) c(c) where s.score > c.c / 10.0"
+
+
+@query(f"with {once_sql(_enrich_sql(_SWEEP_ALL))}, gs as (select distinct gene_a as g from {{fi}} union select gene_b from {{fi}}), ec as (select q, count(*) as n from en where fdr < 0.05 group by q), cn as (select g, c.c, coalesce(ec.n, 0) as n from gs cross join (values (9), (8), (7), (6), (5)) c(c) left join ec on ec.q = c.c * 100000000 + g), ch as (select g, coalesce(max(c) filter (where n >= 10), min(c)) as c from cn group by g) select ch.g as query_gene, concat('0.', ch.c::varchar) as cutoff, n::bigint as n_pathways from ch join cn on cn.c = ch.c and cn.g = ch.g")
 def enrichment_cutoff_sweep_all_genes(i: Inputs) -> DataFrame:
     """enrichment_cutoff_sweep of every gene."""
     both = i.fi.unionByName(i.fi.select(F.col("gene_b").alias("gene_a"), F.col("gene_a").alias("gene_b"), "score"))
@@ -223,15 +239,14 @@ def map_interactions_all_genes(i: Inputs) -> DataFrame:
 
 @query("select c_mktsegment as value, count(*) as n, row_number() over (order by count(*) desc, c_mktsegment) as rank from {customer} where c_mktsegment is not null group by c_mktsegment")
 def pathway_value_counts(i: Inputs) -> DataFrame:
-    counts = i.customer.where(F.col("c_mktsegment").isNotNull()).groupBy(F.col("c_mktsegment").alias("value")).agg(F.count("*").alias("n"))
-    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), "value")).cast("long"))
+    return graph.value_counts(i.customer, "c_mktsegment")
 
 
 @query("select n.n_name as top_level, c.c_custkey as pathway, coalesce(o.n, 0) as n from {customer} c join {nation} n on n.n_nationkey = c.c_nationkey left join (select o_custkey, count(*) as n from {orders} group by o_custkey) o on o.o_custkey = c.c_custkey where n.n_name <> 'FRANCE'")
 def hierarchy_left_counts(i: Inputs) -> DataFrame:
     tree = i.customer.join(F.broadcast(i.nation), F.col("c_nationkey") == F.col("n_nationkey")).where(F.col("n_name") != "FRANCE")  # 25 nations
-    counts = i.orders.groupBy("o_custkey").agg(F.count("*").alias("n"))
-    return tree.join(counts, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("n_name").alias("top_level"), F.col("c_custkey").alias("pathway"), F.coalesce("n", F.lit(0)).alias("n"))
+    counts = i.orders.groupBy(F.col("o_custkey").alias("pathway")).agg(F.count("*").alias("n"))
+    return graph.with_counts(tree.select(F.col("n_name").alias("top_level"), F.col("c_custkey").alias("pathway")), counts)
 
 
 # --- graph ---------------------------------------------------------------------------------------------------------
@@ -315,10 +330,10 @@ _COS = "list_inner_product(list_transform(a.embedding, lambda x: x::double), lis
 
 @query(f"select a.vec_id, b.pathway, b.vec_id as pathway_vec, round({_COS}, 6) as score from {{embeddings}} a, {{pathway_chunks}} b where {_COS} >= 0.4")
 def cosine_pairs(i: Inputs) -> DataFrame:
-    left = i.pathway_chunks.select("pathway", F.col("vec_id").alias("pathway_vec"), vectors.unit(F.col("embedding")).alias("vb"))
-    right = i.embeddings.select("vec_id", vectors.unit(F.col("embedding")).alias("va"))
-    scored = right.crossJoin(left).select("vec_id", "pathway", "pathway_vec", vectors.dot(F.col("va"), F.col("vb")).alias("score"))  # 50 pathway chunks
-    return scored.where("score >= 0.4").withColumn("score", F.round("score", 6))
+    left = i.pathway_chunks.select(F.col("vec_id").alias("pathway_vec"), "embedding")
+    scored = evidence.block_products(i.embeddings, left, "vec_id", "pathway_vec", least=0.4)
+    named = i.pathway_chunks.select("pathway", F.col("vec_id").alias("pathway_vec"))
+    return scored.join(named, "pathway_vec").select("vec_id", "pathway", "pathway_vec", F.round("score", 6).alias("score"))
 
 
 @query(f"select b.pathway, a.doc, round(avg({_COS}), 6) as score from {{abstract_chunks}} a, {{pathway_chunks}} b group by b.pathway, a.doc")
@@ -365,7 +380,7 @@ def evidence_rank_top3(i: Inputs) -> DataFrame:
 @query("select o.o_orderkey as ref, a.pmid, length(a.abstract)::bigint as n from {orders} o join {abstracts} a on a.pmid = (o.o_custkey)::varchar")
 def abstract_join(i: Inputs) -> DataFrame:
     wanted = i.orders.select(F.col("o_orderkey").alias("ref"), F.col("o_custkey").cast("string").alias("pmid"))
-    return wanted.join(i.abstracts, "pmid").select("ref", "pmid", F.length("abstract").cast("long").alias("n"))
+    return evidence.with_abstracts(wanted, i.abstracts).select("ref", "pmid", F.length("abstract").cast("long").alias("n"))
 
 
 @query("select source, md5(string_agg(concat('PMID ', doc_id::varchar, ':', text, chr(10), chr(10)), '' order by doc_id)) as context_md5 from {documents} group by source")
@@ -416,7 +431,9 @@ def evidence_evaluation(i: Inputs) -> DataFrame:
     return pairs.select("doc_id", decisions.evidence(F.col("text"), F.col("reference")).alias("e")).select("doc_id", "e.*")
 
 
-@query()
+@query("""with mx as (select max(item_id) + 1 as m from {benchmark}), t as (select d.doc_id, b.item_id, d.text, list_filter(list_distinct(regexp_split_to_array(lower(d.text), '\\s+')), lambda x: x <> '') as a, list_filter(list_distinct(regexp_split_to_array(lower(b.text), '\\s+')), lambda x: x <> '') as b from {documents} d, mx join {benchmark} b on b.item_id = d.doc_id % mx.m),
+s as (select doc_id, item_id, len(list_intersect(a, b)) as o, greatest(0, least(10, len(list_intersect(a, b)) // 5 + case when len(trim(text)) > 0 then 4 else 0 end)) as sc from t)
+select doc_id, item_id, o::bigint as overlap, sc::bigint as score, case when sc >= 7 then 'high' when sc >= 5 then 'medium' else 'low' end as strength, case when sc >= 6 then 'accept' when sc >= 4 then 'review' else 'reject' end as recommendation, sc / 10.0::double as confidence from s""")
 def evidence_evaluation_all_items(i: Inputs) -> DataFrame:
     """evidence_evaluation with the documents dealt over all benchmark items, one item a document."""
     items = i.benchmark.select("item_id", F.col("text").alias("reference"))
@@ -437,10 +454,8 @@ def instance_counts(i: Inputs) -> DataFrame:
 
 @query("with c as (select n.c_nationkey, count(*) filter (where n.c_mktsegment in (select c_mktsegment from {customer} o where o.c_nationkey = 0)) as conflicts from {customer} n where n.c_nationkey <> 0 group by n.c_nationkey) select c_nationkey::bigint as batch, conflicts, case when conflicts > 0 then 0.7 else 1.0 end::double as score from c")
 def consistency_check(i: Inputs) -> DataFrame:
-    known = i.customer.where("c_nationkey = 0").select("c_mktsegment").distinct().withColumn("known", F.lit(1))
-    new = i.customer.where("c_nationkey <> 0").join(known, "c_mktsegment", "left")
-    out = new.groupBy(F.col("c_nationkey").cast("long").alias("batch")).agg(F.count("known").alias("conflicts"))
-    return out.withColumn("score", F.when(F.col("conflicts") > 0, 0.7).otherwise(1.0))
+    rows = i.customer.select(F.col("c_nationkey").cast("long").alias("batch"), F.col("c_mktsegment").alias("name"))
+    return decisions.conflicts(rows.where("batch <> 0"), rows.where("batch = 0"))
 
 
 _CRITERIA = "select l_orderkey, l_linenumber, l_partkey, l_discount * 10 as a, l_tax * 12 as b, (l_quantity % 11) / 10 as c, 0.9 as d, l_returnflag, l_linestatus from {lineitem}"
@@ -523,9 +538,9 @@ def phase_skip_table(i: Inputs) -> DataFrame:
     return jobs.phase_plan(asked).select("id", "ord", "phase", "outcome")
 
 
-@query("select 'curator' as agent, t.o::bigint as ord, t.t as tool from (values (0, 'reactome_query'), (3, 'evidence_evaluation')) t(o, t) union all select 'extractor', 3, 'evidence_evaluation' union all select 'reviewer', t.o, t.t from (values (1, 'reactome_query'), (2, 'evidence_evaluation')) t(o, t) union all select 'qa_checker', 3, 'reactome_query'")
+@query("select 'curator' as agent, t.o::bigint as ord, t.t as tool from (values (0, 'graph_query'), (3, 'evidence_evaluation')) t(o, t) union all select 'extractor', 3, 'evidence_evaluation' union all select 'reviewer', t.o, t.t from (values (1, 'graph_query'), (2, 'evidence_evaluation')) t(o, t) union all select 'qa_checker', 3, 'graph_query'")
 def tool_filter(i: Inputs) -> DataFrame:
-    return jobs.enabled(jobs.tool_table(i.spark), ["reactome_query", "evidence_evaluation"], "tool")
+    return jobs.enabled(jobs.tool_table(i.spark), ["graph_query", "evidence_evaluation"], "tool")
 
 
 _REQUESTS = "select o_orderkey as id, case when o_orderkey % 3 = 0 then ' ' else o_orderkey::varchar end as gene, o_orderkey % 2 = 0 as search, o_orderkey % 5 > 1 as papers, o_orderkey % 7 > 2 as fulltext from {orders}"
@@ -549,10 +564,7 @@ def task_branch(i: Inputs) -> DataFrame:
 
 @query("select o_custkey as gene, count(*) as attempted, count(*) filter (where o_orderstatus = 'F') as successful, round(max(case when o_orderstatus = 'F' then o_totalprice end), 2) as best, coalesce(max(case when o_orderstatus = 'F' then 1 end), 0)::bigint as any_success from {orders} group by o_custkey")
 def batch_summary(i: Inputs) -> DataFrame:
-    done = F.col("o_orderstatus") == "F"
-    return i.orders.groupBy(F.col("o_custkey").alias("gene")).agg(
-        F.count("*").alias("attempted"), F.count_if(done).alias("successful"), F.round(F.max(F.when(done, F.col("o_totalprice"))), 2).alias("best"), F.coalesce(F.max(F.when(done, 1)), F.lit(0)).cast("long").alias("any_success")
-    )
+    return jobs.roll_up(i.orders.select(F.col("o_custkey").alias("gene"), (F.col("o_orderstatus") == "F").alias("ok"), F.col("o_totalprice").alias("quality")))
 
 
 @query("select o_orderkey as id, o_custkey::varchar as gene, 'binds' as type, o_orderstatus as other from {orders} union all select o_orderkey, 'X', 'acts on', o_custkey::varchar from {orders}")
@@ -565,14 +577,17 @@ def relationship_parse(i: Inputs) -> DataFrame:
 # --- model stages --------------------------------------------------------------------------------------------------
 
 
-@query()
+_CONTEXT = "select source, string_agg(concat('PMID ', doc_id::varchar, ':', text, chr(10), chr(10)), '' order by doc_id) as context from {documents} group by source"
+
+
+@query(f"with c as ({_CONTEXT}), p as (select source, {render_sql('abstract_summary', gene='source', text='context')} as prompt from c) select source, length(prompt)::bigint as n_chars, md5(prompt) as prompt_md5 from p")
 def prompt_render(i: Inputs) -> DataFrame:
     context = texts.abstracts_context(i.documents.select("source", "doc_id", F.col("doc_id").cast("string").alias("pmid"), F.col("text").alias("abstract")), "source", "doc_id")
     prompts = context.select("source", texts.render("abstract_summary", gene=F.col("source"), text=F.col("context")).alias("prompt"))
     return prompts.select("source", F.length("prompt").cast("long").alias("n_chars"), F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
 
 
-@query()
+@query(f"with p as (select doc_id, {render_sql('abstract_match', text='text')} as prompt from {{documents}}) select doc_id, {stub_sql('prompt')} as answer, {stub_score_sql('prompt')} as score from p")
 def llm_stub_summary(i: Inputs) -> DataFrame:
     prompts = i.documents.select("doc_id", texts.render("abstract_match", text=F.col("text")).alias("prompt"))
     return models.ask(prompts, "prompt").select("doc_id", "answer", parsing.reply_score("answer").cast("long").alias("score"))
@@ -605,3 +620,6 @@ def annotate_all_genes(i: Inputs) -> DataFrame:
     best = evidence.rank_evidence(scored, 0.05).select("pathway", "pmid", F.round("cos_score", 6).alias("cos_score"), "llm_score", "rank")
     out = partners.select("query_gene").distinct().join(chosen.join(best, "pathway"), "query_gene", "left")
     return out.select("query_gene", "pathway", "pmid", "cos_score", "llm_score", "rank").withColumn("status", F.when(F.col("pathway").isNull(), "no_support").otherwise("ok"))
+
+
+from strandlake.plans import annotation  # noqa: E402, F401  registers the composed queries

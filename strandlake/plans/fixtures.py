@@ -33,6 +33,28 @@ VIEWS = {
         union all select distinct concat('X', cast(l_orderkey as {S})), concat('E', cast(l_partkey as {S})),
             case l_returnflag when 'A' then 'input' when 'N' then 'catalystActivity' else 'regulatedBy' end from {lineitem}
         union all select concat('E', cast(p_partkey as {S})), concat('E', cast(cast(floor(p_partkey / 10) as bigint) as {S})), 'hasMember' from {part} where p_partkey > 0""",
+    "nodes": """select concat('R', cast(r_regionkey as {S})) as node, cast(r_regionkey as bigint) as db_id, 'TopLevelPathway' as label, r_name as name from {region}
+        union all select concat('N', cast(n_nationkey as {S})), cast(n_nationkey as bigint), 'Pathway', n_name from {nation}
+        union all select concat('P', cast(c_custkey as {S})), c_custkey, 'Pathway', concat(c_mktsegment, ' ', cast(c_nationkey as {S})) from {customer}
+        union all select concat('X', cast(o_orderkey as {S})), o_orderkey, 'ReactionLikeEvent', concat('Reaction ', cast(o_orderkey as {S})) from {orders}
+        union all select concat('E', cast(p_partkey as {S})), p_partkey, 'EntityWithAccessionedSequence', p_name from {part}""",
+    "node_texts": "select concat('P', cast(doc_id as {S})) as node, text from {documents}",
+    "graph_requests": """select p.p_partkey as id, concat('E', cast(p.p_partkey as {S})) as gene,
+        case when p.p_size <= 20 then 'pathways' when p.p_size <= 45 then 'reactions' else 'genes' end as kind,
+        case when p.p_size > 25 then concat('P', cast(m.pw as {S})) end as pathway
+        from {part} p left join (select gene, min(pathway_id) as pw from {membership} group by gene) m on m.gene = p.p_partkey""",
+    "searches": "select item_id as id, split_part(text, ' ', 1) as gene, split_part(text, ' ', 2) as more from {benchmark}",
+    "dated_abstracts": "select cast(d.doc_id as {S}) as pmid, d.text as abstract, cast(o.o_orderdate as date) as published, d.source as journal from {documents} d left join {orders} o on o.o_orderkey = d.doc_id",
+    "pathway_vectors": "select vec_id as pathway, embedding from {embeddings}",
+    "paper_vectors": "select cast(cast(floor(vec_id / 5) as bigint) as {S}) as pmid, vec_id % 5 as start, embedding from {embeddings}",
+    "literature": "select doc_id as query_gene, cast(doc_id as {S}) as pmid from {labels}",
+    "batches": """select s_suppkey as batch_id, concat('{{"entities":[{{"class":"Entity","displayName":"', s_name, '"}}', case when s_acctbal < 0 then ',{{"displayName":"second"}}' else '' end,
+        ',{{', case when s_nationkey < 12 then '"class":"Complex"' else '"note":null' end, '}}],"reactions":[', case when s_acctbal > 5000 then '{{"class":"Reaction"}},{{"displayName":null}}' else '' end, ']',
+        case when s_nationkey < 20 then ',"pathways":[{{"displayName":"a"}},{{}}]' else '' end, ',"papers":["1","2"]}}') as doc from {supplier}""",
+    "vote_rows": """select d.source as gene, l.doc_id as voter, case when l.toxic = 1 and l.quality = 0 then 'reject' when l.toxic = 1 or l.quality = 0 then 'requires_revision' else 'approve' end as decision,
+        cast((l.doc_id * 37) % 100 as double) / 100 as confidence, d.lang from {labels} l join {documents} d on d.doc_id = l.doc_id""",
+    "answers": """select event_id as id, case event_type when 'click' then props when 'view' then concat('[', props, ',7]') when 'purchase' then cast(event_id as {S}) when 'signup' then 'plain words'
+        else concat('{{"confidence":0.25,"decision":"reject","required_revisions":["r', cast(user_id as {S}), '"]}}') end as said from {events}""",
     "job_events": """select user_id as job_id, event_id, ts,
         case when event_type in ('click','view') then 'tool' when event_type = 'purchase' then 'agent' else 'job' end as event_type,
         case event_type when 'error' then 'error' when 'purchase' then 'end' when 'signup' then 'start' else 'running' end as status from {events}""",
@@ -52,8 +74,9 @@ def _needs(sql: str) -> list[str]:
 class Inputs:
     """Base tables and stand-in views of one data folder; views are built when asked for."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self._made = spark, sf_dir, {}
+    def __init__(self, spark: SparkSession, sf_dir: str, written: dict[str, DataFrame] | None = None):
+        """written gives views that have been made before."""
+        self.spark, self.sf_dir, self._made = spark, sf_dir, dict(written or {})
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("__") or name not in TABLES and name not in VIEWS:

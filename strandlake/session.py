@@ -26,10 +26,17 @@ def build_session(app: str = "strandlake", master: str | None = None, **conf: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go where spark.checkpoint.dir says; only where it says nothing a local folder is set (tests)."""
+    """Checkpoints go where spark.checkpoint.dir says.
+
+    Only where it says nothing and driver and executors are one process a local folder is set (tests); on a cluster an
+    unset folder is an error.
+    """
+    import re
     import tempfile
 
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         return
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="strandlake-"))

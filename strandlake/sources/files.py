@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import vectors
+from strandlake.operators import models
 
 PATHWAY_SCHEMA = "pathway_id string, pathway_name string, genes string"
 HIERARCHY_SCHEMA = "Pathway string, Top_Level_Pathway string"
 ABSTRACT_SCHEMA = "pmid string, abstract string"
+NODE_SCHEMA = "node string, db_id long, label string, name string, genes array<string>, text string"
+EDGE_SCHEMA = "src string, dst string, rel string"
 INDEX_SCHEMA = "db_id long, display_name string, start_index string, embedding array<float>"
 
 
@@ -35,10 +38,24 @@ def pathway_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def hierarchy_file(spark: SparkSession, path: str, without: str = "Disease") -> DataFrame:
-    """ord, pathway, top_level without one top level, last line first; ord numbers the kept lines from 0."""
+    """ord, pathway, top_level without one top level, last line first; ord numbers the kept lines from 0.
+
+    Lines are numbered inside the block of the file they were read from; what the blocks before hold is added.
+    """
     rows = spark.read.schema(HIERARCHY_SCHEMA).csv(path, sep="\t", header=True, quote="")
-    rows = rows.select(F.monotonically_increasing_id().alias("ord"), F.col("Pathway").alias("pathway"), F.col("Top_Level_Pathway").alias("top_level"))
-    return rows.where(F.col("top_level") != without).orderBy(F.col("ord").desc())
+    rows = rows.select("Pathway", "Top_Level_Pathway", F.struct("_metadata.file_path", "_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    kept = rows.where(F.col("Top_Level_Pathway") != without)
+    counts = kept.groupBy("block").agg(F.count("*").alias("n"))  # a row for each block of a file
+    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("block").orderBy("id")) - 1
+    out = kept.withColumn("inside", inside).join(starts, "block")
+    return out.select((F.col("before") + F.col("inside")).cast("long").alias("ord"), F.col("Pathway").alias("pathway"), F.col("Top_Level_Pathway").alias("top_level")).orderBy(F.col("ord").desc())
+
+
+def graph_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges of a graph from nodes.parquet and edges.parquet in one folder."""
+    return spark.read.schema(NODE_SCHEMA).parquet(f"{folder}/nodes.parquet"), spark.read.schema(EDGE_SCHEMA).parquet(f"{folder}/edges.parquet")
 
 
 def gene_list_file(spark: SparkSession, path: str) -> DataFrame:
@@ -82,6 +99,21 @@ def paper_chunks(spark: SparkSession, folder: str, extract, window: int = 256, o
     return vectors.token_windows(rows, "text", window, overlap).select("pmid", "start", "chunk")
 
 
+def abstract_index(abstracts: DataFrame, window: int = 256, overlap: int = 10) -> DataFrame:
+    """pmid, start, chunk and embedding of every window of every abstract."""
+    return models.embed(vectors.token_windows(abstracts.select("pmid", "abstract"), "abstract", window, overlap).select("pmid", "start", "chunk"), "chunk")
+
+
+def event_index(events: DataFrame, window: int = 256, overlap: int = 10) -> DataFrame:
+    """db_id, display_name, start_index and embedding of every window of every event summary (name, summary).
+
+    An event without a summary, or with an empty one, is represented by its name.
+    """
+    said = events.select("db_id", F.col("name").alias("display_name"), F.coalesce(F.nullif("summary", F.lit("")), "name").alias("text"))
+    cut = vectors.token_windows(said, "text", window, overlap)
+    return models.embed(cut.select("db_id", "display_name", F.col("start").cast("string").alias("start_index"), "chunk"), "chunk").drop("chunk")
+
+
 def json_text(spark: SparkSession, path: str) -> str:
     """One small JSON file as text."""
     return spark.read.text(path, wholetext=True).first()[0]
@@ -109,7 +141,14 @@ def append_text(lines: DataFrame, path: str) -> None:
     lines.select(F.col(lines.columns[0]).cast("string")).write.mode("append").text(path)
 
 
-def batch_summary(results: DataFrame) -> DataFrame:
-    """total_genes, successful and the JSON of all results (gene, ok, quality, instances, evidence)."""
-    entry = F.struct("gene", F.coalesce("quality", F.lit(0.0)).alias("quality_score"), F.col("instances").alias("instances_created"), F.col("evidence").alias("evidence_count"))
-    return results.agg(F.count("*").alias("total_genes"), F.count_if("ok").alias("successful"), F.to_json(F.array_sort(F.collect_list(F.when(F.col("ok"), entry)))).alias("results"))
+def batch_summary(results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """total_genes and successful in one row, and a row for each successful result (gene, ok, quality, instances, evidence)."""
+    each = results.where("ok").select("gene", F.coalesce("quality", F.lit(0.0)).alias("quality_score"), F.col("instances").alias("instances_created"), F.col("evidence").alias("evidence_count"))
+    return results.agg(F.count("*").alias("total_genes"), F.count_if("ok").alias("successful")), each
+
+
+def export_batch(results: DataFrame, folder: str) -> None:
+    """The batch summary as JSON: <folder>/summary has the totals, <folder>/results one line a gene."""
+    totals, each = batch_summary(results)
+    totals.write.mode("overwrite").json(f"{folder}/summary")
+    each.write.mode("overwrite").json(f"{folder}/results")

@@ -147,8 +147,8 @@ def test_sources_and_sinks(spark, tmp_path):
     files.save_vector_index(spark.createDataFrame([(1, "n", None, [1.0])], "db_id long, display_name string, start_index long, embedding array<float>"), str(tmp_path / "v"))
     assert files.vector_index(spark, str(tmp_path / "v")).first().start_index == "-1"
     results = spark.createDataFrame([("A", True, None, 2, 1), ("B", False, 0.5, 0, 0)], "gene string, ok boolean, quality double, instances long, evidence long")
-    summary = files.batch_summary(results).first()
-    assert (summary.total_genes, summary.successful) == (2, 1) and '"quality_score":0.0' in summary.results
+    totals, each = files.batch_summary(results)
+    assert tuple(totals.first()) == (2, 1) and [(r.gene, r.quality_score) for r in each.collect()] == [("A", 0.0)]
     files.export_json(results, str(tmp_path / "j"))
     files.export_csv(results, str(tmp_path / "c"))
     assert spark.read.json(str(tmp_path / "j")).count() == spark.read.csv(str(tmp_path / "c"), header=True).count() == 2
