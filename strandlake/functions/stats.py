@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+FEW, LEAST = 16, 1e-5
+
+
 def log_factorial(n: Column) -> Column:
     """ln n! by Stirling's series at n + 8, less the logs of the eight factors too many: exact to about 1e-14 relative."""
     x = n.cast("double") + 9.0
@@ -18,24 +21,30 @@ def log_factorial(n: Column) -> Column:
 
 
 def binomial_tail(k: Column, n: Column, p: Column) -> Column:
-    """P(X >= k) for X ~ Bin(n, p): the first term in log space, each next one by its ratio to the one before.
+    """P(X >= k) for X ~ Bin(n, p): a first term in log space, each next one by its ratio to the one before.
 
-    The sum begins at k, or 20 terms and 12 standard deviations before the mean if that is later, and ends as far past k
+    For k up to FEW the k terms below it are summed first; what they leave of 1 counts unless it is less than LEAST, where
+    the difference would lose its digits. Else the sum of the tail itself begins at k, or 20 terms and 12 standard deviations before the mean if that is later, and ends as far past k
     or the mean, whichever is larger: what it leaves out is less than one part in 10**16 of the total.
     """
     far = F.lit(20) + F.ceil(12.0 * F.sqrt(n * p * (1.0 - p)))
     start = F.greatest(k, F.floor(n * p) - far)
     first = F.exp(log_factorial(n) - log_factorial(start) - log_factorial(n - start) + start * F.log(p) + (n - start) * F.log1p(-p))
     odds = p / (1.0 - p)
+    none = F.array().cast("array<bigint>")
 
     def step(acc: Column, i: Column) -> Column:
         term = acc["term"] * (n - i + 1).cast("double") / i.cast("double") * odds
         return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
 
+    def added(begin: Column, rest: Column) -> Column:
+        return F.aggregate(rest, F.struct(begin.alias("term"), begin.alias("total")), step, lambda acc: acc["total"])
+
     past = F.least(n, F.greatest(k, F.ceil(n * p)) + far)
-    rest = F.when(past > start, F.sequence(start + 1, past)).otherwise(F.array().cast("array<bigint>"))
-    total = F.aggregate(rest, F.struct(first.alias("term"), first.alias("total")), step, lambda acc: acc["total"])
-    return F.when((k <= 0) | (p >= 1.0), F.lit(1.0)).when(k > n, F.lit(0.0)).otherwise(F.least(F.lit(1.0), total))
+    tail = F.least(F.lit(1.0), added(first, F.when(past > start, F.sequence(start + 1, past)).otherwise(none)))
+    left = 1.0 - added(F.exp(n * F.log1p(-p)), F.when(k > 1, F.sequence(F.lit(1).cast("long"), k - 1)).otherwise(none))
+    short = F.element_at(F.transform(F.array(left), lambda x: F.when(x >= LEAST, x).otherwise(tail)), 1)
+    return F.when((k <= 0) | (p >= 1.0), F.lit(1.0)).when(k > n, F.lit(0.0)).when(k <= FEW, short).otherwise(tail)
 
 
 def with_tails(df: DataFrame, k: str, n: str, size: str, background: str, out: str = "p_value") -> DataFrame:

@@ -48,12 +48,15 @@ def participation(edges: DataFrame, reactions: DataFrame) -> DataFrame:
 
 
 def reaction_roles(edges: DataFrame, pathways: DataFrame, genes: DataFrame | None = None) -> DataFrame:
-    """pathway, reaction, role, gene (distinct) of the reactions below each pathway; genes (column gene) restricts them."""
+    """pathway, reaction, role, gene of the reactions below each pathway; genes (column gene) restricts them.
+
+    Rows are distinct, since (pathway, reaction) and (reaction, role, gene) are.
+    """
     below = descendants(pathways.withColumnRenamed("pathway", "root"), edges).select(F.col("root").alias("pathway"), F.col("node").alias("reaction"))
     roles = participation(edges, below.select("reaction").distinct())
     if genes is not None:
         roles = roles.join(genes.withColumnRenamed("gene", "node"), "node", "left_semi")
-    return below.join(roles, "reaction").select("pathway", "reaction", "role", F.col("node").alias("gene")).distinct()
+    return below.join(roles, "reaction").select("pathway", "reaction", "role", F.col("node").alias("gene"))
 
 
 def topic_pick(topics: DataFrame, events: DataFrame, excluded: tuple[str, ...]) -> DataFrame:

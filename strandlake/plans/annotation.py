@@ -11,6 +11,7 @@ from strandlake.plans import catalog
 from strandlake.plans.catalog import _U, _enrich_sql, once_sql, render_sql, stub_score_sql, stub_sql
 from strandlake.plans.fixtures import Inputs
 from strandlake.plans.registry import query
+from strandlake.session import ensure_checkpoint_dir
 from strandlake.sources import files
 
 
@@ -74,27 +75,34 @@ def tool_graph_query(i: Inputs) -> DataFrame:
     return found.select("id", "error", F.size("results").cast("long").alias("n"), md5(F.array_join("results", "; ")).alias("results_md5"))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """df computed once, for stages that several others read."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def _supported(i: Inputs) -> DataFrame:
     """query_gene, partner, pmids of all genes, filtered by the scored network."""
-    return network.choose_source("intact_biogrid", network.edges(i.ppi_intact, i.ppi_biogrid), i.fi).withColumnRenamed("gene", "query_gene")
+    return _kept(network.choose_source("intact_biogrid", network.edges(i.ppi_intact, i.ppi_biogrid), i.fi).withColumnRenamed("gene", "query_gene"))
 
 
-#: The cutoff of the annotation queries; the tables have few pathways below 0.05.
-_FDR = 0.2
+#: The cutoffs of the annotation queries (texts, and all else); at 0.05 few genes of these tables have a pathway.
+_FDR, _WIDE = 0.2, 0.5
 _STRONG = "select distinct g as q, p as gene from u where (least(g, p), greatest(g, p)) in (select (gene_a, gene_b) from {fi} where score > 0.8)"
 _ENRICHED = f"{_U}, {once_sql(_enrich_sql(_STRONG))}, sig as (select q, pathway_id, x, round(fdr, 10) as fdr from en where fdr < {_FDR})"
+_ENRICHED_WIDE = _ENRICHED.replace(f"fdr < {_FDR})", f"fdr < {_WIDE})")
 
 
-def _enriched(i: Inputs, partners: DataFrame) -> DataFrame:
-    return enrichment.partner_enrichment(partners, i.pathway_rows, _FDR).withColumn("fdr", F.round("fdr", 10))
+def _enriched(i: Inputs, partners: DataFrame, fdr: float = _FDR) -> DataFrame:
+    return _kept(enrichment.partner_enrichment(partners, i.pathway_rows, fdr).withColumn("fdr", F.round("fdr", 10)))
 
 
-@query(f"""with {_ENRICHED}, t as (select q, pathway_id, row_number() over (partition by q order by fdr, pathway_id) as k from sig),
+@query(f"""with {_ENRICHED_WIDE}, t as (select q, pathway_id, row_number() over (partition by q order by fdr, pathway_id) as k from sig),
 b as (select q, count(*) as n, string_agg(pathway_id::varchar, ',' order by k) as l from t where k <= 20 group by q),
 c as (select q, count(*) as n, string_agg(gene::varchar, ',' order by gene) as l from p group by q)
 select c.q as query_gene, c.n as n_partners, md5(c.l) as partners_md5, coalesce(b.n, 0) as n_pathways, md5(coalesce(b.l, '')) as pathways_md5 from c left join b on b.q = c.q""")
 def tool_interactions(i: Inputs) -> DataFrame:
-    found = tools.interactions(_supported(i), i.pathway_rows, fdr=_FDR)
+    found = tools.interactions(_supported(i), i.pathway_rows, fdr=_WIDE)
     said = lambda a, f: md5(F.array_join(F.transform(a, f), ","))
     return found.select(
         "query_gene", F.size("partners").cast("long").alias("n_partners"), said("partners", lambda x: x.cast("string")).alias("partners_md5"),
@@ -235,7 +243,7 @@ _CHOSEN = f"{_INTERACTING}, ch as (select * from (select des.*, sig.fdr, row_num
 
 def _chosen(i: Inputs, partners: DataFrame, found: DataFrame) -> DataFrame:
     named = found.withColumn("pathway_id", _named("P", "pathway_id"))
-    return annotate.first_with_text(named, _described(i, partners, found))
+    return _kept(annotate.first_with_text(named, _described(i, partners, found)))
 
 
 @query(
@@ -269,7 +277,7 @@ def _mean(key: str, rows: str) -> str:
     return _MEAN.replace("{key}", key).replace("{rows}", rows)
 
 
-_SUPPORT = f"""{_ENRICHED}, new as (select sig.* from sig anti join {{membership}} m on m.pathway_id = sig.pathway_id and m.gene = sig.q), tp as (select *, row_number() over (partition by q order by fdr, pathway_id) as k from new),
+_SUPPORT = f"""{_ENRICHED_WIDE}, new as (select sig.* from sig anti join {{membership}} m on m.pathway_id = sig.pathway_id and m.gene = sig.q), tp as (select *, row_number() over (partition by q order by fdr, pathway_id) as k from new),
 prs as (select distinct tp.q, tp.pathway_id, l.pmid from tp join {{literature}} l on l.query_gene = tp.q where k <= 8), ma as ({_mean('pathway', '{pathway_vectors}')}), mb as ({_mean('pmid', '{paper_vectors}')}),
 nr as (select pathway_id, pmid, round(list_inner_product(ma.v, mb.v), 9) as cs from (select distinct pathway_id, pmid from prs) x join ma on ma.key = x.pathway_id join mb on mb.key = x.pmid),
 sc as (select nr.*, a.abstract, {render_sql('abstract_match', text='a.abstract')} as prompt from nr join {{abstracts}} a on a.pmid = nr.pmid where cs >= {_COSINE}), sd as (select *, {stub_score_sql('prompt')} as ls from sc),
@@ -277,12 +285,12 @@ ev as (select * from (select prs.q, prs.pathway_id, prs.pmid, cs, ls, abstract,
 
 
 def _evidence(i: Inputs, partners: DataFrame, chosen: DataFrame) -> DataFrame:
-    return annotate.gene_evidence(chosen.select("query_gene", F.col("pathway_id").alias("pathway")), i.literature, i.pathway_vectors, i.paper_vectors, i.abstracts, _COSINE)
+    return _kept(annotate.gene_evidence(chosen.select("query_gene", F.col("pathway_id").alias("pathway")), i.literature, i.pathway_vectors, i.paper_vectors, i.abstracts, _COSINE))
 
 
 def _new_pathways(i: Inputs, partners: DataFrame) -> DataFrame:
     annotated = i.membership.select(F.col("gene").alias("query_gene"), "pathway_id")
-    return enrichment.top(enrichment.without_annotated(_enriched(i, partners), annotated))
+    return enrichment.top(enrichment.without_annotated(_enriched(i, partners, _WIDE), annotated))
 
 
 @query(f"with {_SUPPORT} select q as query_gene, pathway_id as pathway, pmid, round(cs, 6) as cos_score, ls as llm_score, rank from ev")
@@ -327,7 +335,7 @@ def gene_summary(i: Inputs) -> DataFrame:
     return annotate.combined_summaries(_summaries(i)).select("query_gene", md5("docs").alias("docs_md5"), "answer")
 
 
-_CITED = f"""{_ENRICHED}, tp as (select *, row_number() over (partition by q order by fdr, pathway_id) as k from sig), mp as (select tp.q, tp.pathway_id, p.gene from tp join p on p.q = tp.q join {{membership}} m on m.pathway_id = tp.pathway_id and m.gene = p.gene where k <= 8),
+_CITED = f"""{_ENRICHED_WIDE}, tp as (select *, row_number() over (partition by q order by fdr, pathway_id) as k from sig), mp as (select tp.q, tp.pathway_id, p.gene from tp join p on p.q = tp.q join {{membership}} m on m.pathway_id = tp.pathway_id and m.gene = p.gene where k <= 8),
 ct as (select distinct mp.q, mp.pathway_id, u.pmid::varchar as pmid from mp join u on u.g = mp.q and u.p = mp.gene join {{abstracts}} a on a.pmid = u.pmid::varchar),
 mx as (select b.pathway, a.pmid, round(max({catalog._COS}), 9) as score from {{paper_vectors}} a, {{pathway_vectors}} b group by b.pathway, a.pmid),
 sc as (select ct.*, case when count(*) over (partition by ct.q, ct.pathway_id) > 2 then mx.score end as score from ct left join mx on mx.pathway = ct.pathway_id and mx.pmid = ct.pmid),
@@ -337,7 +345,7 @@ rn as (select *, row_number() over (partition by q, pathway_id order by score de
 def _cited(i: Inputs) -> tuple[DataFrame, DataFrame]:
     """Abstracts that support the interactions of a gene's best pathways, and the partners in these."""
     partners = _supported(i)
-    best = enrichment.top(_enriched(i, partners)).select("query_gene", F.col("pathway_id").alias("pathway"))
+    best = enrichment.top(_enriched(i, partners, _WIDE)).select("query_gene", F.col("pathway_id").alias("pathway"))
     mapped = best.join(i.membership.select(F.col("pathway_id").alias("pathway"), F.col("gene").alias("partner")), "pathway").join(partners, ["query_gene", "partner"])
     ids = mapped.select("query_gene", "pathway", F.explode("pmids").alias("pmid")).withColumn("pmid", F.col("pmid").cast("string")).distinct()
     score = evidence.pair_scores(i.pathway_vectors, i.paper_vectors, ("pathway", "pmid"), "max").withColumn("score", F.round("score", 9))

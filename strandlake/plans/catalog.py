@@ -593,7 +593,15 @@ def llm_stub_summary(i: Inputs) -> DataFrame:
     return models.ask(prompts, "prompt").select("doc_id", "answer", parsing.reply_score("answer").cast("long").alias("score"))
 
 
-@query()
+def _annotate_sql(partners: str) -> str:
+    """The chosen pathways tp (q, pathway) and the best abstracts b of each pathway."""
+    return f"""{_U}, {once_sql(_enrich_sql(partners))}, nw as (select en.q, en.pathway_id, fdr from en anti join {{membership}} m on m.pathway_id = en.pathway_id and m.gene = en.q), tp as (select q, pathway_id as pathway from (select *, row_number() over (partition by q order by fdr, pathway_id) as k from nw) where k <= 8),
+c as (select t.pathway, a.doc::varchar as pmid, avg({_COS}) as cs from (select distinct pathway from tp) t join {{pathway_chunks}} b on b.pathway = t.pathway % 10, {{abstract_chunks}} a group by t.pathway, a.doc),
+s as (select c.*, {stub_score_sql(render_sql("abstract_match", text="x.abstract"))} as ls from c join {{abstracts}} x on x.pmid = c.pmid where cs >= 0.05),
+b as (select * from (select pathway, pmid, round(cs, 6) as cos_score, ls as llm_score, row_number() over (partition by pathway order by cs desc, ls desc nulls last, pmid) as rank from s where ls >= 3) where rank <= 3)"""
+
+
+@query(f"with {_annotate_sql(_ONE)} select {GENE}::bigint as query_gene, b.*, case when b.pathway is null then 'no_support' else 'ok' end as status from (select 1) left join b on true")
 def annotate_gene(i: Inputs) -> DataFrame:
     """Entry A up to the model: partners, enrichment, pruning, evidence; one status row where a stage is empty."""
     annotated = i.membership.select(F.col("gene").alias("query_gene"), "pathway_id")
@@ -607,7 +615,7 @@ def annotate_gene(i: Inputs) -> DataFrame:
     return asked.join(best, "query_gene", "left").withColumn("status", F.when(F.col("pathway").isNull(), "no_support").otherwise("ok"))
 
 
-@query()
+@query(f"with {_annotate_sql(_ALL)} select g.q as query_gene, j.pathway, pmid, cos_score, llm_score, rank, case when j.pathway is null then 'no_support' else 'ok' end as status from (select distinct q from p) g left join (select tp.q, b.* from tp join b on b.pathway = tp.pathway) j on j.q = g.q")
 def annotate_all_genes(i: Inputs) -> DataFrame:
     """annotate_gene of every gene; a pathway chosen for many genes is scored once."""
     partners = _partners(i, None)
