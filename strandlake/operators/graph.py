@@ -107,6 +107,12 @@ def with_counts(tree: DataFrame, counts: DataFrame) -> DataFrame:
     return tree.join(counts, "pathway", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def from_the_end(rows: DataFrame, ord: str = "ord") -> DataFrame:
+    """rows with position: 0 for the largest ord, counting up to the smallest; ord is dense, as file sources number lines."""
+    last = rows.agg(F.max(ord).alias("_last"))
+    return rows.crossJoin(F.broadcast(last)).withColumn("position", F.col("_last") - F.col(ord)).drop("_last")  # one row
+
+
 def merged(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
     """Two key-value tables as one; where both have a key the right one's value counts."""
     r = right.select(key, F.col(value).alias("_right"), F.lit(True).alias("_has"))

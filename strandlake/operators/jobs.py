@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.functions import parsing
+
 # Identifiers that requests, logs and dashboards share.
 PHASES = (
     ("phase_1_literature_extraction", "extractor"),
@@ -55,6 +57,12 @@ def status_counts(jobs: DataFrame) -> DataFrame:
     return jobs.agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("running", "done", "error")])
 
 
+def submitted(requests: DataFrame) -> DataFrame:
+    """The jobs of validated requests (id, gene, error): running, or rejected where the request breaks a rule."""
+    status = F.when(F.col("error").isNull(), "running").otherwise("rejected")
+    return requests.select(F.col("id").alias("job_id"), parsing.gene_or_default("gene").alias("gene"), status.alias("status"))
+
+
 def results(jobs: DataFrame, asked: DataFrame) -> DataFrame:
     """asked (job_id) with the status of each job, not_found for one that was never submitted."""
     return asked.join(jobs.select("job_id", "status"), "job_id", "left").withColumn("status", F.coalesce("status", F.lit("not_found")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import decisions, parsing, texts, vectors
@@ -51,6 +51,25 @@ def pathway_names_for_gene(i: Inputs) -> DataFrame:
     return found.select("gene", F.size("names").cast("long").alias("n"), md5(F.array_join("names", "|")).alias("names_md5"))
 
 
+@query(
+    """with pw as (select src as pathway, dst as reaction from {complex_edges} where rel = 'hasEvent'), st as (select * from {complex_edges} where rel <> 'hasEvent'),
+rl(reaction, role, node) as (select src, case rel when 'input' then 'reactant' when 'catalystActivity' then 'catalyst' when 'regulatedBy' then 'regulator' else rel end, dst from st where src like 'X%' union select r.reaction, r.role, e.dst from rl r join st e on e.src = r.node)
+select pathway, role, node as gene, count(*) as n_reactions from pw join rl on rl.reaction = pw.reaction group by pathway, role, node""",
+    recursive=True,
+)
+def complex_roles(i: Inputs) -> DataFrame:
+    """Roles over all kinds of participation, with a cycle among the entities."""
+    pathways = i.customer.select(_named("P", "c_custkey").alias("pathway"))
+    return graph.reaction_roles(i.complex_edges, pathways).groupBy("pathway", "role", "gene").agg(F.count("*").alias("n_reactions"))
+
+
+@query("with t as (select c_custkey as pathway, row_number() over (order by c_custkey) - 1 as ord from {customer}), o as (select o_custkey, count(*) as n from {orders} group by o_custkey) select pathway, (select max(ord) from t) - ord as position, coalesce(o.n, 0) as n from t left join o on o.o_custkey = t.pathway")
+def hierarchy_reversed(i: Inputs) -> DataFrame:
+    rows = i.customer.select(F.col("c_custkey").alias("pathway"), (F.row_number().over(Window.orderBy("c_custkey")) - 1).cast("long").alias("ord"))
+    counts = i.orders.groupBy(F.col("o_custkey").alias("pathway")).agg(F.count("*").alias("n"))
+    return graph.with_counts(graph.from_the_end(rows), counts).select("pathway", "position", "n")
+
+
 @query("with l as (select name, max(db_id) as db_id from {nodes} where label = 'Pathway' group by name), r as (select distinct name, -1::bigint as db_id from {nodes} where label = 'Pathway' and db_id < 100 union all select name, db_id from {nodes} where label = 'TopLevelPathway') select coalesce(r.name, l.name) as name, coalesce(r.db_id, l.db_id) as db_id from l full join r on r.name = l.name")
 def merged_ids(i: Inputs) -> DataFrame:
     mine = graph.name_to_id(i.nodes.where("label = 'Pathway'"), i.nodes)
@@ -110,6 +129,15 @@ def tool_interactions(i: Inputs) -> DataFrame:
     )
 
 
+@query(f"""with {_U}, s as (select g as q, p, string_agg(distinct pmid::varchar, '|' order by pmid::varchar) as pm from u where (least(g, p), greatest(g, p)) in (select (gene_a, gene_b) from {{fi}} where score > 0.8) group by g, p)
+select q as query_gene, pathway_id, count(*) as n, md5(string_agg(concat(p::varchar, ':', pm), ';' order by p)) as mapped_md5 from s join {{membership}} m on m.gene = s.p group by q, pathway_id""")
+def mapped_interactions(i: Inputs) -> DataFrame:
+    """Each gene's partners in each pathway, aligned with their publications."""
+    found = enrichment.hits(_supported(i), i.membership)
+    each = F.transform("mapped", lambda m: F.concat(m["partner"].cast("string"), F.lit(":"), F.array_join(F.array_sort(F.transform(m["pmids"], lambda x: x.cast("string"))), "|")))
+    return found.select("query_gene", "pathway_id", F.col("overlap_count").alias("n"), md5(F.array_join(each, ";")).alias("mapped_md5"))
+
+
 _SINCE, _UNTIL = "1996-01-01", "1999-12-31"
 _FOUND = f"""w as (select pmid, unnest(regexp_split_to_array(lower(abstract), '\\s+')) as term from {{dated_abstracts}} where published between date '{_SINCE}' and date '{_UNTIL}'),
 ct as (select pmid, term, count(*) as n from w where term <> '' group by pmid, term),
@@ -471,9 +499,18 @@ _BODY = "concat('{{\"queryGene\":', case when o_orderstatus = 'F' then '\" \"' e
 @query("""select o_orderkey as id, case when o_orderstatus <> 'F' then concat('G', o_custkey::varchar) end as gene, case when o_orderpriority like '4%' then 2 when left(o_orderpriority, 1) in ('1', '2', '3') then 0 else 1 end::bigint as n_papers,
   case when o_orderpriority like '2%' then 'papers must be a list' when left(o_orderpriority, 1) in ('1', '3') then 'papers missing' when o_totalprice > 50000 and o_orderstatus = 'F' then 'gene missing' end as error from {orders}""")
 def request_bodies(i: Inputs) -> DataFrame:
+    return _validated(i).select("id", "gene", F.coalesce(F.when(F.size("papers") >= 0, F.size("papers")), F.lit(0)).cast("long").alias("n_papers"), "error")
+
+
+def _validated(i: Inputs) -> DataFrame:
     bodies = i.orders.select(F.col("o_orderkey").alias("id"), F.expr(_BODY.replace("{{", "{").replace("}}", "}").replace("::varchar", " || ''")).alias("body"))
-    made = jobs.validated_json(bodies)
-    return made.select("id", "gene", F.coalesce(F.when(F.size("papers") >= 0, F.size("papers")), F.lit(0)).cast("long").alias("n_papers"), "error")
+    return jobs.validated_json(bodies)
+
+
+@query("""select o_orderkey as job_id, case when o_orderstatus <> 'F' then concat('G', o_custkey::varchar) else 'UNSPECIFIED_GENE' end as gene,
+  case when left(o_orderpriority, 1) in ('1', '2', '3') or (o_totalprice > 50000 and o_orderstatus = 'F') then 'rejected' else 'running' end as status from {orders}""")
+def job_submit(i: Inputs) -> DataFrame:
+    return jobs.submitted(_validated(i))
 
 
 _TASK = render_sql("vote_task", agent="source", gene="doc_id", extraction="left(coalesce(text, ''), 4000)", curation="left(coalesce(lang, ''), 4000)", review="left(coalesce(source, ''), 4000)", qa="left(coalesce(text, ''), 4000)")

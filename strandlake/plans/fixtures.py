@@ -6,7 +6,6 @@
 from __future__ import annotations
 
 import re
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +32,11 @@ VIEWS = {
         union all select distinct concat('X', cast(l_orderkey as {S})), concat('E', cast(l_partkey as {S})),
             case l_returnflag when 'A' then 'input' when 'N' then 'catalystActivity' else 'regulatedBy' end from {lineitem}
         union all select concat('E', cast(p_partkey as {S})), concat('E', cast(cast(floor(p_partkey / 10) as bigint) as {S})), 'hasMember' from {part} where p_partkey > 0""",
+    "complex_edges": """select concat('P', cast(o_custkey as {S})) as src, concat('X', cast(o_orderkey as {S})) as dst, 'hasEvent' as rel from {orders}
+        union all select distinct concat('X', cast(l_orderkey as {S})), concat('C', cast(l_suppkey as {S})), case l_linenumber when 1 then 'input' when 2 then 'catalystActivity' when 3 then 'regulatedBy' else 'physicalEntity' end from {lineitem}
+        union all select concat('C', cast(s_suppkey as {S})), concat('M', cast(s_nationkey as {S})), 'hasComponent' from {supplier}
+        union all select concat('M', cast(n_nationkey as {S})), concat('L', cast(n_regionkey as {S})), 'hasMember' from {nation}
+        union all select concat('L', cast(n_regionkey as {S})), concat('M', cast(n_nationkey as {S})), 'hasCandidate' from {nation}""",
     "nodes": """select concat('R', cast(r_regionkey as {S})) as node, cast(r_regionkey as bigint) as db_id, 'TopLevelPathway' as label, r_name as name from {region}
         union all select concat('N', cast(n_nationkey as {S})), cast(n_nationkey as bigint), 'Pathway', n_name from {nation}
         union all select concat('P', cast(c_custkey as {S})), c_custkey, 'Pathway', concat(c_mktsegment, ' ', cast(c_nationkey as {S})) from {customer}
@@ -89,10 +93,6 @@ class Inputs:
                 self._made[name] = self.spark.sql(sql.replace("{S}", "string"), **{n: getattr(self, n) for n in _needs(sql)})
         return self._made[name]
 
-    @cached_property
-    def edge_list(self) -> DataFrame:
-        return self.edges
-
 
 def oracle(sql: str, recursive: bool = False) -> str:
     """sql with the CTEs of the views it names as {view}."""
