@@ -1,10 +1,12 @@
-"""Line dedup by pairs of neighbouring lines.
-
-Every two neighbouring lines of a text are hashed together, wherever they stand and whatever stands around them. A line
-goes if a pair it belongs to stands somewhere else first, once the pair's bytes have been compared with those of that
-first place. The pairs of a run overlap, so what goes is every run of two or more lines that occurs again, to its last
-line, but for the first places of its pairs; of a line repeated over and over one stays. The first place of a line never
-goes, so no line is lost everywhere.
+"""Line dedup by content-defined chunks of lines.
+
+A rolling hash over the line hashes of every two neighbouring lines decides where chunks end: between two lines whose hash
+stands nowhere else in the corpus. So boundaries depend on the lines beside them only, whatever is inserted elsewhere,
+and a chunk is a run of two or more lines whose neighbours all stand side by side somewhere else as well. (A boundary by
+the value of the hash, as after every third line or so, would miss blocks shorter than its spacing.) Pair by pair a
+chunk's bytes are compared with those of the pair's first place, and a line goes if a pair it belongs to stands there.
+What goes is thus every run of two or more lines that occurs again, to its last line, but for the first places of its
+pairs; of a line repeated over and over one stays. The first place of a line never goes, so no line is lost everywhere.
 
 Edge cases: null and empty texts stay; empty lines are lines; single lines are never removed; a text all of whose lines
 go becomes empty; rows equal in id and text are one document and are not repeats of each other; which place is the first
