@@ -6,6 +6,7 @@ from strandlake.llm.embedding_dedup import OP6_SQL, op6_embedding_dedup
 from strandlake.llm.filter_audit import OP12_SQL, op12_filter_audit
 from strandlake.llm.jaccard_join import OP5_SQL, op5_jaccard_join
 from strandlake.llm.line_dedup import op3_line_dedup
+from strandlake.llm.manifest import OP13_SQL, op13_manifest
 from strandlake.llm.packing import op8_packing
 from strandlake.llm.piece_codec import op2_piece_codec
 from strandlake.llm.quality import OP1_SQL, op1_quality_rules
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
     "op12_filter_audit": op12_filter_audit,
+    "op13_manifest": op13_manifest,
 }
-ORACLES = {"op1_quality_rules": OP1_SQL, "op4_sharding": OP4_SQL, "op5_jaccard_join": OP5_SQL, "op6_embedding_dedup": OP6_SQL, "op12_filter_audit": OP12_SQL}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op4_sharding": OP4_SQL, "op5_jaccard_join": OP5_SQL, "op6_embedding_dedup": OP6_SQL, "op12_filter_audit": OP12_SQL, "op13_manifest": OP13_SQL}
