@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from strandlake.llm.bpe_codec import op11_bpe_codec
 from strandlake.llm.embedding_dedup import OP6_SQL, op6_embedding_dedup
 from strandlake.llm.filter_audit import OP12_SQL, op12_filter_audit
 from strandlake.llm.jaccard_join import OP5_SQL, op5_jaccard_join
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op11_bpe_codec": op11_bpe_codec,
     "op12_filter_audit": op12_filter_audit,
     "op13_manifest": op13_manifest,
 }
