@@ -268,7 +268,7 @@ def by_bytes(texts: list[str], most: int = SLICE) -> Iterator[list[str]]:
 def encode(df: DataFrame, model: str, text: str = "text") -> tuple[DataFrame, str]:
     """df with one added column (its name is returned): the ids of its text."""
     name = free_name(df, "bpe_ids")[0]
-    at, schema = df.columns.index(text), StructType([*df.schema.fields, StructField(name, ArrayType(IntegerType()))])
+    names, at, schema = df.columns, df.columns.index(text), StructType([*df.schema.fields, StructField(name, ArrayType(IntegerType()))])
 
     def run(batches):
         ids_of = encoder(model)
@@ -280,7 +280,7 @@ def encode(df: DataFrame, model: str, text: str = "text") -> tuple[DataFrame, st
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), np.int32)))
                 rows = batch.slice(row, len(part))
                 row += len(part)
-                yield pa.RecordBatch.from_arrays([*rows.columns, ids], [*df.columns, name])
+                yield pa.RecordBatch.from_arrays([*rows.columns, ids], [*names, name])
 
     return df.mapInArrow(run, schema), name
 
@@ -288,14 +288,14 @@ def encode(df: DataFrame, model: str, text: str = "text") -> tuple[DataFrame, st
 def decode(df: DataFrame, model: str, ids: str) -> tuple[DataFrame, str]:
     """df with one added column (its name is returned): the text that the array column ids decodes to; null is empty."""
     name = free_name(df, "decoded")[0]
-    at, schema = df.columns.index(ids), StructType([*df.schema.fields, StructField(name, StringType())])
+    names, at, schema = df.columns, df.columns.index(ids), StructType([*df.schema.fields, StructField(name, StringType())])
 
     def run(batches):
         for batch in batches:
             for row in range(0, batch.num_rows, 64):
                 rows = batch.slice(row, 64)
                 texts = [decoded(model, np.array(x or [], "<u4").tobytes()) for x in rows.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], [*df.columns, name])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], [*names, name])
 
     return df.mapInArrow(run, schema), name
 
