@@ -178,7 +178,7 @@ def test_line_dedup_against_brute_force(spark, docs, clashing, nothing):
         _, _, place, start, end = line_dedup.chunk_lines(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
         gone = sum(raw.count(b"\n", a, b) + 1 for p, a, b in zip(place.tolist(), start.tolist(), end.tolist(), strict=True) if p in later[key & 0xFFFFFFFFFFFFFFFF])
         want[key] = gone
-    out, gone = line_dedup.dedup_lines(df.withColumn("key", F.xxhash64("doc_id", "text")).withColumn("old", F.col("text")))
+    out, gone = line_dedup.dedup_lines(df.withColumn("key", F.xxhash64("doc_id", "text")).withColumn("old", F.col("text")), chosen=8)
     rows = out.collect()
     assert len(rows) == df.count() and sum(want.values()) > 50
     for r in rows:
@@ -202,7 +202,7 @@ def test_line_dedup_against_whole_texts(spark, docs):
         for p, pair in enumerate(zip(lines, lines[1:], strict=False)):
             if first.setdefault(pair, (h, p)) != (h, p):
                 gone[h] |= {p, p + 1}
-    out, count = line_dedup.dedup_lines(docs.withColumn("h", F.xxhash64("doc_id", "text")))
+    out, count = line_dedup.dedup_lines(docs.withColumn("h", F.xxhash64("doc_id", "text")), chosen=8)
     for r in out.collect():
         h = r.h & 0xFFFFFFFFFFFFFFFF
         assert r[count] == len(gone[h])
@@ -219,9 +219,9 @@ def test_lines_are_cut_alike_after_insertions():
     assert len(a - b) <= 3
 
 
-def lines_left(spark, texts):
-    """The text of each of the texts after line dedup, and the number of lines removed from it."""
-    out, gone = line_dedup.dedup_lines(spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], DOCS).repartition(3))
+def lines_left(spark, texts, chosen=8):
+    """The text of each of the texts after line dedup, and the number of lines removed from it; by default by every pair."""
+    out, gone = line_dedup.dedup_lines(spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], DOCS).repartition(3), chosen=chosen)
     return [(r.text, r[gone]) for r in out.orderBy("doc_id").collect()]
 
 
@@ -253,6 +253,88 @@ def test_lines_repeated_over_and_over_stay_once(spark):
     assert got == [("top\nthe same line\nend", 999), ("start\none\ntwo\nstop", 998), ("alone\nx", 2), ("blank\n\nunder", 39)]
 
 
+def plain_chunks(lines, hashes):
+    """(first line, its lines) of every digested run of lines, and the lines where chunks start, line by line."""
+    n = len(lines)
+    mask = (1 << 64) - 1
+    rolled = [int(textkernel.mix(np.array([(hashes[i] * int(line_dedup._FACTOR) + hashes[i + 1] + int(line_dedup._SECOND)) & mask], np.uint64))[0]) for i in range(n - 1)]
+    starts = [0]
+    for i in range(1, n):
+        value = i < n - 1 and rolled[i] >> 61 < line_dedup.CHOSEN or i < n - 2 and rolled[i] < min(rolled[i - 1], rolled[i + 1])
+        same = i < n - 1 and rolled[i] == rolled[i - 1]
+        if value or same or i - starts[-1] == line_dedup.LONGEST:
+            starts.append(i)
+    heads, longer = [], []
+    for a, b in zip(starts, [*starts[1:], n], strict=True):
+        b = min(max(b, a + 2), n)
+        if b - a > 1:
+            heads.append((a, tuple(lines[a : a + 2])))
+        if b - a > 2:
+            longer.append((a, tuple(lines[a:b])))
+    return heads + longer, starts
+
+
+def chunk_texts(seed=8):
+    rng = random.Random(seed)
+    own = lambda: [f"own {rng.random()}" for _ in range(rng.randrange(1, 6))]
+    blocks = [[f"block {n} {k} {rng.random()}" for k in range(n)] for n in [2, 2, 3, 3, 4, 5, 6, 8, 10, 20] * 4]
+    texts = ["\n".join(own() + rng.choice(blocks) + own() + rng.choice(blocks) + own()) for _ in range(160)]
+    texts += ["\n".join(["same"] * 50 + own()), "\n".join(["a", "b"] * 60), "\n".join(["a", "b"] * 40), "", "one line", "\n\n\n"] + ["\n".join(own() * 3)]
+    return [t for t in texts] + texts[:3]
+
+
+def test_chunks_by_their_definition():
+    """Boundaries and digested runs of lines against plain loops; one digest for each run of lines."""
+    said = collections.defaultdict(set)
+    for t in chunk_texts():
+        raw, off = np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])
+        hashes, text, place, start, end = line_dedup.chunk_lines(raw, off)
+        lines = [t.encode()[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        want, starts = plain_chunks(lines, hashes.tolist()) if lines else ([], [])
+        digest, _, at = line_dedup.chunks(raw, off)
+        assert not lines or line_dedup.chunk_starts(hashes, text, place).tolist() == starts
+        assert at.tolist() == [a for a, _ in want]
+        for d, (_, run) in zip(digest.tolist(), want, strict=True):
+            said[d].add(run)
+    assert all(len(x) == 1 for x in said.values()) and len({x for y in said.values() for x in y}) == len(said)
+
+
+def test_boundaries_resist_shifts():
+    rng = random.Random(5)
+    lines = [f"{rng.random()}" for _ in range(400)]
+
+    def cut(x):
+        raw = np.frombuffer("\n".join(x).encode(), np.uint8)
+        line, text, place = line_dedup.chunk_lines(raw, np.array([0, len(raw)]))[:3]
+        return {x[i] for i in line_dedup.chunk_starts(line, text, place).tolist()}
+
+    a, b = cut(lines), cut(lines[:200] + ["new", "newer"] + lines[200:])
+    assert 120 < len(a) < 280 and len(a ^ b) <= 4
+
+
+def test_chunks_find_most_repeated_runs(spark):
+    """Against every pair of lines: nothing else goes, nine of ten lines do, and every run of eight lines or more is found."""
+    texts = chunk_texts()
+    every, some = lines_left(spark, texts), lines_left(spark, texts, line_dedup.CHOSEN)
+    assert sum(n for _, n in some) >= 0.9 * sum(n for _, n in every) > 400
+    for (t, _), (kept, n), old in zip(every, some, texts, strict=True):
+        left, old_lines = collections.Counter(kept.split("\n")), collections.Counter(old.split("\n"))
+        assert not kept or not left - old_lines and (n or kept == old)
+    # No line is lost everywhere, and what goes would go by the rule of every pair as well (the first places may differ).
+    before, after = {x for t in texts for x in t.split("\n")}, {x for t, _ in some for x in t.split("\n")}
+    assert before - {""} <= after
+    once = collections.Counter(x for t in texts for x in t.split("\n"))
+    assert all(once[x] > 1 for (t, _), old in zip(some, texts, strict=True) for x in (collections.Counter(old.split("\n")) - collections.Counter(t.split("\n"))) if x)
+    long = {x for t in texts for x in t.split("\n") if x.startswith(("block 8 ", "block 10 ", "block 20 "))}
+    assert all(sum(x in t.split("\n") for t, _ in some) == 1 for x in long)
+
+
+def test_repeated_lines_by_chunks(spark):
+    same, turns = "\n".join(["top", *["the same line"] * 1000, "end"]), "\n".join(["start", *["one", "two"] * 500, "stop"])
+    got = lines_left(spark, [same, turns], line_dedup.CHOSEN)
+    assert got[0] == ("top\nthe same line\nend", 999) and got[1][1] > 900
+
+
 def test_empty_lines_count_in_the_digest(spark):
     """A block that ends some texts and is followed by empty lines in others goes everywhere but once."""
     raw = lambda t: np.frombuffer(t.encode(), np.uint8)
