@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import parsing
-from strandlake.session import ensure_checkpoint_dir
+from strandlake.session import kept
 
 PARTICIPATION = ("input", "catalystActivity", "regulatedBy", "physicalEntity", "hasComponent", "hasMember", "hasCandidate")
 
@@ -15,18 +15,17 @@ def closure(start: DataFrame, edges: DataFrame, carried: tuple[str, ...] = ("roo
     """All states (carried..., node) reachable over edges (src, dst) from the states of start.
 
     Breadth first; states seen before never enter the frontier again, so cycles end. Each round is
-    checkpointed, so lost executors cost one round.
+    written to the shared folder, so lost executors cost one round.
     """
-    ensure_checkpoint_dir(start.sparkSession)
     state = [*carried, "node"]
-    seen = frontier = start.select(*state).distinct().checkpoint()
+    seen = frontier = kept(start.select(*state).distinct())
     steps = edges.select("src", "dst")
     while True:
         reached = frontier.join(steps, frontier["node"] == steps["src"]).select(*carried, F.col("dst").alias("node")).distinct()
-        frontier = reached.join(seen, state, "left_anti").checkpoint()
+        frontier = kept(reached.join(seen, state, "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = seen.unionByName(frontier)  # a union of checkpointed rounds: nothing is written twice
+        seen = seen.unionByName(frontier)  # a union of written rounds: nothing is written twice
 
 
 def descendants(roots: DataFrame, edges: DataFrame, rel: str = "hasEvent") -> DataFrame:

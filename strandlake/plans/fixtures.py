@@ -37,6 +37,31 @@ VIEWS = {
         union all select concat('C', cast(s_suppkey as {S})), concat('M', cast(s_nationkey as {S})), 'hasComponent' from {supplier}
         union all select concat('M', cast(n_nationkey as {S})), concat('L', cast(n_regionkey as {S})), 'hasMember' from {nation}
         union all select concat('L', cast(n_regionkey as {S})), concat('M', cast(n_nationkey as {S})), 'hasCandidate' from {nation}""",
+    "typed_edges": """select concat('R', cast(n_regionkey as {S})) as src, concat('N', cast(n_nationkey as {S})) as dst, 'hasEvent' as rel from {nation}
+        union all select concat('N', cast(c_nationkey as {S})), concat('P', cast(c_custkey as {S})), 'hasEvent' from {customer}
+        union all select concat('P', cast(a.c_custkey as {S})), concat('P', cast(b.c_custkey as {S})), 'hasEvent' from {customer} a join {customer} b on b.c_custkey = a.c_custkey + 1 where a.c_custkey % 4 <> 3
+        union all select concat('P', cast(o_custkey as {S})), concat('X', cast(o_orderkey as {S})), 'hasEvent' from {orders}
+        union all select concat('X', cast(l_orderkey as {S})), concat('E', cast(l_partkey as {S})), 'input' from {lineitem} where l_returnflag = 'A' and l_linenumber <= 2
+        union all select concat('X', cast(l_orderkey as {S})), concat('K', cast(l_orderkey as {S})), 'catalystActivity' from {lineitem} where l_returnflag = 'N' and l_linenumber = 1
+        union all select concat('K', cast(l_orderkey as {S})), concat('C', cast(l_suppkey as {S})), 'physicalEntity' from {lineitem} where l_returnflag = 'N' and l_linenumber = 1
+        union all select concat('X', cast(l_orderkey as {S})), concat('D', cast(l_suppkey % 25 as {S})), 'regulatedBy' from {lineitem} where l_returnflag = 'R' and l_linenumber = 1
+        union all select concat('D', cast(s_nationkey as {S})), concat('C', cast(s_suppkey as {S})), 'hasMember' from {supplier} where s_suppkey % 50 = 0
+        union all select concat('D', cast(n_nationkey as {S})), concat('D', cast(n_nationkey + 1 - 2 * (n_nationkey % 2) as {S})), 'hasCandidate' from {nation} where n_nationkey < 24
+        union all select concat('C', cast(s_suppkey as {S})), concat('C', cast(cast(floor(s_suppkey / 10) as bigint) as {S})), 'hasComponent' from {supplier} where s_suppkey >= 10
+        union all select concat('C', cast(s_suppkey as {S})), concat('E', cast(p_partkey as {S})), 'hasComponent' from {supplier} join {part} on p_partkey % 37 = s_suppkey % 37 where p_size <= 1
+        union all select concat('E', cast(p_partkey as {S})), concat('Q', cast(cast(floor(p_partkey / 2) as bigint) as {S})), 'referenceEntity' from {part}""",
+    "typed_nodes": """select concat('R', cast(r_regionkey as {S})) as node, cast(r_regionkey as bigint) as db_id, 'TopLevelPathway' as label, r_name as name, cast(null as {S}) as genes from {region}
+        union all select concat('N', cast(n_nationkey as {S})), cast(n_nationkey as bigint), 'Pathway', n_name, null from {nation}
+        union all select concat('P', cast(c_custkey as {S})), c_custkey, 'Pathway', concat(c_mktsegment, ' ', cast(c_nationkey as {S})), null from {customer}
+        union all select concat('X', cast(o_orderkey as {S})), o_orderkey, case when o_orderkey % 9 = 4 then 'FailedReaction' else 'ReactionLikeEvent' end, concat('Reaction ', cast(o_orderkey as {S})), null from {orders}
+        union all select distinct concat('K', cast(l_orderkey as {S})), l_orderkey, 'CatalystActivity', 'catalyst', null from {lineitem} where l_returnflag = 'N' and l_linenumber = 1
+        union all select concat('C', cast(s_suppkey as {S})), s_suppkey, 'Complex', s_name, null from {supplier}
+        union all select concat('D', cast(n_nationkey as {S})), cast(n_nationkey as bigint), 'DefinedSet', n_name, null from {nation}
+        union all select concat('E', cast(p_partkey as {S})), p_partkey, case when p_partkey % 17 = 5 then 'SimpleEntity' else 'EntityWithAccessionedSequence' end, p_name, null from {part}
+        union all select distinct concat('Q', cast(cast(floor(p_partkey / 2) as bigint) as {S})), cast(floor(p_partkey / 2) as bigint), case when floor(p_partkey / 2) % 13 = 3 then 'ReferenceMolecule' else 'ReferenceSequence' end, 'reference',
+            case when floor(p_partkey / 2) % 19 <> 7 then concat('G', cast(cast(floor(p_partkey / 2) as bigint) as {S}), ',ALIAS', cast(cast(floor(p_partkey / 2) as bigint) as {S})) end from {part}""",
+    "typed_requests": """select p_partkey as id, concat('G', cast(cast(floor(p_partkey / 2) as bigint) as {S})) as gene, case when p_size <= 20 then 'pathways' when p_size <= 45 then 'reactions' else 'genes' end as kind,
+        case when p_size > 25 then concat('P', cast(p_partkey % 150 as {S})) end as pathway from {part}""",
     "nodes": """select concat('R', cast(r_regionkey as {S})) as node, cast(r_regionkey as bigint) as db_id, 'TopLevelPathway' as label, r_name as name from {region}
         union all select concat('N', cast(n_nationkey as {S})), cast(n_nationkey as bigint), 'Pathway', n_name from {nation}
         union all select concat('P', cast(c_custkey as {S})), c_custkey, 'Pathway', concat(c_mktsegment, ' ', cast(c_nationkey as {S})) from {customer}

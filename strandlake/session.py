@@ -40,3 +40,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="strandlake-"))
+
+
+def kept(df):
+    """The rows of df from a table written once to the shared folder: lineage ends and later plans know its size.
+
+    checkpoint() would compute df twice, to count and to write. The table goes when the session ends.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/kept-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
