@@ -76,10 +76,11 @@ def network_partners(documents: DataFrame, index: DataFrame, cutoff: float | Non
 
 
 def choose_source(name: str, interactions: DataFrame, scored: DataFrame, cutoff: float = 0.8, use_filter: bool = True) -> DataFrame:
-    """gene, partner, pmids of the named source; scored partners have no publications."""
+    """gene, partner, pmids of the named source; scored partners, found from either end of an edge, have no publications."""
     if name == "intact_biogrid":
         return supported_by(interactions, scored, cutoff) if use_filter else interactions
     if name == "scored_network":
         near = scored.where(F.col("score") > cutoff)
-        return near.select(F.col("gene_a").alias("gene"), F.col("gene_b").alias("partner"), F.array().cast(interactions.schema["pmids"].dataType).alias("pmids"))
+        ends = near.select(F.col("gene_a").alias("gene"), F.col("gene_b").alias("partner")).unionByName(near.select(F.col("gene_b").alias("gene"), F.col("gene_a").alias("partner")))
+        return ends.distinct().withColumn("pmids", F.array().cast(interactions.schema["pmids"].dataType))
     raise ValueError(f"unknown interaction source: {name}")
