@@ -630,4 +630,4 @@ def annotate_all_genes(i: Inputs) -> DataFrame:
     return out.select("query_gene", "pathway", "pmid", "cos_score", "llm_score", "rank").withColumn("status", F.when(F.col("pathway").isNull(), "no_support").otherwise("ok"))
 
 
-from strandlake.plans import annotation, literature, typed_graph  # noqa: E402, F401  registers the composed queries
+from strandlake.plans import annotation, file_queries, literature, typed_graph  # noqa: E402, F401  registers the composed queries

@@ -75,6 +75,7 @@ VIEWS = {
     "searches": "select item_id as id, split_part(text, ' ', 1) as gene, split_part(text, ' ', 2) as more from {benchmark}",
     "boolean_searches": """select item_id as id, split_part(text, ' ', 1) as a, split_part(text, ' ', 2) as b, split_part(text, ' ', 5) as c, concat(split_part(text, ' ', 3), ' ', split_part(text, ' ', 4)) as d,
         concat('(', split_part(text, ' ', 1), ' ', split_part(text, ' ', 2), ' OR ', split_part(text, ' ', 5), ') AND "', split_part(text, ' ', 3), ' ', split_part(text, ' ', 4), '"') as term from {benchmark}""",
+    "results": """select s_name as gene, s_nationkey % 3 <> 1 as ok, case when s_nationkey < 20 then cast(s_nationkey as double) / 32 end as quality, s_suppkey as instances, cast(s_nationkey as bigint) as evidence from {supplier}""",
     "dated_abstracts": "select cast(d.doc_id as {S}) as pmid, d.text as abstract, cast(o.o_orderdate as date) as published, d.source as journal from {documents} d left join {orders} o on o.o_orderkey = d.doc_id",
     "pathway_vectors": "select vec_id as pathway, embedding from {embeddings}",
     "paper_vectors": "select cast(cast(floor(vec_id / 5) as bigint) as {S}) as pmid, vec_id % 5 as start, embedding from {embeddings}",

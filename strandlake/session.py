@@ -42,17 +42,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="strandlake-"))
 
 
-def kept(df):
-    """The rows of df from a table written once to the shared folder: lineage ends and later plans know its size.
-
-    checkpoint() would compute df twice, to count and to write. The table goes when the session ends.
-    """
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the session ends."""
     import uuid
 
-    spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/kept-{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def kept(df):
+    """The rows of df from a table written once to the shared folder: lineage ends and later plans know its size.
+
+    checkpoint() would compute df twice, to count and to write. The table goes when the session ends.
+    """
+    path = shared_path(df.sparkSession, "kept")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

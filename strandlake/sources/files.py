@@ -59,7 +59,8 @@ def graph_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
 
 
 def gene_list_file(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.trim("value").alias("gene"))
+    """One gene a line, without blanks of any kind at its ends."""
+    return spark.read.text(path).select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("gene"))
 
 
 def abstract_table(spark: SparkSession, path: str, pmids: list[str] | None = None) -> DataFrame:
