@@ -102,11 +102,12 @@ def nearest(chunks: DataFrame, query: list[float], k: int = 12, cutoff: float |
     return found if cutoff is None else found.where(F.col("distance") <= cutoff)
 
 
-def nearest_per(chunks: DataFrame, query: list[float], group: str, key: str, k: int = 12, cutoff: float = 50.0) -> DataFrame:
-    """chunks with distance and rank: the k nearest of each group, at most cutoff away; ties by key."""
+def nearest_per(chunks: DataFrame, query: list[float], group: str, key: str, k: int = 12, cutoff: float = 50.0, digits: int | None = None) -> DataFrame:
+    """chunks with distance (to so many digits) and rank: the k nearest of each group, at most cutoff away; ties by key."""
     at = F.array(*[F.lit(float(x)) for x in query])
     order = Window.partitionBy(group).orderBy("distance", key)
-    found = chunks.withColumn("distance", vectors.squared_distance(F.col("embedding"), at)).withColumn("rank", F.row_number().over(order).cast("long"))
+    distance = vectors.squared_distance(F.col("embedding"), at)
+    found = chunks.withColumn("distance", distance if digits is None else F.round(distance, digits)).withColumn("rank", F.row_number().over(order).cast("long"))
     return found.where((F.col("rank") <= k) & (F.col("distance") <= cutoff))
 
 

@@ -40,22 +40,28 @@ def ask(df: DataFrame, prompt: str, model: str = "stub", out: str = "answer") ->
     return df.withColumn(out, call.asNondeterministic()(F.col(prompt)))
 
 
+#: Of a word's MD5 in hex: so many digits name its place, and the next one its sign.
+_PLACE = 8
+
+
 def hashed_vector(text: str, dim: int = 64) -> np.ndarray:
-    """Signed counts of hashed words at unit length."""
-    v = np.zeros(dim, np.float32)
+    """Signed counts of hashed words at unit length; embed() gives the same."""
+    v = np.zeros(dim)
     for word in text.lower().split():
-        h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-        v[h % dim] += 1.0 if h >> 63 else -1.0
-    n = np.linalg.norm(v)
-    return v / n if n else v
+        h = hashlib.md5(word.encode()).hexdigest()
+        v[int(h[:_PLACE], 16) % dim] += 1.0 if int(h[_PLACE], 16) >= 8 else -1.0
+    n = np.sqrt((v * v).sum())
+    return (v / n if n else v).astype(np.float32)
 
 
 def embed(df: DataFrame, text: str, out: str = "embedding", dim: int = 64) -> DataFrame:
-    """df with a vector of each text."""
-
-    @F.pandas_udf("array<float>")
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([hashed_vector(t or "", dim).tolist() for t in texts])
-
-    return df.withColumn(out, vectors(F.col(text)))
+    """df with a vector of each text, as a native expression; a null or empty text has zeros."""
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda w: w != "")
+    hashes = F.transform(words, lambda w: F.md5(w.cast("binary")))
+    at = lambda h: (F.conv(F.substring(h, 1, _PLACE), 16, 10).cast("long") % dim).cast("int")
+    signed = F.transform(hashes, lambda h: F.struct(at(h).alias("d"), F.when(F.substring(h, _PLACE + 1, 1) >= "8", 1.0).otherwise(-1.0).alias("s")))
+    bound = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731  computed once
+    counts = lambda hs: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.aggregate(F.filter(hs, lambda x: x["d"] == d), F.lit(0.0), lambda a, x: a + x["s"]))
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    unit = lambda v: bound(length(v), lambda n: F.transform(v, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0)).cast("float")))
+    return df.withColumn(out, bound(signed, lambda hs: bound(counts(hs), unit)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import decisions, parsing, texts, vectors
-from strandlake.operators import annotate, enrichment, evidence, graph, jobs, models, network, tools
+from strandlake.operators import annotate, enrichment, evidence, graph, jobs, models, neighbours, network, tools
 from strandlake.plans import catalog
 from strandlake.plans.catalog import _U, _enrich_sql, once_sql, render_sql, stub_score_sql, stub_sql
 from strandlake.plans.fixtures import Inputs
@@ -201,15 +201,41 @@ def event_summary_index(i: Inputs) -> DataFrame:
     return files.event_index(events).select("db_id", "display_name", "start_index", F.size("embedding").cast("long").alias("dims"))
 
 
-@query()
+#: The stand-in vector of a text over lists: words by their MD5, signed counts, unit length, single precision.
+VECTOR_SQL = """list_transform([list_transform([list_transform(list_filter(regexp_split_to_array(lower({text}), '\\s+'), lambda x: x <> ''), lambda x: md5(x))], lambda h: list_transform(range(64), lambda d: coalesce(list_sum(list_transform(list_filter(h, lambda y: ('0x' || y[1:8])::bigint % 64 = d), lambda y: case when y[9] >= '8' then 1.0::double else -1.0::double end)), 0.0::double)))[1]],
+  lambda v: list_transform(v, lambda x: case when list_max(list_transform(v, lambda z: abs(z))) = 0 then 0.0 else x / sqrt(list_sum(list_transform(v, lambda z: z * z))) end::float))[1]"""
+DISTANCE_SQL = "round(list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double))), 9)"
+_PAPER_SEARCH = "(the interactions) or (the reactions) or (the pathways)"
+
+
+@query(
+    f"""with {_chunks("select doc_id::varchar as pmid, text as body from {documents}")}, c as (select pmid, start, list_aggregate(w[start + 1:start + 256], 'string_agg', ' ') as chunk from s),
+v as (select pmid, start, chunk, {VECTOR_SQL.replace("{text}", "chunk")} as v from c), q as (select {VECTOR_SQL.replace("{text}", "'" + _PAPER_SEARCH + "'")} as q),
+r as (select pmid, start, chunk, row_number() over (partition by pmid order by {DISTANCE_SQL.replace("{a}", "v").replace("{b}", "q")}, start) as rank from v, q)
+select pmid, start, rank, {stub_sql(render_sql("relationships", text="chunk"))} as answer from r where rank <= 12"""
+)
 def full_paper_answers(i: Inputs) -> DataFrame:
     """Every document as a paper: windows, vectors, the nearest windows to a search, and the model's answer to each."""
     cut = vectors.token_windows(i.documents.select(F.col("doc_id").cast("string").alias("pmid"), "text"), "text").select("pmid", "start", "chunk")
-    near = evidence.nearest_per(models.embed(cut, "chunk"), models.hashed_vector("(the interactions) or (the reactions) or (the pathways)").tolist(), "pmid", "start", 12, 50.0)
+    near = evidence.nearest_per(models.embed(cut, "chunk"), models.hashed_vector(_PAPER_SEARCH).tolist(), "pmid", "start", 12, 50.0, 9)
     asked = models.ask(near.withColumn("prompt", texts.render("relationships", text=F.col("chunk"))), "prompt")
     return asked.select("pmid", F.col("start").cast("long").alias("start"), "rank", "answer")
 
 
+@query(
+    f"""with {_chunks("select doc_id::varchar as pmid, text as body from {documents}")}, c as (select pmid, start, list_aggregate(w[start + 1:start + 256], 'string_agg', ' ') as chunk from s),
+v as (select concat(pmid, ':', start::varchar) as part, {VECTOR_SQL.replace("{text}", "chunk")} as v from c where chunk is not null), q as (select item_id as id, {VECTOR_SQL.replace("{text}", "text")} as q from {{benchmark}}),
+d as (select id, part, {DISTANCE_SQL.replace("{a}", "v").replace("{b}", "q")} as d from q, v), r as (select id, part, d, row_number() over (partition by id order by d, part) as rank from d)
+select id, part, round(d, 6) as distance, rank from r where rank <= 12"""
+)
+def nearest_chunks_of_requests(i: Inputs) -> DataFrame:
+    """The 12 windows of all papers nearest to each of many requests."""
+    cut = vectors.token_windows(i.documents.select(F.col("doc_id").cast("string").alias("pmid"), "text"), "text")
+    parts = models.embed(cut.select(F.concat("pmid", F.lit(":"), F.col("start").cast("string")).alias("part"), "chunk"), "chunk").select("part", "embedding")
+    asked = models.embed(i.benchmark.select(F.col("item_id").alias("id"), "text"), "text")
+    return neighbours.nearest_many(parts, asked, 12, key="part").withColumn("distance", F.round("distance", 6))
+
+
 # --- annotation ----------------------------------------------------------------------------------------------------
 
 
