@@ -6,8 +6,9 @@ running sum inside it. A row's midpoint against equal targets names its shard, s
 and their sizes differ by less than the largest text.
 
 Edge cases: a null text has no bytes; sizes are at least 1, so the total is positive unless the table is empty, which
-gives an empty result; repeated rows and null ids (they sort first) are placed like any other, and rows equal in id,
-size and checksum are interchangeable; other columns are not read.
+gives an empty result; repeated rows and null ids (they sort first) are placed like any other; rows equal in id, size
+and checksum are interchangeable, so they travel as one row with a count and are told apart by the place they get;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from strandlake.llm.common import documents, materialise, named, shuffle_width
 
 SHARDS = 16
+#: Equal rows that one task places at a time.
+COPIES = 1 << 20
 
 
 def shard_by_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
@@ -25,18 +28,25 @@ def shard_by_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", shard
     spark = df.sparkSession
     body = F.coalesce(named(text), F.lit(""))
     rows = df.select(named(key).alias("k"), (F.octet_length(body) + F.lit(1)).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("crc"))
+    rows = rows.groupBy("k", "size", "crc").agg(F.count("*").alias("n"))
     ranged = rows.repartitionByRange(shuffle_width(spark), "k", "size", "crc").withColumn("part", F.spark_partition_id())
     ranged = materialise(ranged, "ranged")
 
     # One row per partition: its count grows with the partitions, not with the rows.
-    totals = ranged.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    totals = ranged.groupBy("part").agg(F.sum(F.col("size") * F.col("n")).alias("bytes"), F.sum("n").alias("rows"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes0"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows0"), F.sum("bytes").over(Window.partitionBy()).alias("total"))
 
-    inside = Window.partitionBy("part").orderBy("k", "size", "crc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = ranged.select("*", F.sum("size").over(inside).alias("upto"), F.row_number().over(inside).alias("nth")).join(totals, "part")
-    target = F.expr(f"((2 * (bytes0 + upto) - size) * {shards}) div (2 * total)")  # of the row's midpoint
-    placed = placed.select("k", "size", "crc", F.least(target, F.lit(shards - 1)).cast("int").alias("shard"), (F.col("rows0") + F.col("nth") - 1).alias("place"))
+    earlier = Window.partitionBy("part").orderBy("k", "size", "crc").rowsBetween(Window.unboundedPreceding, -1)
+    sums = [F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(name) for name, c in (("upto", F.col("size") * F.col("n")), ("nth", F.col("n")))]
+    at = ranged.select("*", *sums).join(totals, "part").select("k", "size", "crc", "n", (F.col("bytes0") + F.col("upto")).alias("start"), (F.col("rows0") + F.col("nth")).alias("place"), "total")
+    # The copies of a row that very many equal, in stretches that any task may take.
+    stretch = F.explode(F.expr(f"sequence(0L, n - 1, {COPIES}L)")).alias("from")
+    few = at.where(F.col("n") <= COPIES).withColumn("from", F.lit(0).cast("long"))
+    at = few.unionByName(at.where(F.col("n") > COPIES).select("*", stretch).repartition(shuffle_width(spark)))
+    copy = F.explode(F.expr(f"sequence(from, least(n, from + {COPIES}) - 1)")).alias("copy")
+    target = F.expr(f"((2 * (start + copy * size) + size) * {shards}) div (2 * total)")  # of the row's midpoint
+    placed = at.select("*", copy).select("k", "size", "crc", F.least(target, F.lit(shards - 1)).cast("int").alias("shard"), (F.col("place") + F.col("copy")).alias("place"))
     first = placed.groupBy("shard").agg(F.min("place").alias("first"))  # at most `shards` rows
     out = placed.join(F.broadcast(first), "shard")
     return out.select(F.col("k").alias(key), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("place") - F.col("first")).alias("slot"))

@@ -170,18 +170,22 @@ def held_out(key: str) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_documents: int = MAX_DOCUMENTS, max_bytes: int = MAX_BYTES) -> Model:
-    """Fit on labelled rows outside the held-out fold: at most max_documents of max_bytes in all reach the driver.
+    """Fit on labelled rows outside the held-out fold: at most max_documents rows of max_bytes in all reach the driver.
 
-    Texts of more than a third of max_bytes are never taken; ids that stand on several texts take them all.
+    Texts of more than a third of max_bytes are never taken; of ids that stand on several texts all count, as far as
+    rows and bytes go.
     """
     marked = labels.where(~held_out(key)).select(named(key).alias("k"), named(label).alias("y")).dropna().groupBy("k").agg(F.max("y").alias("y"))
     order = [F.xxhash64("k"), F.col("k")]
     toxic = marked.where("y = 1").orderBy(*order).limit(max_documents // 3)
     chosen = toxic.unionByName(marked.where("y = 0").orderBy(*order).limit(max_documents - max_documents // 3))
     rows = docs.select(named(key).alias("k"), named(text).alias("t")).join(F.broadcast(chosen), "k").withColumn("n", F.coalesce(F.octet_length("t"), F.lit(0)).cast("long"))
-    rows = materialise(rows.where(F.col("n") <= max_bytes // 3), "labelled")  # max_documents rows but for repeated ids
+    # One id may stand on any number of rows, of no bytes even: rows are bounded again before one task orders them.
+    order += ["n", F.xxhash64("t")]
+    taken = lambda y, most: rows.where((F.col("y") == y) & (F.col("n") <= max_bytes // 3)).orderBy(*order).limit(most)
+    rows = materialise(taken(1, max_documents // 3).unionByName(taken(0, max_documents - max_documents // 3)), "labelled")
     room = F.when(F.col("y") == 1, max_bytes // 3).otherwise(max_bytes - max_bytes // 3)
-    before = Window.partitionBy("y").orderBy(*order, "n", F.xxhash64("t")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("y").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("upto", F.sum("n").over(before)).where(F.col("upto") <= room).orderBy("k", "n", F.xxhash64("t")).select("t", "y").toArrow()
     return fit(rows.column("t").combine_chunks() if rows.num_rows else pa.array([], pa.string()), rows.column("y").to_numpy())
 

@@ -462,6 +462,32 @@ def test_shards_are_contiguous_balanced_and_gapless(docs, nothing):
     assert all(max(r.doc_id for r in by[a]) <= min(r.doc_id for r in by[b]) for a, b in zip(sorted(by), sorted(by)[1:], strict=False))
 
 
+def test_equal_rows_are_placed_in_stretches(spark, monkeypatch):
+    """Rows that equal one another are one row with a count until they are placed."""
+    monkeypatch.setattr(sharding, "COPIES", 64)
+    rows = [(None, None)] * 1000 + [(1, "abc")] * 64 + [(1, "abd")] * 65 + [(i, "x" * i) for i in range(2, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = sharding.shard_by_bytes(df, shards=5).collect()
+    want = collections.Counter((i, len(t or "") + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert collections.Counter((r.doc_id, r["size"], r.text_crc32) for r in out) == want
+    total = sum(r["size"] for r in out)
+    for s in range(5):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+        assert abs(sum(r["size"] for r in out if r.shard == s) - total / 5) <= 9
+
+
+def test_an_id_on_many_texts_does_not_fill_the_sample(spark):
+    docs = spark.createDataFrame([(1, "")] * 500 + [(i, f"word{i} here") for i in range(2, 60)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    seen = []
+    old, toxicity.fit = toxicity.fit, lambda texts, y: seen.append(len(y)) or old(texts, y)
+    try:
+        toxicity.train(docs, marks, max_documents=30)
+    finally:
+        toxicity.fit = old
+    assert seen[0] <= 30
+
+
 # 5 ------------------------------------------------------------------------------------------------------------------
 
 
