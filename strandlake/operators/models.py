@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.session import kept, shared_path
+
 Model = Callable[[list[str]], list[str]]
 _models: dict[str, Callable[[], Model]] = {}
 
@@ -40,6 +43,66 @@ def ask(df: DataFrame, prompt: str, model: str = "stub", out: str = "answer") ->
     return df.withColumn(out, call.asNondeterministic()(F.col(prompt)))
 
 
+ANSWER_SCHEMA = "model string, digest binary, answer string"
+
+
+def _tried(answer: Model, prompts: list[str], attempts: int, pause: float) -> list[tuple[str | None, str | None]]:
+    """(answer, error) of each prompt: all together, then after longer and longer pauses, then one by one."""
+    for attempt in range(attempts):
+        try:
+            said = answer(prompts)
+            if len(said) != len(prompts):
+                raise ValueError(f"{len(said)} answers to {len(prompts)} prompts")
+            return [(a, None if a is not None else "no answer") for a in said]
+        except Exception as e:  # a model may fail in any way, and what it says is kept with the prompt
+            error = f"{type(e).__name__}: {e}"
+            if attempt + 1 < attempts:
+                time.sleep(pause * 2**attempt)
+    if len(prompts) == 1:
+        return [(None, error)]
+    return [x for p in prompts for x in _tried(answer, [p], attempts, pause)]
+
+
+def ask_once(df: DataFrame, prompt: str, model: str = "stub", cache: str | None = None, out: str = "answer", attempts: int = 3, pause: float = 0.5, batch: int = 32, least_seconds: float = 0.0) -> DataFrame:
+    """df with the answer to each prompt and, in <out>_error, why there is none.
+
+    Each distinct prompt is asked once, whatever the number of rows that hold it, and only if the table of answers at
+    cache (Parquet in the shared folder, one part a model) does not have it: answers outlive a run, and a run that is
+    repeated asks only what failed. A call takes up to batch prompts; a failing call is tried again after pause, twice
+    that and so on, and then prompt by prompt, so one bad prompt is one row with an error. least_seconds lie between
+    the starts of two calls of a task; a cluster's rate is that times the number of tasks at work. A null prompt is the
+    empty one. Without cache the table is a new one that goes with the session.
+    """
+    spark, factory = df.sparkSession, _models[model]
+    cache = cache or shared_path(spark, "answers")
+    spark.createDataFrame([], ANSWER_SCHEMA).write.mode("append").partitionBy("model").parquet(cache)
+    digest = F.unhex(F.sha2(F.coalesce(F.col(prompt), F.lit("")).cast("binary"), 256))
+
+    def known() -> DataFrame:
+        rows = spark.read.schema(ANSWER_SCHEMA).parquet(cache).where(F.col("model") == model)
+        return rows.groupBy("digest").agg(F.first("answer").alias("_answer"))  # runs side by side may both have asked
+
+    wanted = df.select(digest.alias("digest"), F.coalesce(F.col(prompt), F.lit("")).alias("prompt")).join(known(), "digest", "left_anti")
+    wanted = wanted.groupBy("digest").agg(F.first("prompt").alias("prompt"))
+
+    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        answer, due = factory(), 0.0
+        for pdf in batches:
+            for a in range(0, len(pdf), batch):
+                part = pdf.iloc[a : a + batch]
+                time.sleep(max(0.0, due - time.monotonic()))
+                due = time.monotonic() + least_seconds
+                said = _tried(answer, part["prompt"].tolist(), attempts, pause)
+                yield pd.DataFrame({"digest": part["digest"].to_numpy(), "answer": [x for x, _ in said], "error": [x for _, x in said]})
+
+    # Written before anything reads it: no later stage asks again.
+    asked = kept(wanted.mapInPandas(call, "digest binary, answer string, error string"))
+    asked.where("error is null").select(F.lit(model).alias("model"), "digest", "answer").write.mode("append").partitionBy("model").parquet(cache)
+    failed = asked.where("error is not null").select("digest", F.col("error").alias("_error"))
+    rows = df.withColumn("_digest", digest).join(known().withColumnRenamed("digest", "_digest"), "_digest", "left").join(failed.withColumnRenamed("digest", "_digest"), "_digest", "left")
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_answer").alias(out), F.col("_error").alias(f"{out}_error"))
+
+
 #: Of a word's MD5 in hex: so many digits name its place, and the next one its sign.
 _PLACE = 8
 

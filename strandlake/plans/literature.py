@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.operators import network, search
+from strandlake.functions import texts
+from strandlake.operators import models, network, search
+from strandlake.plans.catalog import render_sql, stub_sql
 from strandlake.plans.fixtures import Inputs
 from strandlake.plans.registry import query
 from strandlake.session import kept
@@ -45,3 +47,15 @@ def unfiltered_partners(i: Inputs) -> DataFrame:
     """Partners by the interaction files alone, the scored network left out."""
     found = network.choose_source("intact_biogrid", network.edges(i.ppi_intact, i.ppi_biogrid), i.fi, use_filter=False)
     return found.select("gene", "partner", F.size("pmids").cast("long").alias("n_publications"))
+
+
+# --- models --------------------------------------------------------------------------------------------------------
+
+
+@query(f"""select a.pmid, {stub_sql(render_sql("abstract_match", text="a.abstract"))} as answer, null::varchar as answer_error, count(*) over (partition by coalesce(a.abstract, '')) as n_same from {{abstracts}} a""")
+def answers_once(i: Inputs) -> DataFrame:
+    """A model's answer on every abstract; copies of an abstract are one call, whose answer all of them get."""
+    prompts = i.abstracts.withColumn("prompt", texts.render("abstract_match", text=F.col("abstract")))
+    same = prompts.groupBy(F.sha2(F.coalesce("prompt", F.lit("")).cast("binary"), 256).alias("d")).agg(F.count("*").alias("n_same"))
+    out = models.ask_once(prompts, "prompt").withColumn("d", F.sha2(F.coalesce("prompt", F.lit("")).cast("binary"), 256))
+    return out.join(same, "d").select("pmid", "answer", "answer_error", "n_same")
