@@ -166,3 +166,41 @@ def tool_status(calls: DataFrame, payload: str = "payload", raised: str = "raise
     """calls with end or error: an exception, or a JSON payload whose status is failed or error."""
     said = F.try_variant_get(F.try_parse_json(F.col(payload)), "$.status", "string")
     return calls.withColumn("outcome", F.when(F.col(raised) | F.coalesce(said.isin("failed", "error"), F.lit(False)), "error").otherwise("end"))
+
+
+def transitions(events: DataFrame, timeout_ms: int, until: int | None = None) -> DataFrame:
+    """job_id, event_id, outcome and status of events (job_id, event_id, ts, status), as the state machine of the job
+    stream gives them (streaming.job_states says what they mean).
+
+    until is the time, in milliseconds, up to which silence counts; without it a job is never timed out after its last
+    event. All is windows over a job's events in order, so a hot job is sorted on disk, not held in memory.
+    """
+    order = Window.partitionBy("job_id").orderBy("ms", "event_id")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    closing = F.col("status").isin("end", "error")
+    rows = events.where(F.col("job_id").isNotNull()).select("job_id", "event_id", "status", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    rows = rows.withColumn("nth", F.row_number().over(order))
+    rows = rows.withColumn("begun", F.min(F.when(F.col("status") == "start", F.col("nth"))).over(so_far))
+    counts = (F.col("nth") == F.col("begun")) | (F.col("nth") > F.col("begun")) & (F.col("status") != "start")
+    rows = rows.withColumn("counts", F.coalesce(counts, F.lit(False)))
+    # Of the events that count: the one before, and whether the job had ended or fallen silent by then.
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.when(F.col("counts"), F.struct("nth", "ms", closing.alias("closing")))).over(before)
+    rows = rows.withColumn("last", last).withColumn("late", F.coalesce(F.col("ms") > F.col("last.ms") + timeout_ms, F.lit(False)))
+    ended = F.col("counts") & (F.col("late") | F.coalesce(F.col("last.closing"), F.lit(False)))
+    rows = rows.withColumn("closed", F.max(F.when(F.col("counts"), ended).otherwise(False)).over(so_far))
+    accepted = F.col("counts") & ~F.col("closed")
+    own = F.when(F.col("nth") == F.col("begun"), "submitted").when(F.col("status") == "end", "done").when(F.col("status") == "error", "error").otherwise("running")
+    rows = rows.withColumn("accepted", accepted).withColumn("own", F.when(accepted, own))
+    # A job is silent at its first event that comes too late, or at the end; the row says what it was silent after.
+    kept = F.last("own", ignorenulls=True).over(so_far)
+    final = F.max(F.when(F.col("accepted"), F.struct("nth", "ms", "own"))).over(Window.partitionBy("job_id"))
+    rows = rows.withColumn("held", kept).withColumn("final", final)
+    silent = F.col("final.own").isin("submitted", "running")
+    gone = silent & (F.col("ms") > F.col("final.ms") + timeout_ms)
+    outcome = F.when(F.col("accepted"), "accepted").when(F.col("begun").isNull(), "early").when(F.col("status") == "start", "repeated").otherwise("closed")
+    each = rows.select("job_id", "event_id", outcome.alias("outcome"), F.when(gone, "timeout").otherwise(F.col("held")).alias("status"))
+    end = F.max("ms").over(Window.partitionBy("job_id"))
+    until_ = end if until is None else F.greatest(end, F.lit(until))
+    timed = rows.withColumn("end", until_).where(F.col("accepted") & (F.col("nth") == F.col("final.nth")) & silent & (F.col("end") > F.col("ms") + timeout_ms))
+    return each.unionByName(timed.select("job_id", F.lit(None).cast("long").alias("event_id"), F.lit("timeout").alias("outcome"), F.lit("timeout").alias("status")))

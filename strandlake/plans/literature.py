@@ -1,4 +1,4 @@
-"""Registered queries of the literature side: boolean search, article files, nearest texts of many requests."""
+"""Registered queries of the literature side (boolean search, partners by source, models asked once) and of job states."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import texts
-from strandlake.operators import models, network, search
+from strandlake.operators import jobs, models, network, search
 from strandlake.plans.catalog import render_sql, stub_sql
 from strandlake.plans.fixtures import Inputs
 from strandlake.plans.registry import query
@@ -59,3 +59,26 @@ def answers_once(i: Inputs) -> DataFrame:
     same = prompts.groupBy(F.sha2(F.coalesce("prompt", F.lit("")).cast("binary"), 256).alias("d")).agg(F.count("*").alias("n_same"))
     out = models.ask_once(prompts, "prompt").withColumn("d", F.sha2(F.coalesce("prompt", F.lit("")).cast("binary"), 256))
     return out.join(same, "d").select("pmid", "answer", "answer_error", "n_same")
+
+
+# --- job states ----------------------------------------------------------------------------------------------------
+
+#: Half a day without an event that counts.
+_SILENCE = 43_200_000
+
+
+@query(
+    f"""with e as (select job_id, event_id, status, epoch_ms(ts) as ms, row_number() over (partition by job_id order by epoch_ms(ts), event_id) as n from {{job_events}} where job_id is not null),
+f(job_id, n, event_id, outcome, state, last, timed) as (
+  select distinct job_id, 0::bigint, null::bigint, null::varchar, null::varchar, null::bigint, false from e
+  union all
+  select job_id, n, event_id, outcome, case when outcome <> 'accepted' then s0 when s0 is null then 'submitted' when status = 'end' then 'done' when status = 'error' then 'error' else 'running' end, case when outcome = 'accepted' then ms else last end, timed
+  from (select *, case when s0 is null then case when status = 'start' then 'accepted' else 'early' end when status = 'start' then 'repeated' when s0 in ('submitted', 'running') then 'accepted' else 'closed' end as outcome
+    from (select e.*, f.last, coalesce(f.state in ('submitted', 'running') and e.ms > f.last + {_SILENCE}, false) as timed, case when f.state in ('submitted', 'running') and e.ms > f.last + {_SILENCE} then 'timeout' else f.state end as s0
+      from f join e on e.job_id = f.job_id and e.n = f.n + 1) g) h)
+select job_id, event_id, outcome, state as status from f where n > 0 union all select job_id, null, 'timeout', 'timeout' from f where timed""",
+    recursive=True,
+)
+def job_transitions(i: Inputs) -> DataFrame:
+    """What each event does to the state of its job, and the jobs that fell silent."""
+    return jobs.transitions(i.job_events, _SILENCE)
