@@ -1,11 +1,11 @@
-"""Registered queries of the literature side (boolean search, partners by source, models asked once) and of job states."""
+"""Registered queries of the literature side (boolean search, partners by source, models asked once) of job states and of record schemas."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.functions import texts
+from strandlake.functions import schema_native, texts
 from strandlake.operators import jobs, models, network, search
 from strandlake.plans.catalog import render_sql, stub_sql
 from strandlake.plans.fixtures import Inputs
@@ -82,3 +82,23 @@ select job_id, event_id, outcome, state as status from f where n > 0 union all s
 def job_transitions(i: Inputs) -> DataFrame:
     """What each event does to the state of its job, and the jobs that fell silent."""
     return jobs.transitions(i.job_events, _SILENCE)
+
+
+# --- record schemas ------------------------------------------------------------------------------------------------
+
+_SCHEMA = {
+    "type": "object",
+    "properties": {
+        "entities": {"type": "array", "maxItems": 2, "items": {"anyOf": [{"$ref": "#/$defs/named"}, {"required": ["class"]}]}},
+        "reactions": {"items": {"oneOf": [{"required": ["class"]}, {"properties": {"displayName": {"type": "null"}}}]}},
+        "pathways": {"type": "array", "items": {"type": "object", "additionalProperties": {"type": "string", "pattern": "^b"}}},
+    },
+    "$defs": {"named": {"type": "object", "required": ["displayName"], "properties": {"displayName": {"type": "string", "maxLength": 6}}}},
+}
+
+
+@query("""select s_suppkey as batch_id, concat_ws('|', case when s_acctbal < 0 then '$.entities: too many items' end, case when s_nationkey >= 12 then concat('$.entities[', case when s_acctbal < 0 then '2' else '1' end, ']: fits none of the alternatives') end,
+case when s_acctbal > 5000 then '$.reactions[0]: fits 2 of the alternatives, not one' end, case when s_nationkey < 20 then '$.pathways[0].displayName: does not match the pattern' end) as errors from {supplier}""")
+def schema_report(i: Inputs) -> DataFrame:
+    """Violations of a schema with alternatives, references and patterns, as a native expression."""
+    return i.batches.select("batch_id", F.array_join(schema_native.compiled(_SCHEMA)("doc"), "|").alias("errors"))
