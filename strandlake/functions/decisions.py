@@ -56,10 +56,17 @@ def consensus(votes: DataFrame, sure: float = 0.7) -> DataFrame:
 
 
 def consensus_report(votes: DataFrame, sure: float = 0.7) -> DataFrame:
-    """consensus with the distinct required revisions and blocking issues of a gene's votes (arrays), sorted."""
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<string>"))))))
-    lists = votes.groupBy("gene").agg(union("required_revisions").alias("required_revisions"), union("blocking_issues").alias("blocking_issues"))
-    return consensus(votes, sure).join(lists, "gene")
+    """consensus with the distinct required revisions and blocking issues of a gene's votes (arrays), sorted.
+
+    Each text of a list is a row until it is distinct, so votes that say the same are never gathered.
+    """
+    kinds = ("required_revisions", "blocking_issues")
+    tagged = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.struct(F.lit(c).alias("kind"), x.alias("text")))
+    said = F.flatten(F.array(*map(tagged, kinds)))
+    each = votes.select("gene", F.explode(said).alias("x")).select("gene", "x.kind", "x.text").where(F.col("text").isNotNull()).distinct()
+    lists = each.groupBy("gene").agg(*[F.array_sort(F.collect_set(F.when(F.col("kind") == c, F.col("text")))).alias(c) for c in kinds])
+    out = consensus(votes, sure).join(lists, "gene", "left")
+    return out.select(*[c for c in out.columns if c not in kinds], *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in kinds])
 
 
 def vote_decision(high: Column, issues: Column) -> Column:

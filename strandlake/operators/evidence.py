@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import vectors
+from strandlake.session import kept
 
 #: Vectors on either side of one block product.
 BLOCK = 2048
@@ -83,15 +84,24 @@ def block_products(left: DataFrame, right: DataFrame, a: str, b: str, reduce: st
     return dealt[0].groupBy("i", "j").cogroup(dealt[1].groupBy("i", "j")).applyInPandas(product, f"{a} {kinds[0]}, {b} {kinds[1]}, score double")
 
 
-def pair_scores(left: DataFrame, right: DataFrame, keys: tuple[str, str], how: str = "avg") -> DataFrame:
-    """Mean or maximum cosine over all chunk pairs of each (left key, right key).
+def pair_scores(left: DataFrame, right: DataFrame, keys: tuple[str, str], how: str = "avg", least: float | None = None) -> DataFrame:
+    """Mean or maximum cosine, of at least `least`, over all chunk pairs of each (left key, right key).
 
-    A mean needs one product of mean unit vectors per (left key, right key), and no pair of chunks is formed.
+    A mean needs one product of mean unit vectors per (left key, right key), and no pair of chunks is formed. The means
+    are written once, since they are counted before they are multiplied.
     """
     a, b = keys
     if how == "avg":
-        return block_products(mean_units(left, a), mean_units(right, b), a, b, unit=False)
-    return block_products(left, right, a, b, "max")
+        return block_products(kept(mean_units(left, a)), kept(mean_units(right, b)), a, b, least=least, unit=False)
+    return block_products(left, right, a, b, "max", least)
+
+
+def scores_of(pairs: DataFrame, left: DataFrame, right: DataFrame, keys: tuple[str, str]) -> DataFrame:
+    """The maximum cosine over the chunk pairs of the given (left key, right key) only; pairs without vectors have no row."""
+    a, b = keys
+    asked = pairs.select(a, b).distinct()
+    met = asked.join(left.select(a, vectors.unit(F.col("embedding")).alias("va")), a).join(right.select(b, vectors.unit(F.col("embedding")).alias("vb")), b)
+    return met.groupBy(a, b).agg(F.max(vectors.dot(F.col("va"), F.col("vb"))).alias("score")).where(F.col("score").isNotNull())
 
 
 def nearest(chunks: DataFrame, query: list[float], k: int = 12, cutoff: float | None = None, key: str = "vec_id") -> DataFrame:
@@ -113,9 +123,9 @@ def nearest_per(chunks: DataFrame, query: list[float], group: str, key: str, k:
 
 def rank_evidence(scored: DataFrame, least_cosine: float = 0.4, least_score: int = 3, n: int = 3, by: tuple[str, ...] = ("pathway",)) -> DataFrame:
     """Per pathway (or other keys) the n best texts: cosine at least the cutoff, reply score missing or at least its cutoff."""
-    kept = scored.where((F.col("cos_score") >= least_cosine) & (F.col("llm_score").isNull() | (F.col("llm_score") >= least_score)))
+    best = scored.where((F.col("cos_score") >= least_cosine) & (F.col("llm_score").isNull() | (F.col("llm_score") >= least_score)))
     order = Window.partitionBy(*by).orderBy(F.col("cos_score").desc(), F.col("llm_score").desc_nulls_last(), "pmid")
-    return kept.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n)
+    return best.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n)
 
 
 def select_for_interactions(texts: DataFrame, group: str, n: int = 8) -> DataFrame:

@@ -112,6 +112,20 @@ def from_the_end(rows: DataFrame, ord: str = "ord") -> DataFrame:
     return rows.crossJoin(F.broadcast(last)).withColumn("position", F.col("_last") - F.col(ord)).drop("_last")  # one row
 
 
+def numbered(rows: DataFrame, *order: str, ord: str = "ord") -> DataFrame:
+    """rows with ord: 0, 1, 2 ... in this order.
+
+    Rows are dealt to ranges of the order and written; a row's number is its place in its range and what the ranges
+    before it hold, so no task has more than a range.
+    """
+    run, n, start, inside = (f"_{name}" + "_" * max(map(len, rows.columns)) for name in ("run", "n", "start", "inside"))  # longer than any name of rows
+    ranged = kept(rows.repartitionByRange(*order).withColumn(run, F.spark_partition_id()))
+    earlier = Window.orderBy(run).rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(run).agg(F.count("*").alias(n)).select(run, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(start))  # a row for each range
+    placed = ranged.withColumn(inside, F.row_number().over(Window.partitionBy(run).orderBy(*order)) - 1).join(starts, run)
+    return placed.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col(start) + F.col(inside)).cast("long").alias(ord))
+
+
 def merged(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
     """Two key-value tables as one; where both have a key the right one's value counts."""
     r = right.select(key, F.col(value).alias("_right"), F.lit(True).alias("_has"))

@@ -65,7 +65,7 @@ def complex_roles(i: Inputs) -> DataFrame:
 
 @query("with t as (select c_custkey as pathway, row_number() over (order by c_custkey) - 1 as ord from {customer}), o as (select o_custkey, count(*) as n from {orders} group by o_custkey) select pathway, (select max(ord) from t) - ord as position, coalesce(o.n, 0) as n from t left join o on o.o_custkey = t.pathway")
 def hierarchy_reversed(i: Inputs) -> DataFrame:
-    rows = i.customer.select(F.col("c_custkey").alias("pathway"), (F.row_number().over(Window.orderBy("c_custkey")) - 1).cast("long").alias("ord"))
+    rows = graph.numbered(i.customer.select(F.col("c_custkey").alias("pathway")), "pathway")
     counts = i.orders.groupBy(F.col("o_custkey").alias("pathway")).agg(F.count("*").alias("n"))
     return graph.with_counts(graph.from_the_end(rows), counts).select("pathway", "position", "n")
 
@@ -402,7 +402,7 @@ def _cited(i: Inputs) -> tuple[DataFrame, DataFrame]:
     best = enrichment.top(_enriched(i, partners, _WIDE)).select("query_gene", F.col("pathway_id").alias("pathway"))
     mapped = best.join(i.membership.select(F.col("pathway_id").alias("pathway"), F.col("gene").alias("partner")), "pathway").join(partners, ["query_gene", "partner"])
     ids = mapped.select("query_gene", "pathway", F.explode("pmids").alias("pmid")).withColumn("pmid", F.col("pmid").cast("string")).distinct()
-    score = evidence.pair_scores(i.pathway_vectors, i.paper_vectors, ("pathway", "pmid"), "max").withColumn("score", F.round("score", 9))
+    score = evidence.scores_of(ids, i.pathway_vectors, i.paper_vectors, ("pathway", "pmid")).withColumn("score", F.round("score", 9))
     found = evidence.with_abstracts(ids, i.abstracts).join(score, ["pathway", "pmid"], "left").withColumn("name", _named("Pathway ", "pathway"))
     return found, mapped.select("query_gene", "pathway", "partner")
 

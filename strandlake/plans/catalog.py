@@ -607,7 +607,7 @@ def annotate_gene(i: Inputs) -> DataFrame:
     annotated = i.membership.select(F.col("gene").alias("query_gene"), "pathway_id")
     chosen = enrichment.top(enrichment.without_annotated(enrichment.partner_enrichment(_partners(i), _listed(i), None), annotated))
     pathways = chosen.join(i.pathway_chunks.withColumnRenamed("pathway", "label"), F.col("pathway_id") % 10 == F.col("label")).select(F.col("pathway_id").alias("pathway"), "embedding", "fdr")
-    cos = evidence.pair_scores(pathways, i.abstract_chunks, ("pathway", "doc")).select("pathway", F.col("doc").cast("string").alias("pmid"), F.col("score").alias("cos_score"))
+    cos = evidence.pair_scores(pathways, i.abstract_chunks, ("pathway", "doc"), least=0.05).select("pathway", F.col("doc").cast("string").alias("pmid"), F.col("score").alias("cos_score"))
     prompts = cos.where("cos_score >= 0.05").join(i.abstracts, "pmid").withColumn("prompt", texts.render("abstract_match", text=F.col("abstract")))
     scored = models.ask(prompts, "prompt").withColumn("llm_score", parsing.reply_score("answer").cast("long"))
     best = evidence.rank_evidence(scored, 0.05).select(F.lit(GENE).cast("long").alias("query_gene"), "pathway", "pmid", F.round("cos_score", 6).alias("cos_score"), "llm_score", "rank")
@@ -622,7 +622,7 @@ def annotate_all_genes(i: Inputs) -> DataFrame:
     annotated = i.membership.select(F.col("gene").alias("query_gene"), "pathway_id")
     chosen = enrichment.top(enrichment.without_annotated(enrichment.partner_enrichment(partners, _listed(i), None), annotated)).select("query_gene", F.col("pathway_id").alias("pathway"))
     pathways = chosen.select("pathway").distinct().join(i.pathway_chunks.withColumnRenamed("pathway", "label"), F.col("pathway") % 10 == F.col("label")).select("pathway", "embedding")
-    cos = evidence.pair_scores(pathways, i.abstract_chunks, ("pathway", "doc")).select("pathway", F.col("doc").cast("string").alias("pmid"), F.col("score").alias("cos_score"))
+    cos = evidence.pair_scores(pathways, i.abstract_chunks, ("pathway", "doc"), least=0.05).select("pathway", F.col("doc").cast("string").alias("pmid"), F.col("score").alias("cos_score"))
     prompts = cos.where("cos_score >= 0.05").join(i.abstracts, "pmid").withColumn("prompt", texts.render("abstract_match", text=F.col("abstract")))
     scored = models.ask(prompts, "prompt").withColumn("llm_score", parsing.reply_score("answer").cast("long"))
     best = evidence.rank_evidence(scored, 0.05).select("pathway", "pmid", F.round("cos_score", 6).alias("cos_score"), "llm_score", "rank")

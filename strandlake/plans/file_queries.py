@@ -10,7 +10,7 @@ from strandlake.plans.catalog import _PARSED
 from strandlake.plans.fixtures import Inputs
 from strandlake.plans.registry import query
 from strandlake.session import shared_path
-from strandlake.sources import articles, files
+from strandlake.sources import articles, files, matrix
 
 # --- articles ------------------------------------------------------------------------------------------------------
 
@@ -130,3 +130,13 @@ def result_files(i: Inputs) -> DataFrame:
     out = out.unionByName(each.select(F.lit("batch").alias("kind"), "gene", F.lit("true").alias("ok"), F.col("quality_score").alias("quality"), F.col("instances_created").alias("instances")))
     out = out.unionByName(total.select(F.lit("total").alias("kind"), F.col("total_genes").cast("string").alias("gene"), F.col("successful").cast("string").alias("ok"), none("double").alias("quality"), none("long").alias("instances")))
     return out.unionByName(spark.read.text(f"{path}/text").select(F.lit("text").alias("kind"), F.col("value").alias("gene"), none("string").alias("ok"), none("double").alias("quality"), none("long").alias("instances")))
+
+
+@query("""with v as (select vec_id % 97 as db_id, concat('v', label::varchar) as display_name, case when vec_id % 3 = 0 then '-1' else (vec_id // 97)::varchar end as start_index, embedding from {embeddings})
+select row_number() over (order by db_id, start_index::bigint, display_name) - 1 as row, db_id, display_name, start_index, len(embedding)::bigint as dims from v""")
+def matrix_file(i: Inputs) -> DataFrame:
+    """Vectors as a dense matrix with the owner of every row, read back."""
+    path = shared_path(i.spark, "matrix")
+    start = F.when(F.col("vec_id") % 3 != 0, F.expr("vec_id div 97"))
+    matrix.save_matrix(i.embeddings.select((F.col("vec_id") % 97).alias("db_id"), F.concat(F.lit("v"), F.col("label").cast("string")).alias("display_name"), start.alias("start_index"), "embedding"), path, 64)
+    return matrix.matrix_rows(i.spark, path).select("row", "db_id", "display_name", "start_index", F.size("vector").cast("long").alias("dims"))
