@@ -549,6 +549,37 @@ def task_text(i: Inputs) -> DataFrame:
     return made.select("doc_id", F.length("prompt").cast("long").alias("n_chars"), md5("prompt").alias("prompt_md5"))
 
 
+_SHOWN = {c: f"left(coalesce({c}, ''), 4000)" for c in ("text", "source")}
+_TASKS = {
+    "extraction_task": render_sql("extraction_task", gene="doc_id", branch="lang"),
+    "curation_task": render_sql("curation_task", gene="doc_id", extraction=_SHOWN["text"]),
+    "review_task": render_sql("review_task", gene="doc_id", threshold="'0.7'", curation=_SHOWN["text"]),
+    "qa_task": render_sql("qa_task", gene="doc_id", threshold="'0.7'", curation=_SHOWN["text"], review=_SHOWN["source"]),
+    "consensus_task": render_sql("consensus_task", gene="doc_id", votes="left(concat('[', string_agg(decision, ', ' order by voter), ']'), 4000)"),
+}
+
+
+@query(
+    " union all ".join(f"select doc_id, '{name}' as task, length({sql})::bigint as n_chars, md5({sql}) as prompt_md5 from {{documents}}" for name, sql in _TASKS.items() if name != "consensus_task")
+    + f" union all select doc_id, 'consensus_task', length(p)::bigint, md5(p) from (select gene as doc_id, {_TASKS['consensus_task'].replace('doc_id', 'gene')} as p from {{votes}} group by gene)"
+)
+def workflow_tasks(i: Inputs) -> DataFrame:
+    """The texts of all tasks of the workflow but the votes: one row for each record and task, for the consensus for each gene."""
+    gene, threshold = F.col("doc_id"), "0.7"
+    made = {
+        "extraction_task": texts.render("extraction_task", gene=gene, branch=F.col("lang")),
+        "curation_task": texts.task("curation_task", {"extraction": F.col("text")}, gene=gene),
+        "review_task": texts.task("review_task", {"curation": F.col("text")}, gene=gene, threshold=threshold),
+        "qa_task": texts.task("qa_task", {"curation": F.col("text"), "review": F.col("source")}, gene=gene, threshold=threshold),
+    }
+    each = i.documents.select("doc_id", F.explode(F.array(*[F.struct(F.lit(n).alias("task"), p.alias("prompt")) for n, p in made.items()])).alias("t")).select("doc_id", "t.*")
+    # A vote takes more than one character, so the shown text needs no more votes than it has characters.
+    nth = F.row_number().over(Window.partitionBy("gene").orderBy("voter"))
+    votes = i.votes.withColumn("nth", nth).where(F.col("nth") <= texts.CONTEXT).groupBy(F.col("gene").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("voter", "decision"))), lambda v: v["decision"]).alias("v"))
+    last = votes.select("doc_id", F.lit("consensus_task").alias("task"), texts.task("consensus_task", {"votes": F.concat(F.lit("["), F.array_join("v", ", "), F.lit("]"))}, gene=gene).alias("prompt"))
+    return each.unionByName(last).select("doc_id", "task", F.length("prompt").cast("long").alias("n_chars"), md5("prompt").alias("prompt_md5"))
+
+
 @query("""select 'phases' as part, ord, name from (values (0, 'phase_1_literature_extraction'), (1, 'phase_2_data_model_creation'), (2, 'phase_3_expert_review'), (3, 'phase_4_quality_assurance'), (4, 'phase_5_final_consensus')) t(ord, name)
 union all select 'agents', ord, name from (values (0, 'extractor'), (1, 'curator'), (2, 'reviewer'), (3, 'qa_checker')) t(ord, name)""".replace("ord, name from", "ord::bigint as ord, name from"))
 def dashboard_tables(i: Inputs) -> DataFrame:
