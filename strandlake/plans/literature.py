@@ -14,11 +14,12 @@ from strandlake.session import kept
 
 _SINCE, _UNTIL = "1992-06-01", "1998-03-31"
 
-#: Every text scanned for every request: words between double blanks, so that neighbours don't share a blank.
-_SCAN = r"""tok as (select pmid, concat(' ', array_to_string(regexp_extract_all(lower(abstract), '[\p{L}\p{N}]+'), '  '), ' ') as t from {dated_abstracts} where published between date '{since}' and date '{until}'),
-ask as (select id, list_distinct(list_concat(regexp_extract_all(lower(a), '[\p{L}\p{N}]+'), regexp_extract_all(lower(b), '[\p{L}\p{N}]+'))) as ab, regexp_extract_all(lower(c), '[\p{L}\p{N}]+') as c, concat(' ', array_to_string(regexp_extract_all(lower(d), '[\p{L}\p{N}]+'), '  '), ' ') as d from {boolean_searches}),
+#: Every text scanned for every request: words between double blanks, so that neighbours don't share a blank. A phrase is
+#: counted at every place, as those of one word twice overlap.
+_SCAN = r"""tok as (select pmid, regexp_extract_all(lower(abstract), '[\p{L}\p{N}]+') as w, concat(' ', array_to_string(regexp_extract_all(lower(abstract), '[\p{L}\p{N}]+'), '  '), ' ') as t from {dated_abstracts} where published between date '{since}' and date '{until}'),
+ask as (select id, list_distinct(list_concat(regexp_extract_all(lower(a), '[\p{L}\p{N}]+'), regexp_extract_all(lower(b), '[\p{L}\p{N}]+'))) as ab, regexp_extract_all(lower(c), '[\p{L}\p{N}]+') as c, regexp_extract_all(lower(d), '[\p{L}\p{N}]+') as dl, concat(' ', array_to_string(regexp_extract_all(lower(d), '[\p{L}\p{N}]+'), '  '), ' ') as d from {boolean_searches}),
 m as (select id, pmid, list_transform(ab, lambda w: (length(t) - length(replace(t, concat(' ', w, ' '), '')))::bigint // (length(w) + 2)) as nab, list_transform(c, lambda w: (length(t) - length(replace(t, concat(' ', w, ' '), '')))::bigint // (length(w) + 2)) as nc,
-  (length(t) - length(replace(t, d, '')))::bigint // length(d) as nd from ask, tok where contains(t, d)),
+  len(list_filter(range(1, len(w) - len(dl) + 2), lambda k: w[k:k + len(dl) - 1] = dl)) as nd from ask, tok where contains(t, d)),
 s as (select id, pmid, case when list_min(nab) > 0 then list_sum(nab) else 0 end + case when list_min(nc) > 0 then list_sum(nc) else 0 end as n, nd from m),
 r as (select id, pmid, (n + nd)::bigint as hits, row_number() over (partition by id order by n + nd desc, pmid::bigint) as rank from s where n > 0)""".replace("{since}", _SINCE).replace("{until}", _UNTIL)
 
