@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", list(registry.ORACLES))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "labels"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df, rel = registry.QUERIES[name](spark, SF), con.sql(registry.ORACLES[name])
     cols = sorted(df.columns)
@@ -23,7 +23,7 @@ def test_oracle(spark, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["op2_piece_codec", "op3_line_dedup", "op7_substring_dedup", "op9_toxicity", "op10_token_counts"])
+@pytest.mark.parametrize("name", ["op2_piece_codec", "op3_line_dedup", "op7_substring_dedup", "op9_toxicity", "op10_token_counts", "op11_bpe_codec", "op13_manifest"])
 def test_one_row_a_document(spark, name):
     documents = spark.read.parquet(f"{SF}/documents.parquet").count()
     rows = registry.QUERIES[name](spark, SF)
