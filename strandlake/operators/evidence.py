@@ -53,7 +53,7 @@ def block_products(left: DataFrame, right: DataFrame, a: str, b: str, reduce: st
     """a, b, score: the product of every vector of left (a, embedding) with every one of right (b, embedding).
 
     Both sides are dealt to blocks of about BLOCK vectors by the hash of the key, and each pair of blocks is one matrix
-    product. reduce "max" keeps the largest product of each (a, b); least drops smaller
+    product. Block numbers are ints on either side: equal numbers of different types hash to different partitions. reduce "max" keeps the largest product of each (a, b); least drops smaller
     ones, and vectors without length have no product. Nothing is broadcast: a vector travels once for each block of the
     other side. The number of products is that of all pairs, as an all-pairs score asks for; only results leave a block.
     """
@@ -61,7 +61,7 @@ def block_products(left: DataFrame, right: DataFrame, a: str, b: str, reduce: st
     blocks = [-(-max(1, s.count()) // BLOCK) for s in sides]
     dealt = []
     for side, (rows, own, other) in enumerate(zip(sides, blocks, blocks[::-1], strict=True)):
-        mine, theirs = F.pmod(F.xxhash64("key"), F.lit(own)).alias("ij"[side]), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("ji"[side])
+        mine, theirs = F.pmod(F.xxhash64("key"), F.lit(own)).cast("int").alias("ij"[side]), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("ji"[side])
         dealt.append(rows.select("key", "embedding", mine, theirs))
     kinds = [s.schema["key"].dataType.simpleString() for s in sides]
 
