@@ -119,3 +119,55 @@ def test_reply_score_and_names(spark):
     named = spark.createDataFrame([("a: b\n\nc",)], "t string")
     assert named.select(parsing.leading_names("t")).first()[0] == ["a", "", "c"]
     assert named.select(parsing.flat_publications(F.array(F.lit("1|2"), F.lit("")))).first()[0] == ["1", "2", ""]
+
+
+def _enrichment_case(spark):
+    membership = [(p, g) for p in range(60) for g in range(90) if (g * 7 + p * 5) % (3 + p % 9) == 0] + [(0, 0)]
+    partners = {q: [g for g in range(0, 100) if (g * q) % 7 < 2] for q in range(1, 30)}
+    m = spark.createDataFrame(membership, "pathway_id long, gene long")
+    return membership, partners, m, spark.createDataFrame([(q, g) for q, gs in partners.items() for g in gs], "query_gene long, partner long")
+
+
+@pytest.mark.parametrize("at_once", [1 << 20, 40])
+def test_enrichment_in_pieces_with_text_ids(spark, monkeypatch, at_once):
+    """Genes that span tables, and genes of more rows than fit one, are tested as whole ones."""
+    from pyspark import cloudpickle
+
+    membership, partners, m, p = _enrichment_case(spark)
+    monkeypatch.setattr(enrichment, "_AT_ONCE", at_once)
+    cloudpickle.register_pickle_by_value(enrichment)
+    try:
+        with_text = m.withColumn("pathway_id", F.concat(F.lit("P"), "pathway_id"))
+        for sets, key in ((m, lambda x: x), (with_text, lambda x: int(x[1:]))):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+            got = {(r.query_gene, key(r.pathway_id)): (r.p_value, r.fdr) for r in enrichment.partner_enrichment(p, sets, None).collect()}
+            want = {(q, k): v for q, gs in partners.items() for k, v in _brute(gs, membership).items()}
+            assert got.keys() == want.keys()
+            for k, v in want.items():
+                assert got[k] == pytest.approx(v, abs=1e-12)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        cloudpickle.unregister_pickle_by_value(enrichment)
+
+
+def test_best_and_annotated_are_chosen_where_the_gene_is(spark):
+    """The same rows as top() and without_annotated() give on everything, and no pair of gene and pathway is shuffled for them."""
+    _, _, m, p = _enrichment_case(spark)
+    a = m.select((F.col("gene") % 30).alias("query_gene"), "pathway_id").distinct()
+    rounded = lambda df: df.withColumn("fdr", F.round("fdr", 10))
+    everything = enrichment.partner_enrichment(p, m, None)
+    rows = lambda df: sorted(tuple(r) for r in enrichment.top(rounded(df), 4).select(*everything.columns, "rank").collect())
+    assert rows(everything) == rows(enrichment.partner_enrichment(p, m, None, 4))
+    assert rows(enrichment.without_annotated(everything, a)) == rows(enrichment.partner_enrichment(p, m, None, 4, a))
+    assert enrichment.partner_enrichment(p, m, None, 4).count() < everything.count() / 2
+
+
+def test_arrays_of_tails_equal_the_expression(spark):
+    import numpy as np
+
+    cases = [(k, n, s) for n in (1, 5, 80, 3000) for k in (0, 1, 2, 15, 16, 17, 40, 200) for s in (1, 7, 400, 1000)]
+    df = spark.createDataFrame(cases, "k long, n long, size long").withColumn("background", F.lit(1000).cast("long"))
+    want = {(r.k, r.n, r["size"]): r.p_value for r in stats.with_tails(df, "k", "n", "size", "background").collect()}
+    k, n, s = (np.array(x) for x in zip(*cases, strict=True))
+    for case, got in zip(cases, stats.binomial_tails(k, n, np.minimum(s / 1000, 1.0)), strict=True):
+        assert got == pytest.approx(want[case], rel=1e-9, abs=1e-300), case
