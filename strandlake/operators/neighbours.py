@@ -36,6 +36,19 @@ def _matrix(rows: pd.Series) -> np.ndarray:
     return np.stack(rows.to_numpy()).astype(np.float64)
 
 
+def _candidates(asks: np.ndarray, vs: np.ndarray, k: int) -> np.ndarray:
+    """For each row of asks which rows of vs may be among its k nearest: by products, with room for their rounding."""
+    if len(vs) <= k:
+        return np.ones((len(asks), len(vs)), bool)
+    a2, v2 = (asks * asks).sum(1), (vs * vs).sum(1)
+    with np.errstate(invalid="ignore"):
+        about = a2[:, None] + v2 - 2 * (asks @ vs.T)
+    if not np.isfinite(about).all():
+        return np.ones(about.shape, bool)
+    room = 4 * 10.0**-DIGITS + 1e-14 * vs.shape[1] * (a2 + v2.max())
+    return about <= (np.partition(about, k - 1, axis=1)[:, k - 1] + room)[:, None]
+
+
 def nearest_many(vectors: DataFrame, queries: DataFrame, k: int = 12, cutoff: float | None = None, key: str = "vec_id", id: str = "id", centroids: int = CENTROIDS, block: int = BLOCK) -> DataFrame:
     """id, key, distance and rank of the k vectors (key, embedding) nearest to each query (id, embedding).
 
@@ -92,17 +105,18 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, k: int = 12, cutoff: fl
     right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(x) and len(y):
-            keys, vs = y["key"].to_numpy(), _matrix(y["embedding"])
-            order = np.argsort(keys, kind="stable")
-            keys, vs = keys[order], vs[order]
-            for i, row in zip(x["id"], _matrix(x["embedding"]), strict=True):
-                d = np.round(((vs - row) ** 2).sum(1), DIGITS)
-                at = np.argsort(d, kind="stable")[:k]
-                at = at if cutoff is None else at[d[at] <= cutoff]
-                found.append(pd.DataFrame({"id": i, "key": keys[at], "distance": d[at]}))
-        return pd.concat(found) if found else pd.DataFrame({"id": x["id"].iloc[:0], "key": y["key"].iloc[:0], "distance": np.zeros(0)})
+        if not len(x) or not len(y):
+            return pd.DataFrame({"id": x["id"].iloc[:0], "key": y["key"].iloc[:0], "distance": np.zeros(0)})
+        keys, vs, asks = y["key"].to_numpy(), _matrix(y["embedding"]), _matrix(x["embedding"])
+        order = np.argsort(keys, kind="stable")
+        keys, vs = keys[order], vs[order]
+        i, c = np.nonzero(_candidates(asks, vs, k))
+        d = np.round(((vs[c] - asks[i]) ** 2).sum(1), DIGITS)
+        order = np.lexsort((c, d, i))
+        i, c, d = i[order], c[order], d[order]
+        nth = np.arange(len(i)) - np.searchsorted(i, i)
+        at = nth < k if cutoff is None else (nth < k) & (d <= cutoff)
+        return pd.DataFrame({"id": x["id"].to_numpy()[i[at]], "key": keys[c[at]], "distance": d[at]})
 
     near = left.groupBy("cluster", "block", "part").cogroup(right.groupBy("cluster", "block", "part")).applyInPandas(best, out)
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "key")).cast("long")
